@@ -48,7 +48,12 @@ def object_rollup(
     def of_chosen(df: DataFrame) -> DataFrame:
         return hot_join(df, chosen_bkh, ["object_bkh"], "many_semi")
 
-    land_sets = of_chosen(lands).groupBy(*_PAIR).agg(F.collect_set("cadastral_num").alias("nums"))
+    measures = [
+        F.max("summary_area").alias("summary_area"),
+        F.max("living_area").alias("living_area"),
+        F.max("floor_max").alias("floor_max"),
+        F.min("floor_min").alias("floor_min"),
+    ]
     extents = (
         of_chosen(decl_objects)
         .groupBy(*_PAIR)
@@ -59,16 +64,10 @@ def object_rollup(
             F.min("floor_min_cnt").alias("floor_min"),
         )
     )
-    measures = [
-        F.max("summary_area").alias("summary_area"),
-        F.max("living_area").alias("living_area"),
-        F.max("floor_max").alias("floor_max"),
-        F.min("floor_min").alias("floor_min"),
-    ]
     per_object = (
-        _declared(land_sets.join(extents, _PAIR), prepared)
+        _declared(of_chosen(lands.select(*_PAIR, "cadastral_num")).join(extents, _PAIR), prepared)
         .groupBy("object_bkh")
-        .agg(union_sets("nums").alias("nums"), *measures)
+        .agg(F.collect_set("cadastral_num").alias("nums"), *measures)
     )
     houses = of_chosen(addresses).groupBy("object_bkh").agg(F.collect_set("house_num").alias("houses"))
     return (
@@ -115,8 +114,7 @@ def document_rollup(
     wanted = typed.join(about_keys.select("document_bkh"), "document_bkh", "left_semi").select("document_id").distinct()
     chosen = typed.join(wanted, "document_id", "left_semi")
 
-    pairs = lands.select(*_PAIR, "cadastral_num").groupBy(*_PAIR).agg(F.collect_set("cadastral_num").alias("nums"))
-    land_sets = _declared(pairs, prepared).groupBy("object_bkh").agg(union_sets("nums").alias("nums"))
+    land_sets = _declared(lands, prepared).groupBy("object_bkh").agg(F.collect_set("cadastral_num").alias("nums"))
     object_lands = (
         objects.select(F.col("bkh").alias("object_bkh"), "src_object_id")
         .join(land_sets, "object_bkh")
