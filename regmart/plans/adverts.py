@@ -117,8 +117,14 @@ def price_steps(
 
 
 def best_adverts(t: AdvertTables, agency_names: Sequence[str] = AGENCIES, keys=None) -> DataFrame:
-    """`advert_bkh` of the most recently updated current record(s) per advert id, ties included."""
-    actual = t.actual if keys is None else filter_keys(t.actual, "src_cian_id", keys)
+    """`advert_bkh` of the most recently updated current record(s) per advert id, ties included. With `keys`, those
+    that a record of the given adverts can match: usually their own."""
+    actual = t.actual
+    if keys is not None:
+        # Records are matched by bkh alone, so an advert sharing one with a given advert has its say, too.
+        records = filter_keys(actual, "src_cian_id", keys).select("bkh")
+        related = actual.join(records, "bkh", "left_semi").select(F.col("src_cian_id").alias("_id")).distinct()
+        actual = actual.join(related, F.col("src_cian_id").eqNullSafe(F.col("_id")), "left_semi")
     stats = t.actual_statistics.select("advert_bkh", "src_update_date", "src_upload_date")
     listed = enrich(actual.select("bkh", "src_cian_id", "realty_agency_bkh"), [_agency_dim(t.actual_agencies, agency_names)])
     dated = listed.select(F.col("bkh").alias("advert_bkh"), "src_cian_id").join(stats, "advert_bkh")
