@@ -9,7 +9,7 @@ from .joins import Dim, checked_broadcast, enrich, require_unique, role_pairs
 from .keys import active_only, filter_key_tuples, filter_keys, key_frame, optional_key_lookup
 from .ordering import By, desc
 from .skew import hot_join, hot_keys
-from .snapshots import Period, period_snapshots
+from .snapshots import Period, in_any_period, period_snapshots
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -31,6 +31,7 @@ __all__ = [
     "filter_keys",
     "hot_join",
     "hot_keys",
+    "in_any_period",
     "key_frame",
     "latest_version",
     "newest_versions",

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .skew import hot_join
+
 # A list passed by the caller sits in the driver already; above this many keys it is joined
 # without a broadcast hint.
 BROADCAST_KEYS = 1_000_000
@@ -24,21 +26,34 @@ def key_frame(df: DataFrame, cols: Sequence[str], rows: Iterable) -> DataFrame:
 def filter_keys(df: DataFrame, col: str, keys: DataFrame | Iterable) -> DataFrame:
     """Rows whose `col` is among `keys`: a list, or a one-column DataFrame. Texts compare exactly.
 
-    Always a semi-join: rows are never multiplied, and repeated or NULL keys change nothing.
+    Always a semi-join: rows are never multiplied, and repeated or NULL keys change nothing. Filter `df` before rather than
+    after, as conditions on the result do not reach its scan.
     """
-    if not isinstance(keys, DataFrame):
-        keys = key_frame(df, [col], keys)
-    if len(keys.columns) != 1:
-        raise ValueError("keys must have exactly one column")
-    return df.join(keys.toDF("_key"), F.col(col) == F.col("_key"), "left_semi")
+    return filter_key_tuples(df, [col], keys)
 
 
-def filter_key_tuples(df: DataFrame, cols: Sequence[str], keys: DataFrame | Iterable[tuple]) -> DataFrame:
-    """As `filter_keys`, for keys of several columns given in the order of `cols`."""
+def filter_key_tuples(df: DataFrame, cols: Sequence[str], keys: DataFrame | Iterable) -> DataFrame:
+    """As `filter_keys`, for keys of several columns given in the order of `cols`.
+
+    A list is broadcast. A DataFrame may be of any size: repeated keys are folded, and rows of a frequent key are spread.
+    """
     cols = list(cols)
     if not isinstance(keys, DataFrame):
-        keys = key_frame(df, cols, keys)
-    return df.join(keys.toDF(*cols), cols, "left_semi")
+        return df.join(key_frame(df, cols, keys), cols, "left_semi")
+    if len(keys.columns) != len(cols):
+        raise ValueError(f"keys must have {len(cols)} column(s)")
+    return hot_join(df, _with_types_of(df, cols, keys.toDF(*cols)), cols, "many_semi")
+
+
+def _with_types_of(df: DataFrame, cols: Sequence[str], keys: DataFrame) -> DataFrame:
+    """Keys with whole numbers widened to the column's type; other types must be the same."""
+    for c in cols:
+        wanted, given = df.schema[c].dataType, keys.schema[c].dataType
+        if wanted != given:
+            if not (isinstance(wanted, T.IntegralType) and isinstance(given, T.IntegralType)):
+                raise ValueError(f"{c} is {wanted.simpleString()}, its keys are {given.simpleString()}")
+            keys = keys.withColumn(c, F.col(c).try_cast(wanted))
+    return keys
 
 
 def active_only(df: DataFrame, flag: str = "deleted_flag") -> DataFrame:

@@ -48,6 +48,7 @@ def hot_join(
     hot: DataFrame | None = None,
     min_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    matched: str | None = None,
 ) -> DataFrame:
     """Join `many` to `one` on equally named columns, spreading frequent keys over `salts` tasks.
 
@@ -58,9 +59,10 @@ def hot_join(
     - ``many_outer``: all rows of `many`, with NULLs where `one` has no match
     - ``one_outer``: all rows of `one`, with NULLs where `many` has no match. Adaptive execution
       cannot split this one by itself, since the frequent key is on the null-supplying side
-    - ``many_semi``: rows of `many` that have a match
+    - ``many_semi``: rows of `many` that have a match; `one` may repeat keys, they are folded first
 
-    `hot` takes the result of `hot_keys` when the frequencies are known from a cheaper input.
+    `hot` takes the result of `hot_keys` when the frequencies are known from a cheaper input. `matched`, for
+    ``one_outer``, names a boolean column of `one` that is true exactly for rows with a match, if that is known already.
     The salt is the map task's number, so a task run again gives its rows the same salt.
     """
     if how not in _HOWS:
@@ -81,17 +83,25 @@ def hot_join(
     if how == "one_outer":
         # Salted copies of a preserved row that meet an empty salt must not come out as unmatched
         # rows. So only keys proven to exist in `many` are salted, and their unmatched copies go.
-        present = F.broadcast(_hot_keys_present(many, on, hot).withColumn("_hot", F.lit(1)))
-        spread = _spread(many.dropna(subset=on).join(present, on, "left"), salts)
-        copies = _copies(one.join(present, on, "left"), salts)
-        joined = copies.join(spread.drop("_hot").withColumn("_hit", F.lit(1)), keys, "left")
+        many = many.dropna(subset=on)
+        if matched is None:
+            hot = F.broadcast(_hot_keys_present(many, on, hot).withColumn("_hot", F.lit(1)))
+            many_hot, one_hot = many.join(hot, on, "left"), one.join(hot, on, "left")
+        else:
+            hot = F.broadcast(hot)  # at most MAX_HOT_KEYS rows of one bigint
+            many_hot = _flag(many, on, hot)
+            one_hot = _flag(one, on, hot).withColumn("_hot", F.when(F.col(matched), F.col("_hot")))
+        spread = _spread(many_hot, salts).drop("_hot").withColumn("_hit", F.lit(1))
+        joined = _copies(one_hot, salts).join(spread, keys, "left")
         return joined.filter(F.col("_hot").isNull() | F.col("_hit").isNotNull()).drop("_hot", "_hit", "_salt")
 
-    hot = F.broadcast(hot)  # at most MAX_HOT_KEYS rows of one bigint
+    if how == "many_semi":
+        one = one.select(*on).distinct()
+    hot = F.broadcast(hot)
     spread = _spread(_flag(many, on, hot), salts).drop("_hot")
     copies = _copies(_flag(one, on, hot), salts).drop("_hot")
     if how == "many_semi":
-        return spread.join(copies.select(*keys), keys, "left_semi").drop("_salt")
+        return spread.join(copies, keys, "left_semi").drop("_salt")
     return spread.join(copies, keys, "left" if how == "many_outer" else "inner").drop("_salt")
 
 

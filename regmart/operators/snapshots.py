@@ -30,6 +30,10 @@ class Period(NamedTuple):
         return inside
 
 
+def in_any_period(time: Column, periods: Sequence[Period]) -> Column:
+    return reduce(lambda a, b: a | b, [p.contains(time) for p in periods])
+
+
 def period_snapshots(
     df: DataFrame,
     key: str,
@@ -46,8 +50,6 @@ def period_snapshots(
     labels = [p.label for p in periods]
     if len(set(labels)) != len(labels):
         raise ValueError("period labels must differ")
-    tests = [p.contains(F.col(time)) for p in periods]
-    in_some = reduce(lambda a, b: a | b, tests)
-    offered = F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in zip(labels, tests)]))
-    tagged = df.filter(in_some).withColumn(label, F.explode(offered))
+    offered = F.array_compact(F.array(*[F.when(p.contains(F.col(time)), F.lit(p.label)) for p in periods]))
+    tagged = df.filter(in_any_period(F.col(time), periods)).withColumn(label, F.explode(offered))
     return distinct_on(tagged, [label, key], [desc(time, nulls_first=False)], tie_break)

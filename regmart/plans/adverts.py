@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -20,6 +20,7 @@ from ..operators import (
     filter_keys,
     hot_join,
     hot_keys,
+    in_any_period,
     period_snapshots,
     top_rank,
     with_neighbours,
@@ -73,10 +74,9 @@ def advert_versions(
     t: AdvertTables,
     agency_names: Sequence[str] = AGENCIES,
     keys: DataFrame | Iterable[int] | None = None,
-    with_history_address: bool = False,
 ) -> DataFrame:
     """Live versions of the agencies' adverts with the statistics of the same version; `valid_from` is the statistics'
-    update. Status entries are joined whether deleted or not, addresses without regard to time: both may repeat rows."""
+    update. Status entries are joined whether deleted or not, and may repeat rows."""
     live = active_only(t.adverts)
     if keys is not None:
         live = filter_keys(live, "src_cian_id", keys)
@@ -89,26 +89,29 @@ def advert_versions(
     )
     updates = active_only(t.statistics).select(F.col("advert_bkh").alias("bkh"), "valid_from", "src_update_date")
     versions = known.join(updates, ["bkh", "valid_from"]).withColumn("valid_from", F.col("src_update_date"))
-    if not with_history_address:
-        return versions.select(*_VERSION_COLUMNS)
-    if t.addresses is None:
-        raise ValueError("the history address needs the address history table")
-    places = active_only(t.addresses).select("src_realty_id", F.col("user_address_txt").alias("historic_address"))
-    versions = versions.select(*_VERSION_COLUMNS, "src_realty_id")
-    return hot_join(places, versions, ["src_realty_id"], "one_outer").select(*_VERSION_COLUMNS, "historic_address")
+    return versions.select(*_VERSION_COLUMNS, "src_realty_id")
+
+
+def with_history_addresses(versions: DataFrame, addresses: DataFrame) -> DataFrame:
+    """Versions with every live address of their realty, whenever it held."""
+    places = active_only(addresses).select("src_realty_id", F.col("user_address_txt").alias("historic_address"))
+    return hot_join(places, versions, ["src_realty_id"], "one_outer")
 
 
 def price_steps(
-    t: AdvertTables, agency_names: Sequence[str] = AGENCIES, keys: DataFrame | Iterable[int] | None = None
+    t: AdvertTables,
+    agency_names: Sequence[str] = AGENCIES,
+    keys: DataFrame | Iterable[int] | None = None,
+    stage: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
     """Versions with the times of the advert's previous and next one, the days since the previous as text, and
-    the price before in the same record (0 for its first version)."""
-    versions = advert_versions(t, agency_names, keys)
+    the price before in the same record (0 for its first version). For `stage` see `advert_history`."""
+    versions = stage(advert_versions(t, agency_names, keys).select(*_VERSION_COLUMNS))
     month = F.date_trunc("month", F.col("valid_from"))
     timed = with_neighbours(versions, ["src_cian_id"], ["valid_from", "bkh", "advert_id"], ["valid_from"], month)
     priced = with_neighbours(timed, ["src_cian_id", "bkh"], ["valid_from", "advert_id"], ["price_amt"], month)
     return priced.select(
-        *versions.columns,
+        *_VERSION_COLUMNS,
         F.col("prev_valid_from").alias("prev_valid_date"),
         F.col("next_valid_from").alias("next_valid_date"),
         day_gap_label("prev_valid_from", "valid_from", NEW_ADVERT).alias("days_since_previous"),
@@ -139,25 +142,35 @@ def advert_history(
     with_history_address: bool = False,
     empty_address: str | None = None,
     open_status: str = OPEN_STATUS,
+    stage: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
     """Current adverts with every version of theirs: last update, days listed, whether the price ever changed.
 
     Adverts without versions stay, with NULLs. `keys` limits the advert ids before any work is done. A hidden address
     becomes `empty_address` if that is given.
+
+    The versions are needed twice, to summarise them and to list them. `stage` may store them in between and return
+    them, e.g. `DataFrame.checkpoint`; by default they are computed twice, the first time with fewer columns.
     """
-    versions = advert_versions(t, agency_names, keys, with_history_address)
+    versions = stage(advert_versions(t, agency_names, keys))
     # What a window per advert would tell, as one row per advert: an advert with very many versions is aggregated before
     # the shuffle and never held in one task.
     summary = (
-        advert_versions(t, agency_names, keys)
-        .groupBy("src_cian_id")
+        versions.groupBy("src_cian_id")
         .agg(
             F.max("valid_from").alias("last_valid_from"),
             F.min("price_amt").alias("_low"),
             F.max("price_amt").alias("_high"),
         )
-        .select("src_cian_id", "last_valid_from", (F.col("_low") < F.col("_high")).alias("_changed"))
+        .select(
+            "src_cian_id", "last_valid_from", (F.col("_low") < F.col("_high")).alias("_changed"),
+            F.lit(True).alias("_has_versions"),
+        )
     )
+    if with_history_address:
+        if t.addresses is None:
+            raise ValueError("the history address needs the address history table")
+        versions = with_history_addresses(versions, t.addresses)
 
     current = t.actual if keys is None else filter_keys(t.actual, "src_cian_id", keys)
     current = current.join(
@@ -175,22 +188,22 @@ def advert_history(
             Dim(t.categories, "advert_category_bkh", "bkh", {"advert_category_name": "advert_category_name"}, "inner"),
             Dim(t.building_types, "building_type_bkh", "bkh", {"building_type_name": "building_type_name"}),
             Dim(t.actual_statistics, "bkh", "advert_bkh", {"view_cnt": "view_cnt"}),
-            Dim(summary, "src_cian_id", "src_cian_id", {"last_valid_from": "last_valid_from", "_changed": "_changed"}),
+            Dim(summary, "src_cian_id", "src_cian_id", {c: c for c in ("last_valid_from", "_changed", "_has_versions")}),
         ],
     )
     places = t.actual_addresses.select("src_realty_id", "region_name", "settlement_name", "user_address_txt")
     # A version's own record is `bkh` in the result; the current record's has served its purpose.
     located = hot_join(places, described.drop("bkh"), ["src_realty_id"], "one_outer")
     hot_ids = hot_keys(active_only(t.adverts), ["src_cian_id"])
-    joined = hot_join(versions, located, ["src_cian_id"], "one_outer", hot=hot_ids)
+    versions = versions.drop("src_realty_id")
+    joined = hot_join(versions, located, ["src_cian_id"], "one_outer", hot=hot_ids, matched="_has_versions")
 
     def address(name: str):
         return F.col(name) if empty_address is None else F.coalesce(F.col(name), F.lit(empty_address)).alias(name)
 
-    has_version = F.col("bkh").isNotNull()
     return joined.select(
         "advert_id",
-        F.when(has_version, F.col("src_cian_id")).alias("src_cian_id"),
+        F.when(F.col("_has_versions"), F.col("src_cian_id")).alias("src_cian_id"),
         "realty_agency_name", "price_amt", "total_area_amt", "price_sqm_amt", "room_cnt", "housing_complex_name",
         "valid_from", "last_valid_from", "bkh", "historic_status",
         *(["historic_address"] if with_history_address else []),
@@ -239,10 +252,11 @@ def advert_snapshots(
     references = ["advert_category_bkh", "housing_complex_block_code"]
     candidates = (
         active_only(adverts)
+        .filter(in_any_period(F.col("valid_from"), periods))
         .join(with_status, "status_bkh", "left_semi")
-        .join(in_region, "src_realty_id", "left_semi")
-        .select("src_cian_id", "valid_from", *measures, *references)
+        .select("src_cian_id", "src_realty_id", "valid_from", *measures, *references)
     )
+    candidates = filter_keys(candidates, "src_realty_id", in_region).drop("src_realty_id")
     chosen = period_snapshots(candidates, "src_cian_id", "valid_from", periods, [*measures, *references])
 
     category = distinct_on(categories, ["bkh"], ["advert_category_code", "advert_category_name"])

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import filter_key_tuples, hot_join
+from ..operators import filter_key_tuples, filter_keys, hot_join
 
 # Contract roles.
 SUPPLIER_ROLE = "2"
@@ -24,7 +24,7 @@ def contract_pairs(
     """Contracts on which a company of `company_keys` (INN, KPP) supplies another entry of those companies, with
     both parties' details. All given companies form one set: either party may be any of them."""
     companies = filter_key_tuples(entities, ["inn", "kpp"], company_keys).select("spark_id", "inn", "ogrn", "kpp")
-    parties = participants.join(companies.select("spark_id"), "spark_id", "left_semi").select(
+    parties = filter_keys(participants, "spark_id", companies.select("spark_id")).select(
         "contract_code", "spark_id", "contract_participant_code", "state_contract_role_code"
     )
     role = F.col("state_contract_role_code")

@@ -45,7 +45,15 @@ def counterparty_check(
     )
 
 
-def include_list(lists: DataFrame, requests: DataFrame | Iterable[tuple[str, str, str]]) -> DataFrame:
-    """List entries naming each requested company. A request is (INN, OGRN, KPP), `''` for a key not given."""
-    found = optional_key_lookup(lists, requests, INCLUDE_LIST_KEYS)
+def include_list(
+    lists: DataFrame,
+    requests: DataFrame | Iterable[tuple[str, str, str]],
+    patterns: Iterable[tuple[bool, bool, bool]] | None = None,
+) -> DataFrame:
+    """List entries naming each requested company. A request is (INN, OGRN, KPP), `''` for a key not given.
+
+    For a table of requests, `patterns` may tell which keys they give, e.g. `[(True, False, False)]` for INNs only; requests
+    of another pattern then find nothing.
+    """
+    found = optional_key_lookup(lists, requests, INCLUDE_LIST_KEYS, patterns)
     return found.select(*[f"request_{k}" for k in INCLUDE_LIST_KEYS], *INCLUDE_LIST_COLUMNS)

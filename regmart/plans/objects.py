@@ -39,14 +39,13 @@ def object_rollup(
     """Per construction object with a land number in `keys`: all its land numbers, titles, addresses and house
     numbers as sorted texts, largest areas, highest and lowest floors. Key texts compare exactly."""
     hits = _declared(filter_keys(lands, "cadastral_num", keys).select(*_PAIR).distinct(), prepared)
-    hits = hits.join(decl_objects.select(*_PAIR), _PAIR, "left_semi")
+    hits = hits.join(decl_objects.select(*_PAIR).distinct(), _PAIR, "left_semi")
     cards = objects.withColumnRenamed("bkh", "object_bkh")
-    wanted = cards.join(hits, "object_bkh", "left_semi").select("src_object_id").distinct()
-    chosen = cards.join(wanted, "src_object_id", "left_semi")
-    chosen_bkh = chosen.select("object_bkh")
+    wanted = filter_keys(cards, "object_bkh", hits.select("object_bkh"))
+    chosen = filter_keys(cards, "src_object_id", wanted.select("src_object_id"))
 
     def of_chosen(df: DataFrame) -> DataFrame:
-        return hot_join(df, chosen_bkh, ["object_bkh"], "many_semi")
+        return filter_keys(df, "object_bkh", chosen.select("object_bkh"))
 
     measures = [
         F.max("summary_area").alias("summary_area"),
@@ -65,7 +64,7 @@ def object_rollup(
         )
     )
     per_object = (
-        _declared(of_chosen(lands.select(*_PAIR, "cadastral_num")).join(extents, _PAIR), prepared)
+        _declared(hot_join(of_chosen(lands.select(*_PAIR, "cadastral_num")), extents, _PAIR), prepared)
         .groupBy("object_bkh")
         .agg(F.collect_set("cadastral_num").alias("nums"), *measures)
     )
@@ -108,11 +107,9 @@ def document_rollup(
         F.col("bkh").alias("document_type_bkh")
     )
     typed = docs.join(type_bkh, "document_type_bkh", "left_semi").withColumnRenamed("bkh", "document_bkh")
-    about_keys = filter_keys(doc_objects, "src_object_id", keys).join(
-        objects.select("src_object_id"), "src_object_id", "left_semi"
-    )
-    wanted = typed.join(about_keys.select("document_bkh"), "document_bkh", "left_semi").select("document_id").distinct()
-    chosen = typed.join(wanted, "document_id", "left_semi")
+    about_keys = filter_keys(filter_keys(doc_objects, "src_object_id", keys), "src_object_id", objects.select("src_object_id"))
+    wanted = filter_keys(typed, "document_bkh", about_keys.select("document_bkh"))
+    chosen = filter_keys(typed, "document_id", wanted.select("document_id"))
 
     land_sets = _declared(lands, prepared).groupBy("object_bkh").agg(F.collect_set("cadastral_num").alias("nums"))
     object_lands = (
@@ -121,7 +118,7 @@ def document_rollup(
         .groupBy("src_object_id")
         .agg(union_sets("nums").alias("nums"))
     )
-    about = hot_join(doc_objects, chosen.select("document_bkh"), ["document_bkh"], "many_semi")
+    about = filter_keys(doc_objects, "document_bkh", chosen.select("document_bkh"))
     subjects = (
         about.select("document_bkh", "src_object_id")
         .distinct()

@@ -34,8 +34,9 @@ def latest_report_lines(
     Versions count when their company is in `scope` and `valid_from` lies in [lower, upper]; with dates as bounds,
     times after midnight of the last day are outside. A version replaced since then yields no line.
     """
-    in_scope = reports.join(scope.select("spark_id"), "spark_id", "left_semi")
-    newest = newest_versions(in_scope, "bk_hash", "accounting_report_id", lower, upper, on="valid_from")
+    dated = reports.filter(F.col("valid_from").between(F.lit(lower), F.lit(upper)))
+    in_scope = filter_keys(dated, "spark_id", scope.select("spark_id"))
+    newest = newest_versions(in_scope, "bk_hash", "accounting_report_id")
     newest = newest.select(F.col("accounting_report_id"))  # one row per hash: may repeat an id, as the job counts it
     lines = actual.filter(F.col("line_code") == line_code).join(newest, "accounting_report_id")
     named = lines.join(

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as contract
 from regmart.operators import desc, distinct_on, filter_keys, row_count, top_rank
-from regmart.plans import deal_rollup, latest_report_lines, property_register, report_extract
+from regmart.plans import advert_snapshots, deal_rollup, latest_report_lines, property_register, report_extract
 from regmart.sources import SCHEMAS, key_table, read_tables, register_views
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -68,6 +68,14 @@ def test_latest_report_lines_pushes_window_and_line(stored):
     assert "EqualTo(line_code,2100)" in scan(text, "line_value")
 
 
+def test_snapshots_push_flag_and_periods(stored):
+    names = ["advert", "dct_status_actual", "address_actual", "dct_advert_category_actual", "dct_housing_complex_block_actual",
+             "dct_building_class_actual"]
+    text = plan(advert_snapshots(*[stored[n] for n in names]))
+    assert "LessThan(valid_from,2022-06-01" in scan(text, "valid_from") and "deleted_flag" in scan(text, "valid_from")
+    assert "EqualTo(region_name,Москва)" in scan(text, "region_name")
+
+
 def test_deal_rollup_pushes_date_and_type(stored):
     tables = [stored[n] for n in ("deal_actual", "cadastral_doc_actual", "realty_actual", "share_subject_description_actual")]
     text = plan(deal_rollup(*tables))
