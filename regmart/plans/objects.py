@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import concat_distinct, join_sorted, union_sets
-from ..operators import filter_keys, hot_join
+from ..operators import filter_key_tuples, filter_keys, hot_join
 
 # Dictionary codes. The file type code has a trailing blank.
 DOCUMENT_TYPE_CODE = "4"
@@ -39,9 +39,9 @@ def object_rollup(
     """Per construction object with a land number in `keys`: all its land numbers, titles, addresses and house
     numbers as sorted texts, largest areas, highest and lowest floors. Key texts compare exactly."""
     hits = _declared(filter_keys(lands, "cadastral_num", keys).select(*_PAIR).distinct(), prepared)
-    hits = hits.join(decl_objects.select(*_PAIR).distinct(), _PAIR, "left_semi")
+    hits = filter_key_tuples(decl_objects.select(*_PAIR), _PAIR, hits.select(*_PAIR)).select("object_bkh").distinct()
     cards = objects.withColumnRenamed("bkh", "object_bkh")
-    wanted = filter_keys(cards, "object_bkh", hits.select("object_bkh"))
+    wanted = cards.join(hits, "object_bkh", "left_semi")
     chosen = filter_keys(cards, "src_object_id", wanted.select("src_object_id"))
 
     def of_chosen(df: DataFrame) -> DataFrame:
@@ -107,8 +107,9 @@ def document_rollup(
         F.col("bkh").alias("document_type_bkh")
     )
     typed = docs.join(type_bkh, "document_type_bkh", "left_semi").withColumnRenamed("bkh", "document_bkh")
-    about_keys = filter_keys(filter_keys(doc_objects, "src_object_id", keys), "src_object_id", objects.select("src_object_id"))
-    wanted = filter_keys(typed, "document_bkh", about_keys.select("document_bkh"))
+    key_objects = filter_keys(objects.select("src_object_id"), "src_object_id", keys)
+    about_keys = filter_keys(doc_objects, "src_object_id", key_objects).select("document_bkh").distinct()
+    wanted = typed.join(about_keys, "document_bkh", "left_semi")
     chosen = filter_keys(typed, "document_id", wanted.select("document_id"))
 
     land_sets = _declared(lands, prepared).groupBy("object_bkh").agg(F.collect_set("cadastral_num").alias("nums"))
