@@ -152,7 +152,7 @@ def _hot_join(spark, sf_dir):
     parts = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
     lines = read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_linestatus = 'F' and l_quantity > 45")
     lines = lines.select(F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_linenumber", "l_suppkey")
-    return hot_join(lines, parts, ["p_partkey"], "one_outer", min_rows=2, salts=4)
+    return hot_join(lines, parts, ["p_partkey"], "one_outer", rows_per_task=2, max_salts=4)
 
 
 def _scalar_functions(spark, sf_dir):

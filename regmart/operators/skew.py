@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is worth salting once its rows would fill several ordinary partitions.
-HOT_ROWS = 1_000_000
-# With the 1000 most frequent keys salted, any other key holds under 0.1 % of the rows.
+# A frequent key's rows are spread so that about this many come to one task.
+ROWS_PER_TASK = 1_000_000
+# With the 1000 most frequent keys spread, any other key holds under 0.1 % of the rows.
 MAX_HOT_KEYS = 1000
-SALTS = 64
+MAX_SALTS = 1024
+# Sketches of map tasks are merged in this many groups first, as there may be very many map tasks.
+_SKETCH_GROUPS = 256
 
-_HOWS = ("inner", "many_outer", "one_outer", "many_semi")
+_HOWS = {"inner": "inner", "many_outer": "left", "many_semi": "left_semi", "one_outer": "left"}
 
 
 def _key_hash(on: Sequence[str]) -> Column:
@@ -21,22 +23,29 @@ def _key_hash(on: Sequence[str]) -> Column:
 
 
 def hot_keys(
-    df: DataFrame, on: Sequence[str], min_rows: int = HOT_ROWS, max_keys: int = MAX_HOT_KEYS
-) -> DataFrame:
-    """Hashes of the most frequent keys of `df`: at most `max_keys` rows, whatever the input.
-
-    Uses the frequent-items sketch of `approx_top_k`: each map task ships one bounded sketch,
-    the keys themselves are never shuffled. Counts are estimates, which is enough, since a key
-    listed or missed by mistake changes only how rows are spread, never the join result.
+    df: DataFrame,
+    on: Sequence[str],
+    rows_per_task: int = ROWS_PER_TASK,
+    max_keys: int = MAX_HOT_KEYS,
+    max_salts: int = MAX_SALTS,
+) -> dict[int, int]:
+    """Hashes of the most frequent keys of `df`, each with the number of tasks to spread it over. Runs a job.
+
+    At most `max_keys` entries, whatever the input. Counts come from the frequent-items sketch of `approx_top_k`: each map
+    task ships one sketch of bounded size, the keys themselves are not shuffled. Estimates are enough, since a key listed or
+    missed by mistake changes only how rows are spread, never a join's result.
     """
-    top = df.select(_key_hash(on).alias("_kh")).agg(
-        F.expr(f"approx_top_k(_kh, {max_keys}, {max_keys * 10})").alias("_top")
-    )
-    return (
-        top.select(F.explode("_top").alias("_t"))
-        .filter(F.col("_t.count") >= min_rows)
-        .select(F.col("_t.item").alias("_hot"))
+    hashed = df.select(_key_hash(on).alias("_kh"), F.pmod(F.spark_partition_id(), F.lit(_SKETCH_GROUPS)).alias("_g"))
+    tops = hashed.groupBy("_g").agg(F.expr(f"approx_top_k(_kh, {max_keys}, {max_keys * 10})").alias("_top"))
+    counted = (
+        tops.select(F.explode("_top").alias("_t"))
+        .groupBy(F.col("_t.item").alias("_hot"))
+        .agg(F.sum("_t.count").alias("_rows"))
+        .filter(F.col("_rows") >= rows_per_task)
+        .orderBy(F.col("_rows").desc())
+        .limit(max_keys)
     )
+    return {r["_hot"]: min(max_salts, r["_rows"] // rows_per_task + 1) for r in counted.collect()}
 
 
 def hot_join(
@@ -45,12 +54,11 @@ def hot_join(
     on: Sequence[str],
     how: str = "inner",
     *,
-    hot: DataFrame | None = None,
-    min_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    hot: Mapping[int, int] | None = None,
     matched: str | None = None,
+    **limits: int,
 ) -> DataFrame:
-    """Join `many` to `one` on equally named columns, spreading frequent keys over `salts` tasks.
+    """Join `many` to `one` on equally named columns, spreading frequent keys over several tasks.
 
     Rows of `many` with a frequent key get a salt, the matching rows of `one` are repeated once
     per salt; all other rows are joined as usual. The result is that of the plain join:
@@ -61,12 +69,12 @@ def hot_join(
       cannot split this one by itself, since the frequent key is on the null-supplying side
     - ``many_semi``: rows of `many` that have a match; `one` may repeat keys, they are folded first
 
-    `hot` takes the result of `hot_keys` when the frequencies are known from a cheaper input. `matched`, for
-    ``one_outer``, names a boolean column of `one` that is true exactly for rows with a match, if that is known already.
-    The salt is the map task's number, so a task run again gives its rows the same salt.
+    `hot` takes the result of `hot_keys` on a cheaper input with the same keys; by default `many` is looked through
+    (with `limits` as there). `matched`, for ``one_outer``, names a boolean column of `one` that is true exactly for rows
+    with a match, if that is known already. The salt is the map task's number, so a task run again gives its rows the same.
     """
     if how not in _HOWS:
-        raise ValueError(f"how must be one of {_HOWS}")
+        raise ValueError(f"how must be one of {list(_HOWS)}")
     on = list(on)
     many_types, one_types = dict(many.dtypes), dict(one.dtypes)
     for c in on:
@@ -76,52 +84,43 @@ def hot_join(
     if shared and how != "many_semi":
         raise ValueError(f"columns on both sides: {sorted(shared)}")
 
+    if how == "many_semi":
+        one = one.select(*on).distinct()
     if hot is None:
-        hot = hot_keys(many, on, min_rows)
-    keys = [*on, "_salt"]
+        hot = hot_keys(many, on, **limits)
+    if not hot:
+        return one.join(many, on, "left") if how == "one_outer" else many.join(one, on, _HOWS[how])
 
+    # The caller's dictionary, at most MAX_HOT_KEYS rows: both sides must see the same keys and salts.
+    listed = F.broadcast(many.sparkSession.createDataFrame(list(hot.items()), "_hot bigint, _salts int"))
+    keys = [*on, "_salt"]
     if how == "one_outer":
         # Salted copies of a preserved row that meet an empty salt must not come out as unmatched
-        # rows. So only keys proven to exist in `many` are salted, and their unmatched copies go.
-        many = many.dropna(subset=on)
+        # rows. So only keys known to exist in `many` are salted, and their unmatched copies go.
+        many = _flag(many.dropna(subset=on), on, listed)
         if matched is None:
-            hot = F.broadcast(_hot_keys_present(many, on, hot).withColumn("_hot", F.lit(1)))
-            many_hot, one_hot = many.join(hot, on, "left"), one.join(hot, on, "left")
-        else:
-            hot = F.broadcast(hot)  # at most MAX_HOT_KEYS rows of one bigint
-            many_hot = _flag(many, on, hot)
-            one_hot = _flag(one, on, hot).withColumn("_hot", F.when(F.col(matched), F.col("_hot")))
-        spread = _spread(many_hot, salts).drop("_hot").withColumn("_hit", F.lit(1))
-        joined = _copies(one_hot, salts).join(spread, keys, "left")
-        return joined.filter(F.col("_hot").isNull() | F.col("_hit").isNotNull()).drop("_hot", "_hit", "_salt")
+            present = many.filter(F.col("_salts").isNotNull()).select(*on, F.lit(True).alias("_present")).distinct()
+            one, matched = one.join(F.broadcast(present), on, "left"), "_present"  # listed keys only
+        one = _flag(one, on, listed).withColumn("_salts", F.when(F.col(matched), F.col("_salts")))
+        joined = _copies(one).join(_spread(many).drop("_salts").withColumn("_hit", F.lit(1)), keys, "left")
+        kept = joined.filter(F.col("_salts").isNull() | F.col("_hit").isNotNull())
+        return kept.drop("_salts", "_hit", "_salt", "_present")
 
-    if how == "many_semi":
-        one = one.select(*on).distinct()
-    hot = F.broadcast(hot)
-    spread = _spread(_flag(many, on, hot), salts).drop("_hot")
-    copies = _copies(_flag(one, on, hot), salts).drop("_hot")
-    if how == "many_semi":
-        return spread.join(copies, keys, "left_semi").drop("_salt")
-    return spread.join(copies, keys, "left" if how == "many_outer" else "inner").drop("_salt")
+    spread = _spread(_flag(many, on, listed)).drop("_salts")
+    copies = _copies(_flag(one, on, listed)).drop("_salts")
+    return spread.join(copies, keys, _HOWS[how]).drop("_salt")
 
 
-def _flag(df: DataFrame, on: Sequence[str], hot: DataFrame) -> DataFrame:
-    return df.withColumn("_kh", _key_hash(on)).join(hot, F.col("_kh") == F.col("_hot"), "left").drop("_kh")
+def _flag(df: DataFrame, on: Sequence[str], listed: DataFrame) -> DataFrame:
+    """Add `_salts`, NULL for ordinary keys."""
+    hashed = df.withColumn("_kh", _key_hash(on))
+    return hashed.join(listed, F.col("_kh") == F.col("_hot"), "left").drop("_kh", "_hot")
 
 
-def _hot_keys_present(many: DataFrame, on: Sequence[str], hot: DataFrame) -> DataFrame:
-    hashed = many.dropna(subset=on).select(*on, _key_hash(on).alias("_kh"))
-    found = hashed.join(F.broadcast(hot), F.col("_kh") == F.col("_hot"), "left_semi")
-    return found.select(*on).distinct()
+def _spread(flagged: DataFrame) -> DataFrame:
+    return flagged.withColumn("_salt", F.coalesce(F.pmod(F.spark_partition_id(), F.col("_salts")), F.lit(0)))
 
 
-def _spread(flagged: DataFrame, salts: int) -> DataFrame:
-    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(F.lit(0))
-    return flagged.withColumn("_salt", salt)
-
-
-def _copies(flagged: DataFrame, salts: int) -> DataFrame:
-    all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
-    return flagged.withColumn(
-        "_salt", F.explode(F.when(F.col("_hot").isNotNull(), all_salts).otherwise(F.array(F.lit(0))))
-    )
+def _copies(flagged: DataFrame) -> DataFrame:
+    last = F.coalesce(F.col("_salts"), F.lit(1)) - 1
+    return flagged.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))

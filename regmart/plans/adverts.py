@@ -187,13 +187,14 @@ def advert_history(
             Dim(t.actual_statuses, "status_bkh", "bkh", {"status_name": "status_name"}, "inner"),
             Dim(t.categories, "advert_category_bkh", "bkh", {"advert_category_name": "advert_category_name"}, "inner"),
             Dim(t.building_types, "building_type_bkh", "bkh", {"building_type_name": "building_type_name"}),
-            Dim(t.actual_statistics, "bkh", "advert_bkh", {"view_cnt": "view_cnt"}),
             Dim(summary, "src_cian_id", "src_cian_id", {c: c for c in ("last_valid_from", "_changed", "_has_versions")}),
         ],
     )
-    places = t.actual_addresses.select("src_realty_id", "region_name", "settlement_name", "user_address_txt")
+    views = t.actual_statistics.select(F.col("advert_bkh").alias("bkh"), "view_cnt")
     # A version's own record is `bkh` in the result; the current record's has served its purpose.
-    located = hot_join(places, described.drop("bkh"), ["src_realty_id"], "one_outer")
+    viewed = hot_join(views, described, ["bkh"], "one_outer").drop("bkh")
+    places = t.actual_addresses.select("src_realty_id", "region_name", "settlement_name", "user_address_txt")
+    located = hot_join(places, viewed, ["src_realty_id"], "one_outer")
     hot_ids = hot_keys(active_only(t.adverts), ["src_cian_id"])
     versions = versions.drop("src_realty_id")
     joined = hot_join(versions, located, ["src_cian_id"], "one_outer", hot=hot_ids, matched="_has_versions")

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import filter_key_tuples, filter_keys, hot_join
+from ..operators import filter_key_tuples, filter_keys, hot_join, hot_keys
 
 # Contract roles.
 SUPPLIER_ROLE = "2"
@@ -42,7 +42,7 @@ def contract_pairs(
         "contract_code", F.col("contract_participant_code").alias("customer_code")
     )
     # Either side may hold a third of all rows in one contract: supplier rows are spread, customer rows repeated.
-    pairs = hot_join(suppliers, customers, ["contract_code"])
+    pairs = hot_join(suppliers, customers, ["contract_code"], hot=hot_keys(participants, ["contract_code"]))
     customer_details = participant_dict.select(
         F.col("code").alias("customer_code"),
         F.col("participant_spark_id").alias("customer_spark_id"),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import concat_distinct, join_sorted, union_sets
-from ..operators import filter_key_tuples, filter_keys, hot_join
+from ..operators import filter_key_tuples, filter_keys, hot_join, hot_keys
 
 # Dictionary codes. The file type code has a trailing blank.
 DOCUMENT_TYPE_CODE = "4"
@@ -64,7 +64,9 @@ def object_rollup(
         )
     )
     per_object = (
-        _declared(hot_join(of_chosen(lands.select(*_PAIR, "cadastral_num")), extents, _PAIR), prepared)
+        _declared(
+            hot_join(of_chosen(lands.select(*_PAIR, "cadastral_num")), extents, _PAIR, hot=hot_keys(lands, _PAIR)), prepared
+        )
         .groupBy("object_bkh")
         .agg(F.collect_set("cadastral_num").alias("nums"), *measures)
     )

@@ -22,47 +22,58 @@ def sides(spark):
     return many, one
 
 
-@pytest.mark.parametrize("min_rows", [1, 30, 10_000])
+@pytest.mark.parametrize("rows_per_task", [1, 30, 10_000])
 @pytest.mark.parametrize("how", ["inner", "many_outer", "one_outer", "many_semi"])
-def test_same_rows_as_plain_join(sides, how, min_rows):
+def test_same_rows_as_plain_join(sides, how, rows_per_task):
     many, one = sides
     cols = ["k", "x"] if how == "many_semi" else ["k", "x", "y"]
     plain = one.join(many, "k", "left") if how == "one_outer" else many.join(one, "k", PLAIN[how])
-    assert rows(hot_join(many, one, ["k"], how, min_rows=min_rows, salts=5), cols) == rows(plain, cols)
+    assert rows(hot_join(many, one, ["k"], how, rows_per_task=rows_per_task, max_salts=5), cols) == rows(plain, cols)
 
 
 def test_keys_called_frequent_by_mistake_change_nothing(spark, sides):
     many, one = sides
-    wrong = spark.createDataFrame([(77,), (35,), (5,), (None,)], "k bigint").select(F.xxhash64("k").alias("_hot"))
+    wrong = spark.createDataFrame([(77,), (35,), (5,), (None,)], "k bigint").select(F.xxhash64("k"))
+    wrong = {r[0]: 3 for r in wrong.collect()}
     for how in ("inner", "one_outer", "many_outer"):
         plain = one.join(many, "k", "left") if how == "one_outer" else many.join(one, "k", PLAIN[how])
-        assert rows(hot_join(many, one, ["k"], how, hot=wrong, salts=3), ["k", "x", "y"]) == rows(plain, ["k", "x", "y"])
+        assert rows(hot_join(many, one, ["k"], how, hot=wrong), ["k", "x", "y"]) == rows(plain, ["k", "x", "y"])
 
 
 def test_empty_sides(sides):
     many, one = sides
     none = many.filter("x > 100")
-    assert hot_join(none, one, ["k"], "one_outer", min_rows=1).count() == one.count()
-    assert hot_join(many, one.filter("y > 100"), ["k"], "many_outer", min_rows=1).count() == many.count()
-    assert hot_join(many, one.filter("y > 100"), ["k"], "inner", min_rows=1).count() == 0
+    assert hot_join(none, one, ["k"], "one_outer", rows_per_task=1).count() == one.count()
+    assert hot_join(many, one.filter("y > 100"), ["k"], "many_outer", rows_per_task=1).count() == many.count()
+    assert hot_join(many, one.filter("y > 100"), ["k"], "inner", rows_per_task=1).count() == 0
 
 
 def test_two_column_keys(spark):
     many = spark.range(0, 900, 1, 4).select((F.col("id") % 2).alias("a"), (F.col("id") % 3).alias("b"), "id")
     one = spark.createDataFrame([(0, 0, "p"), (0, 0, "q"), (1, 2, "r"), (5, 5, "s")], "a bigint, b bigint, y string")
-    found = hot_join(many, one, ["a", "b"], "one_outer", min_rows=1, salts=4)
+    found = hot_join(many, one, ["a", "b"], "one_outer", rows_per_task=1, max_salts=4)
     plain = one.join(many, ["a", "b"], "left")
     assert sorted(map(tuple, found.select("a", "b", "y", "id").collect()), key=str) == sorted(
         map(tuple, plain.select("a", "b", "y", "id").collect()), key=str
     )
 
 
+def test_known_matches(sides):
+    many, one = sides
+    known = one.join(many.select("k").distinct().withColumn("has", F.lit(True)), "k", "left")
+    plain = one.join(many, "k", "left")
+    found = hot_join(many, known, ["k"], "one_outer", matched="has", rows_per_task=20)
+    assert rows(found, ["k", "x", "y"]) == rows(plain, ["k", "x", "y"])
+
+
 def test_hot_keys_are_found_and_bounded(sides):
     many, _ = sides
-    found = {r[0] for r in hot_keys(many, ["k"], min_rows=500).collect()}
-    expected = {r[0] for r in many.select(F.xxhash64("k")).groupBy("xxhash64(k)").count().filter("count >= 500").select("xxhash64(k)").collect()}
-    assert found == expected and len(found) == 2
-    assert hot_keys(many, ["k"], min_rows=1, max_keys=3).count() <= 3
+    found = hot_keys(many, ["k"], rows_per_task=500)
+    exact = many.groupBy(F.xxhash64("k").alias("h")).count().filter("count >= 500").collect()
+    assert found == {r["h"]: r["count"] // 500 + 1 for r in exact} and len(found) == 2
+    assert len(hot_keys(many, ["k"], rows_per_task=1, max_keys=3)) == 3
+    assert max(hot_keys(many, ["k"], rows_per_task=1, max_salts=9).values()) == 9
+    assert hot_keys(many.filter("x > 100"), ["k"]) == {}
 
 
 def test_a_frequent_key_is_spread_over_tasks(spark):
@@ -73,7 +84,7 @@ def test_a_frequent_key_is_spread_over_tasks(spark):
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         spark.conf.set("spark.sql.adaptive.enabled", "false")
-        joined = hot_join(many, one, ["k"], "one_outer", min_rows=100, salts=64)
+        joined = hot_join(many, one, ["k"], "one_outer", rows_per_task=100)
         tasks = joined.groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
