@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from .changes import changed_values, with_neighbours
 from .dedup import distinct_on, latest_version, newest_versions, top_rank
 from .joins import Dim, checked_broadcast, enrich, require_unique, role_pairs
-from .keys import active_only, filter_key_tuples, filter_keys, key_frame, optional_key_lookup
+from .keys import active_only, filter_key_tuples, filter_keys, key_filter, key_frame, optional_key_lookup
 from .ordering import By, desc
 from .skew import hot_join, hot_keys
 from .snapshots import Period, in_any_period, period_snapshots
@@ -32,6 +32,7 @@ __all__ = [
     "hot_join",
     "hot_keys",
     "in_any_period",
+    "key_filter",
     "key_frame",
     "latest_version",
     "newest_versions",

@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .keys import BROADCAST_KEYS, fits_broadcast
 from .skew import hot_join
 
 
@@ -28,9 +29,9 @@ def require_unique(df: DataFrame, key: str) -> None:
         raise ValueError(f"{key} is not unique, e.g. {repeated[0][0]!r} occurs {repeated[0][1]} times")
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_KEYS) -> DataFrame:
     """`broadcast(df)` if it has at most `max_rows` rows, else `df` as it is. Runs a job that stops counting there."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
 def enrich(

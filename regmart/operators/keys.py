@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +10,7 @@ from pyspark.sql import types as T
 
 from .skew import hot_join
 
-# A list passed by the caller sits in the driver already; above this many keys it is joined
-# without a broadcast hint.
+# Up to this many keys, counted beforehand, are broadcast.
 BROADCAST_KEYS = 1_000_000
 
 
@@ -23,26 +22,47 @@ def key_frame(df: DataFrame, cols: Sequence[str], rows: Iterable) -> DataFrame:
     return F.broadcast(frame) if len(tuples) <= BROADCAST_KEYS else frame
 
 
-def filter_keys(df: DataFrame, col: str, keys: DataFrame | Iterable) -> DataFrame:
-    """Rows whose `col` is among `keys`: a list, or a one-column DataFrame. Texts compare exactly.
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_KEYS) -> bool:
+    """Whether `df` has at most `max_rows` rows. Runs a job that stops counting there."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
-    Always a semi-join: rows are never multiplied, and repeated or NULL keys change nothing. Filter `df` before rather than
-    after, as conditions on the result do not reach its scan.
-    """
-    return filter_key_tuples(df, [col], keys)
 
+def key_filter(cols: Sequence[str], keys: DataFrame | Iterable) -> Callable[[DataFrame], DataFrame]:
+    """A function keeping the rows whose `cols` are among `keys`, to be applied to one or more DataFrames.
 
-def filter_key_tuples(df: DataFrame, cols: Sequence[str], keys: DataFrame | Iterable) -> DataFrame:
-    """As `filter_keys`, for keys of several columns given in the order of `cols`.
-
-    A list is broadcast. A DataFrame may be of any size: repeated keys are folded, and rows of a frequent key are spread.
+    A list, or a DataFrame counted to be short, is broadcast, and the filtered rows are not shuffled. Longer keys are joined
+    with the rows of frequent keys spread.
     """
     cols = list(cols)
     if not isinstance(keys, DataFrame):
-        return df.join(key_frame(df, cols, keys), cols, "left_semi")
+        listed = list(keys)
+        return lambda df: df.join(key_frame(df, cols, listed), cols, "left_semi")
     if len(keys.columns) != len(cols):
         raise ValueError(f"keys must have {len(cols)} column(s)")
-    return hot_join(df, _with_types_of(df, cols, keys.toDF(*cols)), cols, "many_semi")
+    distinct = keys.toDF(*cols).distinct()
+    short = fits_broadcast(distinct)
+
+    def apply(df: DataFrame) -> DataFrame:
+        typed = _with_types_of(df, cols, distinct)
+        if short:
+            return df.join(F.broadcast(typed), cols, "left_semi")
+        return hot_join(df, typed, cols, "many_semi")
+
+    return apply
+
+
+def filter_keys(df: DataFrame, col: str, keys: DataFrame | Iterable) -> DataFrame:
+    """Rows whose `col` is among `keys`: a list, or a one-column DataFrame. Texts compare exactly.
+
+    Always a semi-join: rows are never multiplied, and repeated or NULL keys change nothing. Filter `df` before rather than
+    after, as conditions on the result may not reach its scan.
+    """
+    return key_filter([col], keys)(df)
+
+
+def filter_key_tuples(df: DataFrame, cols: Sequence[str], keys: DataFrame | Iterable) -> DataFrame:
+    """As `filter_keys`, for keys of several columns given in the order of `cols`."""
+    return key_filter(cols, keys)(df)
 
 
 def _with_types_of(df: DataFrame, cols: Sequence[str], keys: DataFrame) -> DataFrame:

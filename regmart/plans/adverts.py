@@ -21,6 +21,7 @@ from ..operators import (
     hot_join,
     hot_keys,
     in_any_period,
+    key_filter,
     period_snapshots,
     top_rank,
     with_neighbours,
@@ -42,6 +43,10 @@ PERIODS = [
 ]
 
 
+# Advert ids as a list, a one-column DataFrame, or what `key_filter` made of either.
+Keys = DataFrame | Iterable[int] | Callable[[DataFrame], DataFrame]
+
+
 class AdvertTables(NamedTuple):
     """Inputs of the advert history. The first four hold all versions, the others current rows."""
 
@@ -70,16 +75,16 @@ def _agency_dim(agencies: DataFrame, names: Sequence[str]) -> Dim:
     return Dim(named, "realty_agency_bkh", "bkh", {"realty_agency_name": "realty_agency_name"}, "inner")
 
 
-def advert_versions(
-    t: AdvertTables,
-    agency_names: Sequence[str] = AGENCIES,
-    keys: DataFrame | Iterable[int] | None = None,
-) -> DataFrame:
+def _pick(keys: Keys) -> Callable[[DataFrame], DataFrame]:
+    return keys if callable(keys) else key_filter(["src_cian_id"], keys)
+
+
+def advert_versions(t: AdvertTables, agency_names: Sequence[str] = AGENCIES, keys: Keys | None = None) -> DataFrame:
     """Live versions of the agencies' adverts with the statistics of the same version; `valid_from` is the statistics'
     update. Status entries are joined whether deleted or not, and may repeat rows."""
     live = active_only(t.adverts)
     if keys is not None:
-        live = filter_keys(live, "src_cian_id", keys)
+        live = _pick(keys)(live)
     known = enrich(
         live,
         [
@@ -101,7 +106,7 @@ def with_history_addresses(versions: DataFrame, addresses: DataFrame) -> DataFra
 def price_steps(
     t: AdvertTables,
     agency_names: Sequence[str] = AGENCIES,
-    keys: DataFrame | Iterable[int] | None = None,
+    keys: Keys | None = None,
     stage: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
     """Versions with the times of the advert's previous and next one, the days since the previous as text, and
@@ -119,13 +124,13 @@ def price_steps(
     )
 
 
-def best_adverts(t: AdvertTables, agency_names: Sequence[str] = AGENCIES, keys=None) -> DataFrame:
+def best_adverts(t: AdvertTables, agency_names: Sequence[str] = AGENCIES, keys: Keys | None = None) -> DataFrame:
     """`advert_bkh` of the most recently updated current record(s) per advert id, ties included. With `keys`, those
     that a record of the given adverts can match: usually their own."""
     actual = t.actual
     if keys is not None:
         # Records are matched by bkh alone, so an advert sharing one with a given advert has its say, too.
-        records = filter_keys(actual, "src_cian_id", keys).select("bkh")
+        records = _pick(keys)(actual).select("bkh")
         related = actual.join(records, "bkh", "left_semi").select(F.col("src_cian_id").alias("_id")).distinct()
         actual = actual.join(related, F.col("src_cian_id").eqNullSafe(F.col("_id")), "left_semi")
     stats = t.actual_statistics.select("advert_bkh", "src_update_date", "src_upload_date")
@@ -138,7 +143,7 @@ def advert_history(
     t: AdvertTables,
     agency_names: Sequence[str] = AGENCIES,
     as_of=None,
-    keys: DataFrame | Iterable[int] | None = None,
+    keys: Keys | None = None,
     with_history_address: bool = False,
     empty_address: str | None = None,
     open_status: str = OPEN_STATUS,
@@ -152,6 +157,8 @@ def advert_history(
     The versions are needed twice, to summarise them and to list them. `stage` may store them in between and return
     them, e.g. `DataFrame.checkpoint`; by default they are computed twice, the first time with fewer columns.
     """
+    if keys is not None:
+        keys = key_filter(["src_cian_id"], keys)
     versions = stage(advert_versions(t, agency_names, keys))
     # What a window per advert would tell, as one row per advert: an advert with very many versions is aggregated before
     # the shuffle and never held in one task.
@@ -172,7 +179,7 @@ def advert_history(
             raise ValueError("the history address needs the address history table")
         versions = with_history_addresses(versions, t.addresses)
 
-    current = t.actual if keys is None else filter_keys(t.actual, "src_cian_id", keys)
+    current = t.actual if keys is None else _pick(keys)(t.actual)
     current = current.join(
         best_adverts(t, agency_names, keys).withColumnRenamed("advert_bkh", "bkh"), "bkh"
     ).select(

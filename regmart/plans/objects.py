@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import concat_distinct, join_sorted, union_sets
-from ..operators import filter_key_tuples, filter_keys, hot_join, hot_keys
+from ..operators import filter_keys, hot_join, hot_keys, key_filter
 
 # Dictionary codes. The file type code has a trailing blank.
 DOCUMENT_TYPE_CODE = "4"
@@ -39,13 +39,11 @@ def object_rollup(
     """Per construction object with a land number in `keys`: all its land numbers, titles, addresses and house
     numbers as sorted texts, largest areas, highest and lowest floors. Key texts compare exactly."""
     hits = _declared(filter_keys(lands, "cadastral_num", keys).select(*_PAIR).distinct(), prepared)
-    hits = filter_key_tuples(decl_objects.select(*_PAIR), _PAIR, hits.select(*_PAIR)).select("object_bkh").distinct()
+    hits = hot_join(decl_objects.select(*_PAIR), hits, _PAIR, "many_semi").select("object_bkh").distinct()
     cards = objects.withColumnRenamed("bkh", "object_bkh")
     wanted = cards.join(hits, "object_bkh", "left_semi")
-    chosen = filter_keys(cards, "src_object_id", wanted.select("src_object_id"))
-
-    def of_chosen(df: DataFrame) -> DataFrame:
-        return filter_keys(df, "object_bkh", chosen.select("object_bkh"))
+    chosen = hot_join(cards, wanted, ["src_object_id"], "many_semi")
+    of_chosen = key_filter(["object_bkh"], chosen.select("object_bkh"))
 
     measures = [
         F.max("summary_area").alias("summary_area"),
@@ -110,9 +108,9 @@ def document_rollup(
     )
     typed = docs.join(type_bkh, "document_type_bkh", "left_semi").withColumnRenamed("bkh", "document_bkh")
     key_objects = filter_keys(objects.select("src_object_id"), "src_object_id", keys)
-    about_keys = filter_keys(doc_objects, "src_object_id", key_objects).select("document_bkh").distinct()
+    about_keys = hot_join(doc_objects, key_objects, ["src_object_id"], "many_semi").select("document_bkh").distinct()
     wanted = typed.join(about_keys, "document_bkh", "left_semi")
-    chosen = filter_keys(typed, "document_id", wanted.select("document_id"))
+    chosen = hot_join(typed, wanted, ["document_id"], "many_semi")
 
     land_sets = _declared(lands, prepared).groupBy("object_bkh").agg(F.collect_set("cadastral_num").alias("nums"))
     object_lands = (

@@ -10,7 +10,7 @@ from decimal import Decimal
 
 import pytest
 
-from regmart.operators import Period
+from regmart.operators import Period, hot_keys
 from regmart.plans import (
     AdvertTables,
     advert_history_all,
@@ -29,6 +29,14 @@ D, TS = dt.date, dt.datetime
 SEEDS = [1, 2, 3]
 
 
+@pytest.fixture(autouse=True)
+def spread(request, monkeypatch):
+    """All seeds but the first run as if every key held in two rows were very frequent and every key list very long."""
+    if request.getfixturevalue("seed") != 1:
+        monkeypatch.setattr(hot_keys, "__defaults__", (2, 1000, 3))
+        monkeypatch.setattr("regmart.operators.keys.fits_broadcast", lambda df, max_rows=0: False)
+
+
 class Tables:
     """Random rows of register tables, as DataFrames and as dicts."""
 
@@ -170,7 +178,8 @@ def test_document_rollup(spark, seed):
     groups = group(full, lambda r: (r[0]["document_id"], r[0]["document_num"], r[0]["document_issue_date"], r[5]["file_id"],
                                     r[5]["file_original_name"], r[5]["file_url_txt"]))
     expected = [(*k, texts(r[7]["cadastral_num"] for r in g), texts(r[3]["src_object_id"] for r in g)) for k, g in groups.items()]
-    found = document_rollup(files, file_types, rel_files, docs, doc_types, rel_objects, objects, lands, prepared, [1, 3])
+    keys = [1, 3] if seed < 3 else spark.createDataFrame([(1,), (3,), (3,), (None,)], "id int")
+    found = document_rollup(files, file_types, rel_files, docs, doc_types, rel_objects, objects, lands, prepared, keys)
     same(found, expected, ["document_id", "document_num", "document_date", "file_id", "file_name", "file_link",
                            "cadastral_num", "oks_xml_id"])
 
@@ -367,7 +376,7 @@ COMMON = ["src_cian_id", "bkh", "price_amt", "valid_from", "last_valid_from", "h
 
 
 @pytest.mark.parametrize("seed", SEEDS)
-def test_advert_history(spark, seed):
+def test_advert_history(spark, tmp_path, seed):
     tables, data = advert_inputs(spark, seed)
     day = D(2022, 7, 1)
 
@@ -376,8 +385,12 @@ def test_advert_history(spark, seed):
     expected = [tuple({**r, "user_address_txt": r["user_address_txt"] or "(пусто)", "user_address_txt2": r["user_address_txt2"] or "(пусто)"}[c]
                       for c in cols) for r in naive_history(data, False)]
     same(every, expected, cols)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+    same(advert_history_all(tables, as_of=day, stage=lambda df: df.checkpoint()), expected, cols)
 
-    some = advert_history_of(tables, [1, 2, 3], as_of=day)
+    keys = [1, 2, 3] if seed < 3 else spark.createDataFrame([(i,) for i in (1, 2, 2, 3, None)], "id bigint")
+    some = advert_history_of(tables, keys, as_of=day)
     cols = [*COMMON, "historic_address", "user_address_txt"]
     same(some, [tuple(r[c] for c in cols) for r in naive_history(data, True, {1, 2, 3})], cols)
 

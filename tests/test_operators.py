@@ -120,6 +120,17 @@ def test_filter_keys_never_multiplies(spark):
         filter_keys(df, "k", keys.withColumn("x", F.lit(1)))
 
 
+def test_long_key_lists(spark, monkeypatch):
+    df = spark.range(0, 60, 1, 4).select((F.col("id") % 4).alias("k"), "id")
+    keys = spark.createDataFrame([(0,), (0,), (3,), (None,), (9,)], "k int")
+    expected = [(k, i) for i in range(60) for k in [i % 4] if k in (0, 3)]
+    assert rows(filter_keys(df, "k", keys)) == sorted(expected, key=lambda r: [(False, str(v)) for v in r])
+    monkeypatch.setattr("regmart.operators.keys.fits_broadcast", lambda df, max_rows=0: False)
+    assert rows(filter_keys(df, "k", keys)) == sorted(expected, key=lambda r: [(False, str(v)) for v in r])
+    with pytest.raises(ValueError, match="string"):
+        filter_keys(df, "k", keys.select(F.col("k").cast("string")))
+
+
 def test_filter_key_tuples(spark):
     df = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", None)], "inn string, kpp string")
     assert rows(filter_key_tuples(df, ["inn", "kpp"], [("1", "b"), ("2", None)])) == [("1", "b")]
