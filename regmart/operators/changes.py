@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import sort_columns
+from .skew import flag_hot, hot_keys
 
 
 def changed_values(df: DataFrame, key: str | Sequence[str], col: str) -> DataFrame:
@@ -27,22 +28,27 @@ def with_neighbours(
     order: Sequence[str],
     cols: Sequence[str],
     slice_by: Column | None = None,
+    hot: Mapping[int, int] | None = None,
 ) -> DataFrame:
     """Add `prev_<col>` and `next_<col>`: the values in the row before and after, per key in ascending
     order (NULLs last).
 
-    A window keeps all rows of a key in one task. Where keys may be long, pass `slice_by`, an expression
-    that never decreases along the order, such as the month of the first order column: rows are then windowed per
-    (key, slice), and only the first and last row of each slice look across its border.
+    A window keeps all rows of a key in one task. Where some keys may be very long, pass `slice_by`, an expression that
+    never decreases along the order, such as the hour of the first order column: rows of the frequent keys are then
+    windowed per (key, slice), and only the first and last row of each slice look across its border. `hot` takes the
+    result of `hot_keys` on a cheaper input; by default `df` is looked through.
     """
     keys, cols = list(keys), list(cols)
     ordered = sort_columns(order)
-    if slice_by is None:
+    if slice_by is not None and hot is None:
+        hot = hot_keys(df, keys)
+    if not hot:
         w = Window.partitionBy(*keys).orderBy(*ordered)
         added = {f"prev_{c}": F.lag(c).over(w) for c in cols} | {f"next_{c}": F.lead(c).over(w) for c in cols}
         return df.withColumns(added)
 
-    sliced = df.withColumn("_slice", slice_by)
+    flagged = flag_hot(df, keys, hot)
+    sliced = flagged.withColumn("_slice", F.when(F.col("_salts").isNotNull(), slice_by)).drop("_salts")
     w = Window.partitionBy(*keys, "_slice").orderBy(*ordered)
     inside = sliced.withColumns(
         {f"prev_{c}": F.lag(c).over(w) for c in cols}

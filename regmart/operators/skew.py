@@ -91,30 +91,30 @@ def hot_join(
     if not hot:
         return one.join(many, on, "left") if how == "one_outer" else many.join(one, on, _HOWS[how])
 
-    # The caller's dictionary, at most MAX_HOT_KEYS rows: both sides must see the same keys and salts.
-    listed = F.broadcast(many.sparkSession.createDataFrame(list(hot.items()), "_hot bigint, _salts int"))
     keys = [*on, "_salt"]
     if how == "one_outer":
         # Salted copies of a preserved row that meet an empty salt must not come out as unmatched
         # rows. So only keys known to exist in `many` are salted, and their unmatched copies go.
-        many = _flag(many.dropna(subset=on), on, listed)
+        many = flag_hot(many.dropna(subset=on), on, hot)
         if matched is None:
             present = many.filter(F.col("_salts").isNotNull()).select(*on, F.lit(True).alias("_present")).distinct()
             one, matched = one.join(F.broadcast(present), on, "left"), "_present"  # listed keys only
-        one = _flag(one, on, listed).withColumn("_salts", F.when(F.col(matched), F.col("_salts")))
+        one = flag_hot(one, on, hot).withColumn("_salts", F.when(F.col(matched), F.col("_salts")))
         joined = _copies(one).join(_spread(many).drop("_salts").withColumn("_hit", F.lit(1)), keys, "left")
         kept = joined.filter(F.col("_salts").isNull() | F.col("_hit").isNotNull())
         return kept.drop("_salts", "_hit", "_salt", "_present")
 
-    spread = _spread(_flag(many, on, listed)).drop("_salts")
-    copies = _copies(_flag(one, on, listed)).drop("_salts")
+    spread = _spread(flag_hot(many, on, hot)).drop("_salts")
+    copies = _copies(flag_hot(one, on, hot)).drop("_salts")
     return spread.join(copies, keys, _HOWS[how]).drop("_salt")
 
 
-def _flag(df: DataFrame, on: Sequence[str], listed: DataFrame) -> DataFrame:
-    """Add `_salts`, NULL for ordinary keys."""
+def flag_hot(df: DataFrame, on: Sequence[str], hot: Mapping[int, int]) -> DataFrame:
+    """Add `_salts`: the number of tasks for a frequent key, NULL for an ordinary one."""
+    listed = df.sparkSession.createDataFrame(list(hot.items()), "_hot bigint, _salts int")
     hashed = df.withColumn("_kh", _key_hash(on))
-    return hashed.join(listed, F.col("_kh") == F.col("_hot"), "left").drop("_kh", "_hot")
+    # at most MAX_HOT_KEYS rows
+    return hashed.join(F.broadcast(listed), F.col("_kh") == F.col("_hot"), "left").drop("_kh", "_hot")
 
 
 def _spread(flagged: DataFrame) -> DataFrame:

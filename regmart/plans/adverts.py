@@ -112,9 +112,13 @@ def price_steps(
     """Versions with the times of the advert's previous and next one, the days since the previous as text, and
     the price before in the same record (0 for its first version). For `stage` see `advert_history`."""
     versions = stage(advert_versions(t, agency_names, keys).select(*_VERSION_COLUMNS))
-    month = F.date_trunc("month", F.col("valid_from"))
-    timed = with_neighbours(versions, ["src_cian_id"], ["valid_from", "bkh", "advert_id"], ["valid_from"], month)
-    priced = with_neighbours(timed, ["src_cian_id", "bkh"], ["valid_from", "advert_id"], ["price_amt"], month)
+    live = active_only(t.adverts)
+    hour = F.date_trunc("hour", F.col("valid_from"))
+    timed = with_neighbours(
+        versions, ["src_cian_id"], ["valid_from", "bkh", "advert_id"], ["valid_from"], hour, hot_keys(live, ["src_cian_id"])
+    )
+    record = ["src_cian_id", "bkh"]
+    priced = with_neighbours(timed, record, ["valid_from", "advert_id"], ["price_amt"], hour, hot_keys(live, record))
     return priced.select(
         *_VERSION_COLUMNS,
         F.col("prev_valid_from").alias("prev_valid_date"),

@@ -29,6 +29,7 @@ from regmart.operators import (
     enrich,
     filter_key_tuples,
     filter_keys,
+    hot_keys,
     latest_version,
     optional_key_lookup,
     period_snapshots,
@@ -216,7 +217,9 @@ def test_sliced_neighbours_equal_plain_ones(spark, days):
         "id",
     )
     plain = with_neighbours(df, ["k"], ["t", "id"], ["t", "v"])
-    sliced = with_neighbours(df, ["k"], ["t", "id"], ["t", "v"], F.floor(F.col("t") / days))
+    some = hot_keys(df, ["k"], rows_per_task=100, max_keys=3)
+    assert len(some) == 3
+    sliced = with_neighbours(df, ["k"], ["t", "id"], ["t", "v"], F.floor(F.col("t") / days), some)
     assert rows(sliced, *plain.columns) == rows(plain)
 
 
