@@ -10,6 +10,7 @@ from .columns import (
     flag_if,
     join_sorted,
     outcome_flag,
+    sorted_set,
     to_flag,
     union_sets,
     year_week,
@@ -25,6 +26,7 @@ __all__ = [
     "flag_if",
     "join_sorted",
     "outcome_flag",
+    "sorted_set",
     "to_flag",
     "union_sets",
     "year_week",

@@ -46,7 +46,7 @@ def flag_if(condition: Column) -> Column:
 
 def join_sorted(values: Column, sep: str = ",") -> Column:
     """Array of texts as one sorted text; NULL for an empty array."""
-    return F.when(F.size(values) > 0, F.array_join(F.array_sort(values), sep))
+    return F.when(F.size(values) > 0, F.array_join(F.sort_array(values), sep))
 
 
 def concat_distinct(col: Column | str, sep: str = ",") -> Column:
@@ -54,16 +54,21 @@ def concat_distinct(col: Column | str, sep: str = ",") -> Column:
     return join_sorted(F.collect_set(_col(col).cast("string")), sep)
 
 
+def sorted_set(col: Column | str) -> Column:
+    """Aggregate: the distinct non-NULL values as a sorted array. Equal sets are equal arrays."""
+    return F.sort_array(F.collect_set(_col(col)))
+
+
 def union_sets(sets: Column | str) -> Column:
-    """Aggregate: the distinct elements of all arrays in the group."""
-    # sorted first, so that equal sets are equal arrays and merge before the shuffle
-    return F.array_distinct(F.flatten(F.collect_set(F.array_sort(_col(sets)))))
+    """Aggregate: the distinct elements of all arrays in the group, sorted. Arrays made by `sorted_set` that are
+    equal merge before the shuffle."""
+    return F.sort_array(F.array_distinct(F.flatten(F.collect_set(_col(sets)))))
 
 
 def array_agg_nulls(col: Column | str) -> Column:
     """Aggregate: all values as an array, NULLs included and first, the others ascending. NULL for no rows."""
     rows = F.collect_list(F.struct(_col(col).alias("v")))
-    return F.when(F.size(rows) > 0, F.transform(F.array_sort(rows), lambda r: r["v"]))
+    return F.when(F.size(rows) > 0, F.transform(F.sort_array(rows), lambda r: r["v"]))
 
 
 def days_listed(

@@ -8,18 +8,14 @@ from pyspark.sql import DataFrame
 
 from ..functions import outcome_flag, to_flag
 from ..operators import filter_keys, optional_key_lookup
+from ..sources.schemas import CHECK_FLAGS
 
 # Columns of a counterparty check, in output order.
 COMPANY_COLUMNS = [
     "spark_id", "inn", "ogrn", "kpp", "okfs_code", "okfs_name", "okopf_name", "full_name_rus", "short_name_rus",
     "status_name", "first_registration_date", "revenue", "net_profit", "net_assets",
 ]
-RISK_FLAGS = [
-    "net_profit_flag", "net_assets_flag", "debt_flag", "rev_loss_flag", "tax_debt_flag", "fr_acc_flag",
-    "bad_sup_flag", "inv_add_flag", "cur_status_flag", "age_flag", "ben_chg_flag", "gov_chg_flag", "dsq_flag",
-    "abs_rep_flag", "inv_fnd_flag", "inv_gov_flag", "bl_flag", "bp_flag", "arb_claim_flag", "arb_def_flag",
-    "staff_number_flag", "rkn_license_flag",
-]
+RISK_FLAGS = [f"{f}_flag" for f in CHECK_FLAGS]
 # Check results that pass and that fail; any other has no verdict.
 PASSED = ["GREEN FLAG", "APPROVAL"]
 FAILED = ["RED FLAG"]

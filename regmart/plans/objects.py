@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import concat_distinct, join_sorted, union_sets
+from ..functions import concat_distinct, join_sorted, sorted_set, union_sets
 from ..operators import filter_keys, hot_join, hot_keys, key_filter
 
 # Dictionary codes. The file type code has a trailing blank.
@@ -38,7 +38,7 @@ def object_rollup(
 ) -> DataFrame:
     """Per construction object with a land number in `keys`: all its land numbers, titles, addresses and house
     numbers as sorted texts, largest areas, highest and lowest floors. Key texts compare exactly."""
-    hits = _declared(filter_keys(lands, "cadastral_num", keys).select(*_PAIR).distinct(), prepared)
+    hits = _declared(filter_keys(lands, "cadastral_num", keys).select(*_PAIR), prepared)
     hits = hot_join(decl_objects.select(*_PAIR), hits, _PAIR, "many_semi").select("object_bkh").distinct()
     cards = objects.withColumnRenamed("bkh", "object_bkh")
     wanted = cards.join(hits, "object_bkh", "left_semi")
@@ -66,9 +66,9 @@ def object_rollup(
             hot_join(of_chosen(lands.select(*_PAIR, "cadastral_num")), extents, _PAIR, hot=hot_keys(lands, _PAIR)), prepared
         )
         .groupBy("object_bkh")
-        .agg(F.collect_set("cadastral_num").alias("nums"), *measures)
+        .agg(sorted_set("cadastral_num").alias("nums"), *measures)
     )
-    houses = of_chosen(addresses).groupBy("object_bkh").agg(F.collect_set("house_num").alias("houses"))
+    houses = of_chosen(addresses).groupBy("object_bkh").agg(sorted_set("house_num").alias("houses"))
     return (
         chosen.join(per_object, "object_bkh")
         .join(houses, "object_bkh", "left")
@@ -112,7 +112,7 @@ def document_rollup(
     wanted = typed.join(about_keys, "document_bkh", "left_semi")
     chosen = hot_join(typed, wanted, ["document_id"], "many_semi")
 
-    land_sets = _declared(lands, prepared).groupBy("object_bkh").agg(F.collect_set("cadastral_num").alias("nums"))
+    land_sets = _declared(lands, prepared).groupBy("object_bkh").agg(sorted_set("cadastral_num").alias("nums"))
     object_lands = (
         objects.select(F.col("bkh").alias("object_bkh"), "src_object_id")
         .join(land_sets, "object_bkh")
@@ -127,7 +127,7 @@ def document_rollup(
         .groupBy("document_bkh")
         .agg(
             union_sets("nums").alias("nums"),
-            F.collect_set(F.col("src_object_id").cast("string").substr(1, 255)).alias("ids"),
+            sorted_set(F.col("src_object_id").cast("string").substr(1, 255)).alias("ids"),
         )
     )
     file_type_bkh = file_types.filter(F.col("file_type_code") == file_type).select(F.col("bkh").alias("file_type_bkh"))

@@ -2,7 +2,8 @@
 
 _MONEY = "decimal(18,2)"
 
-_CHECK_FLAGS = [
+# The risk flags of a counterparty check, in output order.
+CHECK_FLAGS = [
     "net_profit", "net_assets", "debt", "rev_loss", "tax_debt", "fr_acc", "bad_sup", "inv_add", "cur_status", "age",
     "ben_chg", "gov_chg", "dsq", "abs_rep", "inv_fnd", "inv_gov", "bl", "bp", "arb_claim", "arb_def", "staff_number",
     "rkn_license",
@@ -29,7 +30,7 @@ SCHEMAS = {
     "counterparty_checks": "spark_id bigint, inn string, ogrn string, kpp string, okfs_code string, okfs_name string, "
     "okopf_name string, full_name_rus string, short_name_rus string, status_name string, "
     f"first_registration_date date, revenue {_MONEY}, net_profit {_MONEY}, net_assets {_MONEY}, "
-    + ", ".join(f"{f}_flag string" for f in _CHECK_FLAGS)
+    + ", ".join(f"{f}_flag string" for f in CHECK_FLAGS)
     + f", report_year int, check_result string, lim_calc {_MONEY}",
     "include_lists": "list_name string, is_negative boolean, status_name string, full_name_rus string, inn string, "
     "ogrn string, kpp string",
