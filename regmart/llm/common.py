@@ -27,7 +27,8 @@ def work_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """`df` written as a table in the shared folder and read back: cuts the lineage, survives lost executors."""
     path = work_dir(df.sparkSession)
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
