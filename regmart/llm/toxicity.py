@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import fold, text_or_empty, written
 
 FOLDS = 5
+# The model is fitted on a sample of about this many labelled rows, or on all if there are fewer.
+MAX_LABELS = 400_000
 # Dirichlet prior: documents that each form gets besides, and so many more shared out as the forms are in all documents.
 FLAT_PRIOR = 1.0
 SHARED_PRIOR = 1000.0
@@ -158,7 +160,7 @@ def _lexicon(counts: DataFrame) -> dict[str, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int | None = FOLDS) -> ToxicityModel:
-    """Learn from the labelled documents whose id's crc32 is not divisible by `folds` (None: from all of them).
+    """Learn from labelled documents whose id's crc32 is not divisible by `folds` (None: from any), `MAX_LABELS` at most.
 
     `docs`: doc_id, text; `labels`: doc_id, toxic (0/1). Rows with a null id or label teach nothing, a null text counts as
     empty; a document with several labels is toxic if one of them says so, repeated documents count one by one.
@@ -171,8 +173,12 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int | None = FOLDS) -> Toxici
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     if folds:
         told, texts = told.filter(fold("doc_id", folds) != 0), texts.filter(fold("doc_id", folds) != 0)
+    share = MAX_LABELS / max(1, told.count())
+    if share < 1:
+        told = told.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     told = told.groupBy("doc_id").agg((F.max("label") > 0).cast("int").alias("label"))
-    train = written(texts.join(told, "doc_id").select("text", "label"))
+    # The sample has two numbers a row, so all tasks get it, and no text is shuffled.
+    train = written(texts.join(F.broadcast(told), "doc_id").select("text", "label"))
     forms = _lexicon(written(_form_counts(train)))
     starts = _starts(forms)
 
