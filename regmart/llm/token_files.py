@@ -14,6 +14,7 @@ The lengths lead to any token of a shard without expanding what is before it.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import sys
 import types
@@ -40,7 +41,7 @@ ROUNDS = 4
 MIN_USES = 8
 _SLOT_BITS = 20
 # A worker forgets the parts of words it knows before a shard when it has more than this many.
-_MAX_PIECES = 700_000
+_MAX_PIECES = 500_000
 # So many parts go through the tokenizer as one text.
 _TOGETHER = 512
 _MAGIC = b"RPG1"
@@ -260,15 +261,15 @@ class PieceEncoder:
     def _places(self, parts: pa.Array, plain: pa.Array) -> np.ndarray:
         coded = parts.dictionary_encode()
         names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        places = self.places
-        missing = [x for x in names if x not in places]
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        found = np.fromiter(map(self.places.get, names, itertools.repeat(-1)), np.int64, len(names))
+        missing = np.flatnonzero(found < 0).tolist()
         if missing:
-            which = coded.indices.to_numpy(zero_copy_only=False)
             words = np.zeros(len(names), bool)
             words[which] = plain.to_numpy(zero_copy_only=False)
-            words = dict(zip(names, words.tolist()))
-            self._learn([x for x in missing if words[x]], [x for x in missing if not words[x]])
-        return np.array([places[x] for x in names], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+            self._learn([names[i] for i in missing if words[i]], [names[i] for i in missing if not words[i]])
+            found[missing] = [self.places[names[i]] for i in missing]
+        return found[which]
 
     def _learn(self, plain: list[str], other: list[str]) -> None:
         """`plain` parts are words to the tokenizer, so many of them can go in one text, whose ids show where words end."""
@@ -283,16 +284,14 @@ class PieceEncoder:
         for i in range(0, len(other), 4096):
             parts = other[i : i + 4096]
             for p, x in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
-                self._remember([p], x.ids, [len(x.ids)])
+                self._remember([p], x.ids, [len(x)])
 
     def _remember(self, parts: list[str], ids: list[int], sizes: list[int]) -> None:
-        at = len(self.flat)
+        first = len(self.starts)
+        self.places.update(zip(parts, range(first, first + len(parts))))
+        self.starts.extend(itertools.accumulate(sizes[:-1], initial=len(self.flat)))
+        self.sizes.extend(sizes)
         self.flat.extend(ids)
-        for p, n in zip(parts, sizes):
-            self.places[p] = len(self.starts)
-            self.starts.append(at)
-            self.sizes.append(n)
-            at += n
 
 
 def _ends_of(whole: pa.Array, beginnings: pa.Array) -> pa.Array:
