@@ -10,9 +10,9 @@ from pyspark import cloudpickle
 # What tasks run is sent with them, so that the executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-from . import exact_dedup, html_extraction, token_files, toxicity, warc  # noqa: E402
+from . import exact_dedup, gru_lm, html_extraction, token_files, toxicity, warc  # noqa: E402
 
-_MODULES = [token_files, html_extraction, exact_dedup, warc, toxicity]
+_MODULES = [token_files, html_extraction, exact_dedup, warc, toxicity, gru_lm]
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
