@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # A group with at least this share of all rows is joined by broadcast; there are at most as many such groups.
 HOT_SHARE = 1000
+# A repeated row is counted, and repeated again at the end in blocks of so many rows.
+_BLOCK = 100_000
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -52,3 +54,12 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     listed = F.broadcast(hot)  # at most HOT_SHARE rows
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return rows.join(listed, key, "inner").unionByName(rest.join(cold, key, how))
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """Each row `n` times. `kept` is true for the first of them if its doc_id is keep_id."""
+    blocks = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / _BLOCK))))
+    here = F.least(F.lit(_BLOCK), F.col("n") - F.col("block") * _BLOCK)
+    copies = blocks.withColumn("copy", F.explode(F.sequence(F.lit(1), here.cast("int"))))
+    first = (F.col("block") == 0) & (F.col("copy") == 1)
+    return copies.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & first)

@@ -7,12 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, text_or_empty, written
+from .common import join_groups, repeated, text_or_empty, written
 
 # The copies of one text are merged in so many groups first.
 SALTS = 64
-# A repeated row is counted, and repeated again at the end in blocks of so many rows.
-_BLOCK = 100_000
 
 
 def sha256(text: Column) -> Column:
@@ -68,20 +66,11 @@ def exact_groups(
         on = (F.col("digest") == F.col("_d")) & (F.col("text") == F.col("_t"))
         more = mixed.join(compared, on).withColumn("digest", sha256(F.col("text")))
         found = found.unionByName(more.select(*found.columns))
-    return _repeated(found).select(
+    return repeated(found).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.col("digest")).alias("text_sha256")
     )
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """Each row `n` times; the first of them is kept if its id is the one that stays."""
-    blocks = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / _BLOCK))))
-    here = F.least(F.lit(_BLOCK), F.col("n") - F.col("block") * _BLOCK)
-    copies = blocks.withColumn("copy", F.explode(F.sequence(F.lit(1), here.cast("int"))))
-    first = (F.col("block") == 0) & (F.col("copy") == 1)
-    return copies.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & first)
-
-
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """All documents, with unchanged texts compared."""
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
