@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import join_groups, repeated, text_or_empty, written
@@ -24,6 +24,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 # 24 bands of 5 registers: two texts of similarity 0.8 share a band with probability 0.99993, of 0.9 with 1 - 1e-9.
 BANDS, ROWS = 24, 5
+# Rounds in which the nodes of a bucket that are apart from its main component are held against one of its nodes.
+ROUNDS = 2
 # Tasks work on so many characters at a time.
 CHUNK_CHARS = 6 << 20
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -139,7 +141,7 @@ def similarities(a: pa.Array, b: pa.Array) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the text and band keys (none for a text without words) of every row, written."""
+    """doc_id, digest of the text, and band keys (none for a text without words) of every row, written."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +151,8 @@ def signed(docs: DataFrame) -> DataFrame:
                 b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + CHUNK_CHARS)))
                 part = batch.slice(a, b - a)
                 hashes, sizes = shingles(text.slice(a, b - a))
-                keys = band_keys(signatures(*bag(hashes, sizes), len(sizes)))[sizes > 0].ravel()
+                signature = signatures(*bag(hashes, sizes), len(sizes))
+                keys = band_keys(signature)[sizes > 0].ravel()
                 ends = np.concatenate([[0], np.cumsum((sizes > 0) * BANDS)]).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column(0), "digest": part.column(1), "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(keys)),
@@ -179,6 +182,22 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(kept, "a long, b long")
 
 
+def bags(texts: DataFrame) -> DataFrame:
+    """node and bag: 32-bit hashes of the shingles of each text (node, text), of which the k-th of its kind has its own."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                doc, element, weight = bag(*shingles(part.column(1)))
+                nth = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+                each = mix(np.repeat(element, weight) + _GOLDEN * nth.astype(np.uint64)).astype(np.uint32).view(np.int32)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, weight, part.num_rows))]).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"node": part.column(0), "bag": pa.ListArray.from_arrays(pa.array(ends), pa.array(each))})
+
+    return texts.select("node", "text").mapInArrow(hashed, "node long, bag array<int>")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) for all nodes of `edges` (a, b).
 
@@ -200,15 +219,30 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with theirs and the bucket's largest one, written."""
+    labelled = members.select("bucket", "node").join(found, "node", "left")
+    labelled = labelled.withColumn("component", F.coalesce("component", "node"))
+    parts = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+    mixed = parts.groupBy("bucket").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"))
+    return written(labelled.join(mixed.filter("parts > 1").select("bucket", "main"), "bucket"))
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, digest, class_id, class_size and kept for every row of `docs` (doc_id, text), copies and near-copies alike.
 
     Classes are the connected components of the pairs of texts that share a band and whose weighted Jaccard similarity
     is at least `similarity`. The row with the smallest (doc_id, digest) of a class is kept, class_id is its doc_id.
 
-    Equal texts are one node. In a band's bucket all nodes are held against one of them first, and against each
-    other only where that has left them in different components: there all such pairs are held, so no link is lost,
-    while a bucket of many copies of one text takes as many pairs as it has nodes.
+    Equal texts are one node. In a band's bucket all nodes are held against one of them first, then in some rounds those
+    apart from the bucket's main component against one node of that. Only pairs of nodes that this has left in
+    different components are then held against each other, all of them; the join itself finds out how many shingles they
+    share, so that only alike ones come out of it. So no link between components is lost, while a bucket of many
+    copies of one text takes about as many pairs as it has nodes.
 
     Nulls: a null text counts as empty, a null doc_id is smaller than any other. Texts without words are alike if they
     are equal. Repeated rows all come out, one of them kept at most. Other columns are not looked at. An empty
@@ -230,20 +264,31 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts = written(given.join(wanted, same).select("node", "text").dropDuplicates(["node"]))
 
     links = written(verified(pairs, texts, similarity))
-    found = components(links)
-    labelled = members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    parts = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-    mixed = parts.groupBy("bucket").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"))
-    mixed = written(mixed.filter("parts > 1").select("bucket", "main"))
-    open_ = written(labelled.join(mixed, "bucket"))
-    one = open_.filter("component <> main").select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
-    other = open_.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), "main")
-    across = one.join(other, "bucket").filter("ca <> cb and (cb = main or a < b)")
-    ordered = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(ordered(across).distinct().join(ordered(pairs), ["a", "b"], "left_anti"))
-    more = written(verified(rest, texts, similarity))
-    if more.head(1):
-        found = components(links.union(more))
+    tested = ordered(pairs)
+    for turn in range(1, ROUNDS + 1):
+        apart = _apart(members, components(links))
+        # Another node of the main component in each turn.
+        mark = F.lit(int(mix(np.array([turn], np.uint64))[0] >> np.uint64(1)))
+        leaders = apart.filter("component = main").groupBy("bucket").agg(F.min(F.col("node").bitwiseXOR(mark)).alias("b"))
+        tries = apart.filter("component <> main").join(leaders.withColumn("b", F.col("b").bitwiseXOR(mark)), "bucket")
+        tries = written(ordered(tries.select(F.col("node").alias("a"), "b")).distinct().join(tested, ["a", "b"], "left_anti"))
+        links, tested = written(links.union(verified(tries, texts, similarity))), tested.union(tries)
+    apart = _apart(members, components(links))
+    known = bags(apart.select("node").distinct().join(texts, "node")).join(nodes.select("node", "bands"), "node")
+    apart = apart.join(known, "node")
+    one = apart.filter("component <> main").select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("node", "component", "bands", "bag")))
+    other = apart.select("bucket", "main", *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "bands", "bag")))
+    n, m = F.size("bag_a"), F.size("bag_b")
+    rest = one.join(other, "bucket").filter(
+        # once per pair: not from both ends, and in one of the buckets it shares only
+        ((F.col("component_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
+        & (F.col("component_a") != F.col("component_b"))
+        & (F.least(n, m) >= (similarity - 0.01) * F.greatest(n, m))
+        & (F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("bucket"))
+        & (F.size(F.array_intersect("bag_a", "bag_b")) * (1.99 + similarity - 1) >= (similarity - 0.01) * (n + m))
+    )
+    rest = written(ordered(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).distinct().join(tested, ["a", "b"], "left_anti"))
+    found = components(links.union(verified(rest, texts, similarity)))
 
     named = nodes.drop("bands").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = written(named)
