@@ -1,2 +1,53 @@
-"""Placeholder until all stages exist."""
-from regmart.llm import ORACLE as ALL_ORACLE, QUERIES as ALL_QUERIES  # noqa: F401
+"""From raw documents to token files: each stage works on all that the one before it kept, written as Parquet and read again."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from regmart.llm import bag_minhash, decontamination, mixing, token_files, toxicity
+from regmart.llm.common import written
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted to be toxic."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, model)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-copies."""
+    return bag_minhash.drop_near_copies(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens have the target shares of sources, languages and topics."""
+    return mixing.sample_mixture(docs)
+
+
+def to_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token files' documents: doc_id, start, n_tokens and ids_crc32."""
+    return token_files.read_shards(token_files.write_shards(docs, token_files.tokenizer_path()))
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near_dedup", without_near_copies),
+    ("decontamination", without_benchmark),
+    ("mixing", to_target_weights),
+    ("token_files", to_token_files),
+]
+
+# Learned scores, signatures and tokenizers are not to be had in SQL; tests/llm holds run() against a plain version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,9 +10,31 @@ from pyspark import cloudpickle
 # What tasks run is sent with them, so that the executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-from . import bag_minhash, exact_dedup, gru_lm, html_extraction, token_files, toxicity, warc  # noqa: E402
+from . import (  # noqa: E402
+    bag_minhash,
+    decontamination,
+    exact_dedup,
+    gru_lm,
+    html_extraction,
+    mixing,
+    site_quality,
+    token_files,
+    toxicity,
+    warc,
+)
 
-_MODULES = [token_files, html_extraction, bag_minhash, exact_dedup, warc, toxicity, gru_lm]
+_MODULES = [
+    mixing,
+    token_files,
+    html_extraction,
+    site_quality,
+    decontamination,
+    bag_minhash,
+    exact_dedup,
+    warc,
+    toxicity,
+    gru_lm,
+]
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
