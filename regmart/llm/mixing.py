@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,26 +25,28 @@ _SIGNS = "!\"#$%&'()*+/:;<=>?@[\\]^_`{|}~"
 _LEGAL = ("licensed under", "license", "copyright")
 
 
-def token_count(text: Column) -> Column:
-    """Runs of characters other than ASCII white space."""
-    return F.size(F.filter(F.split(text, r"[ \t\n\r\f\x0B]+"), lambda w: w != ""))
+def measured(text: Column) -> Column:
+    """Struct of tokens (pieces between white space) and topic: markup (many signs), records (many digits), legal (short, with a
+    license line), note or article. A text without tokens is a note."""
 
+    def topic(text: str, tokens: int) -> str:
+        data = text.encode("utf-8")
+        n = max(1, len(data))
+        if len(data) - len(data.translate(None, _SIGNS.encode())) >= 0.05 * n:
+            return "markup"
+        if len(data) - len(data.translate(None, b"0123456789")) >= 0.03 * n:
+            return "records"
+        if tokens < 400 and any(word in text.lower() for word in _LEGAL):
+            return "legal"
+        return "note" if tokens < 200 else "article"
 
-def topic_of(text: Column, tokens: Column) -> Column:
-    """A coarse topic: table or code (many signs), records (many digits), legal (short and with a license line), note or article."""
-    n = F.greatest(F.length(text), F.lit(1))
-    without = lambda signs: n - F.length(F.translate(text, signs, ""))
-    beginning = F.lower(text)
-    legal = F.lit(False)
-    for word in _LEGAL:
-        legal = legal | beginning.contains(word)
-    return (
-        F.when(without(_SIGNS) >= 0.05 * n, "markup")
-        .when(without("0123456789") >= 0.03 * n, "records")
-        .when(legal & (tokens < 400), "legal")
-        .when(tokens < 200, "note")
-        .otherwise("article")
-    )
+    @F.pandas_udf("tokens long, topic string")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            tokens = batch.map(lambda t: len(t.split())).astype("int64")
+            yield pd.DataFrame({"tokens": tokens, "topic": [topic(t, n) for t, n in zip(batch, tokens)]})
+
+    return of(text)
 
 
 def rake(tokens: np.ndarray, margins: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -69,12 +72,15 @@ def rake(tokens: np.ndarray, margins: list[tuple[np.ndarray, np.ndarray]]) -> np
     return w / w.sum()
 
 
-def mix(docs: DataFrame, tokens: str, targets: Mapping[str, Mapping[str, float]], budget: float | None = None) -> DataFrame:
+def mix(
+    docs: DataFrame, tokens: str, targets: Mapping[str, Mapping[str, float]], budget: float | None = None, sums: DataFrame | None = None
+) -> DataFrame:
     """`docs` with `probability`, by which each is to be sampled so that expected tokens meet all `targets`.
 
     `targets`: for each column its values and their shares of tokens; values that are not named (and nulls) go under `OTHER` if that has a
     share, else they get probability 0. `tokens`: column of token counts; documents without tokens count one. `budget`: expected
-    tokens, by default as many as there can be without a probability above 1; with more, these stay 1.
+    tokens, by default as many as there can be without a probability above 1; with more, these stay 1. `sums`: the targets'
+    columns and the sum of `tokens` (at least one a document) of each combination of values, if known already.
 
     Cells are as many as the targets' values allow, whatever the corpus; at most `MAX_CELLS` are allowed. Their token sums,
     from partial aggregation, go to the driver, their probabilities to all tasks. No document is shuffled.
@@ -83,12 +89,16 @@ def mix(docs: DataFrame, tokens: str, targets: Mapping[str, Mapping[str, float]]
     if np.prod([len(t) + 1.0 for t in targets.values()]) > MAX_CELLS:
         raise ValueError(f"the targets span more than {MAX_CELLS} cells")
     cell = [f"_cell_{i}" for i in range(len(names))]
+
+    def in_cells(rows: DataFrame) -> DataFrame:
+        for c, name in zip(cell, names):
+            value = F.coalesce(F.col(name).cast("string"), F.lit(OTHER))
+            rows = rows.withColumn(c, F.when(value.isin(list(targets[name])), value).otherwise(F.lit(OTHER)))
+        return rows
+
+    keyed = in_cells(docs)
     weight = F.greatest(F.col(tokens), F.lit(1)).cast("long")
-    keyed = docs
-    for c, name in zip(cell, names):
-        value = F.coalesce(F.col(name).cast("string"), F.lit(OTHER))
-        keyed = keyed.withColumn(c, F.when(value.isin(list(targets[name])), value).otherwise(F.lit(OTHER)))
-    sums = keyed.groupBy(*cell).agg(F.sum(weight).alias("_tokens")).toPandas().sort_values(cell, ignore_index=True)
+    sums = (keyed if sums is None else in_cells(sums)).groupBy(*cell).agg(F.sum(weight).alias("_tokens")).toPandas().sort_values(cell, ignore_index=True)
     if sums.empty:
         return docs.withColumn("probability", F.lit(1.0))
     margins = []
@@ -135,21 +145,19 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Targets: sources, languages and topics by their tempered shares of tokens. Null sources, languages and texts
     are allowed, as are repeated rows, which share their fate, and an empty table.
     """
-    text = text_or_empty()
-    counted = docs.withColumn("_tokens", token_count(text)).withColumn("_topic", topic_of(text, F.col("_tokens")))
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(OTHER))
-    cells = written(
-        counted.groupBy(name("source").alias("source"), name("lang").alias("lang"), F.col("_topic").alias("topic"))
-        .agg(F.sum(F.greatest(F.col("_tokens"), F.lit(1)).cast("long")).alias("n"))
-    )
+    counted = docs.withColumn("_measured", measured(text_or_empty()))
+    counted = counted.withColumn("_tokens", F.col("_measured.tokens")).withColumn("_topic", F.col("_measured.topic")).drop("_measured")
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(OTHER)).alias(c)
+    cells = counted.groupBy(name("source"), name("lang"), "_topic").agg(F.sum(F.greatest(F.col("_tokens"), F.lit(1))).alias("_tokens"))
+    cells = written(cells)
     targets = {}
-    for column, given in (("source", "source"), ("lang", "lang"), ("topic", "_topic")):
-        sums = cells.groupBy(column).agg(F.sum("n").alias("n"))
+    for column in ("source", "lang", "_topic"):
+        sums = cells.groupBy(column).agg(F.sum("_tokens").alias("n"))
         top = {r[0]: r[1] for r in sums.orderBy(F.desc("n"), column).limit(MAX_SOURCES).collect()}
         every = sums.agg(F.sum("n")).first()[0] or 0
         rest = every - sum(top.values())
-        targets[given] = tempered({**top, OTHER: top.get(OTHER, 0) + rest}) if top else {}
-    mixed = mix(counted, "_tokens", targets)
+        targets[column] = tempered({**top, OTHER: top.get(OTHER, 0) + rest}) if top else {}
+    mixed = mix(counted, "_tokens", targets, sums=cells)
     return mixed.withColumn("_sampled", chance("doc_id", "text") < F.col("probability"))
 
 
