@@ -202,7 +202,7 @@ _BASE = """
         all_data AS (
           SELECT a.event_id AS advert_id, a.user_id AS src_cian_id, a.r_name AS realty_agency_name, a.price AS price_amt,
                  a.c_acctbal AS total_area_amt, a.value AS price_sqm_amt, a.c_nationkey AS room_cnt,
-                 a.c_name AS housing_complex_name, date_trunc('day', s.ts) AS valid_from, a.record AS bkh,
+                 a.c_name AS housing_complex_name, date_trunc('day', s.ts) AS valid_from, a.ts AS version_from, a.record AS bkh,
                  t.status_name AS historic_status
           FROM v a JOIN v s ON s.record = a.record AND s.ts = a.ts AND s.event_type <> 'signup'
           JOIN statuses t ON t.bkh = a.event_type
@@ -295,14 +295,14 @@ ORACLE = {
         WITH {_BASE},
         stepped AS (
           SELECT *,
-                 lag(valid_from) OVER w AS prev_valid_date, lead(valid_from) OVER w AS next_valid_date,
-                 lag(price_amt) OVER (PARTITION BY src_cian_id, bkh ORDER BY valid_from, advert_id, historic_status) AS past
+                 lag(version_from) OVER w AS prev_valid_date, lead(version_from) OVER w AS next_valid_date,
+                 lag(price_amt) OVER (PARTITION BY src_cian_id, bkh ORDER BY version_from, advert_id, price_amt, historic_status) AS past
           FROM all_data
-          WINDOW w AS (PARTITION BY src_cian_id ORDER BY valid_from, bkh, advert_id, historic_status))
+          WINDOW w AS (PARTITION BY src_cian_id ORDER BY version_from, advert_id, price_amt, bkh, historic_status))
         SELECT advert_id, src_cian_id, realty_agency_name, price_amt, total_area_amt, price_sqm_amt, room_cnt,
                housing_complex_name, valid_from, bkh, historic_status, prev_valid_date, next_valid_date,
-               coalesce(CAST(CAST(valid_from AS DATE) - CAST(prev_valid_date AS DATE) AS VARCHAR), 'Новое объявление')
-                 AS days_since_previous,
+               coalesce(CAST(CAST(valid_from AS DATE) - CAST(next_valid_date AS DATE) AS VARCHAR), 'Новое объявление')
+                 AS days_to_next,
                coalesce(past, 0) AS past_price
         FROM stepped
     """,

@@ -12,6 +12,8 @@ from .skew import hot_join
 
 # Up to this many keys, counted beforehand, are broadcast.
 BROADCAST_KEYS = 1_000_000
+# Requests that give no key at all match every row; their matches are spread over so many keys.
+BLANK_SALTS = 64
 
 
 def key_frame(df: DataFrame, cols: Sequence[str], rows: Iterable) -> DataFrame:
@@ -85,7 +87,6 @@ def optional_key_lookup(
     rows: DataFrame,
     requests: DataFrame | Iterable[tuple],
     cols: Sequence[str],
-    patterns: Iterable[tuple[bool, ...]] | None = None,
 ) -> DataFrame:
     """Rows matching each request, where `''` in a request means "any value".
 
@@ -93,32 +94,29 @@ def optional_key_lookup(
     matches. A NULL in a request matches nothing.
 
     Instead of testing every row against every request, each row is offered once per pattern of
-    given keys, and joined by equality on (pattern, given values). `patterns` lists which keys may
-    be given, as tuples of booleans; it is known for a list of requests, and all are assumed for a
-    DataFrame.
+    given keys that occurs in the requests, and joined by equality on (pattern, given values). The patterns of a
+    table of requests are looked up first, at most two per key multiplied up. A request that gives no key matches
+    all rows; these are spread over `BLANK_SALTS` keys.
     """
     cols = list(cols)
     if not isinstance(requests, DataFrame):
-        tuples = [tuple(r) for r in requests]
-        patterns = {tuple(v != "" for v in t) for t in tuples if None not in t}
-        requests = key_frame(rows, cols, tuples)
-    if patterns is None:
-        patterns = [tuple(bool(i >> b & 1) for b in range(len(cols))) for i in range(2 ** len(cols))]
-    patterns = sorted(patterns)
+        requests = key_frame(rows, cols, [tuple(r) for r in requests])
+    asked = requests.toDF(*[f"request_{c}" for c in cols]).dropna()
+    given = F.concat(*[F.when(F.col(f"request_{c}") == "", "-").otherwise("x") for c in cols])
+    patterns = sorted(tuple(x == "x" for x in r["given"]) for r in asked.select(given.alias("given")).distinct().collect())
     if not patterns:
         patterns = [(True,) * len(cols)]
 
     offers = F.array(*[_offer([F.col(c) for c in cols], p) for p in patterns])
     offered = rows.withColumn("_want", F.explode(offers))
-    asked = requests.toDF(*[f"request_{c}" for c in cols]).withColumn(
-        "_ask",
-        F.struct(
-            F.concat(*[F.when(F.col(f"request_{c}") == "", "-").otherwise("x") for c in cols]).alias("given"),
-            *[F.col(f"request_{c}").alias(f"k{i}") for i, c in enumerate(cols)],
-        ),
-    )
+    blank = "-" * len(cols)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(BLANK_SALTS)).cast("int")
+    offered = offered.withColumn("_salt", F.when(F.col("_want.given") == blank, salt).otherwise(F.lit(0)))
+    asked = asked.withColumn("_ask", F.struct(given.alias("given"), *[F.col(f"request_{c}").alias(f"k{i}") for i, c in enumerate(cols)]))
+    last = F.when(F.col("_ask.given") == blank, F.lit(BLANK_SALTS - 1)).otherwise(F.lit(0))
+    asked = asked.withColumn("_ask_salt", F.explode(F.sequence(F.lit(0), last)))
     fields = ["given", *[f"k{i}" for i in range(len(cols))]]
-    on = [F.col(f"_want.{f}") == F.col(f"_ask.{f}") for f in fields]
+    on = [*(F.col(f"_want.{f}") == F.col(f"_ask.{f}") for f in fields), F.col("_salt") == F.col("_ask_salt")]
     return offered.join(asked, on, "inner").select(*[f"request_{c}" for c in cols], *rows.columns)
 
 

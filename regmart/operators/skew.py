@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 ROWS_PER_TASK = 1_000_000
 # With the 1000 most frequent keys spread, any other key holds under 0.1 % of the rows.
 MAX_HOT_KEYS = 1000
-MAX_SALTS = 1024
 # Sketches of map tasks are merged in this many groups first, as there may be very many map tasks.
 _SKETCH_GROUPS = 256
 
@@ -27,7 +26,7 @@ def hot_keys(
     on: Sequence[str],
     rows_per_task: int = ROWS_PER_TASK,
     max_keys: int = MAX_HOT_KEYS,
-    max_salts: int = MAX_SALTS,
+    max_salts: int | None = None,
 ) -> dict[int, int]:
     """Hashes of the most frequent keys of `df`, each with the number of tasks to spread it over. Runs a job.
 
@@ -45,7 +44,8 @@ def hot_keys(
         .orderBy(F.col("_rows").desc())
         .limit(max_keys)
     )
-    return {r["_hot"]: min(max_salts, r["_rows"] // rows_per_task + 1) for r in counted.collect()}
+    salts = {r["_hot"]: r["_rows"] // rows_per_task + 1 for r in counted.collect()}
+    return {k: min(max_salts or n, n) for k, n in salts.items()}
 
 
 def hot_join(
@@ -71,7 +71,7 @@ def hot_join(
 
     `hot` takes the result of `hot_keys` on a cheaper input with the same keys; by default `many` is looked through
     (with `limits` as there). `matched`, for ``one_outer``, names a boolean column of `one` that is true exactly for rows
-    with a match, if that is known already. The salt is the map task's number, so a task run again gives its rows the same.
+    with a match, if that is known already. The salt is a hash of the row's other columns, so a task run again gives its rows the same.
     """
     if how not in _HOWS:
         raise ValueError(f"how must be one of {list(_HOWS)}")
@@ -100,11 +100,11 @@ def hot_join(
             present = many.filter(F.col("_salts").isNotNull()).select(*on, F.lit(True).alias("_present")).distinct()
             one, matched = one.join(F.broadcast(present), on, "left"), "_present"  # listed keys only
         one = flag_hot(one, on, hot).withColumn("_salts", F.when(F.col(matched), F.col("_salts")))
-        joined = _copies(one).join(_spread(many).drop("_salts").withColumn("_hit", F.lit(1)), keys, "left")
+        joined = _copies(one).join(_spread(many, on).drop("_salts").withColumn("_hit", F.lit(1)), keys, "left")
         kept = joined.filter(F.col("_salts").isNull() | F.col("_hit").isNotNull())
         return kept.drop("_salts", "_hit", "_salt", "_present")
 
-    spread = _spread(flag_hot(many, on, hot)).drop("_salts")
+    spread = _spread(flag_hot(many, on, hot), on).drop("_salts")
     copies = _copies(flag_hot(one, on, hot)).drop("_salts")
     return spread.join(copies, keys, _HOWS[how]).drop("_salt")
 
@@ -117,8 +117,11 @@ def flag_hot(df: DataFrame, on: Sequence[str], hot: Mapping[int, int]) -> DataFr
     return hashed.join(F.broadcast(listed), F.col("_kh") == F.col("_hot"), "left").drop("_kh", "_hot")
 
 
-def _spread(flagged: DataFrame) -> DataFrame:
-    return flagged.withColumn("_salt", F.coalesce(F.pmod(F.spark_partition_id(), F.col("_salts")), F.lit(0)))
+def _spread(flagged: DataFrame, on: Sequence[str]) -> DataFrame:
+    # By what else a row holds, as rows of a key may stand in one partition already; rows of keys alone go by partition.
+    others = [c for c, kind in flagged.dtypes if c not in on and c != "_salts" and "map<" not in kind]
+    spread = F.xxhash64(*others) if others else F.spark_partition_id()
+    return flagged.withColumn("_salt", F.coalesce(F.pmod(spread, F.col("_salts")).cast("int"), F.lit(0)))
 
 
 def _copies(flagged: DataFrame) -> DataFrame:

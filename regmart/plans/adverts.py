@@ -81,7 +81,7 @@ def _pick(keys: Keys) -> Callable[[DataFrame], DataFrame]:
 
 def advert_versions(t: AdvertTables, agency_names: Sequence[str] = AGENCIES, keys: Keys | None = None) -> DataFrame:
     """Live versions of the agencies' adverts with the statistics of the same version; `valid_from` is the statistics'
-    update. Status entries are joined whether deleted or not, and may repeat rows."""
+    update, `version_from` the version's own start. Status entries are joined whether deleted or not, and may repeat rows."""
     live = active_only(t.adverts)
     if keys is not None:
         live = _pick(keys)(live)
@@ -93,8 +93,9 @@ def advert_versions(t: AdvertTables, agency_names: Sequence[str] = AGENCIES, key
         ],
     )
     updates = active_only(t.statistics).select(F.col("advert_bkh").alias("bkh"), "valid_from", "src_update_date")
-    versions = known.join(updates, ["bkh", "valid_from"]).withColumn("valid_from", F.col("src_update_date"))
-    return versions.select(*_VERSION_COLUMNS, "src_realty_id")
+    versions = known.join(updates, ["bkh", "valid_from"]).withColumn("version_from", F.col("valid_from"))
+    versions = versions.withColumn("valid_from", F.col("src_update_date"))
+    return versions.select(*_VERSION_COLUMNS, "src_realty_id", "version_from")
 
 
 def with_history_addresses(versions: DataFrame, addresses: DataFrame) -> DataFrame:
@@ -109,21 +110,23 @@ def price_steps(
     keys: Keys | None = None,
     stage: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
-    """Versions with the times of the advert's previous and next one, the days since the previous as text, and
-    the price before in the same record (0 for its first version). For `stage` see `advert_history`."""
-    versions = stage(advert_versions(t, agency_names, keys).select(*_VERSION_COLUMNS))
+    """Versions with the starts of the advert's previous and next one, the days from the next one's start to this one's
+    update as text (the newest is labelled a new advert), and the price before in the same record (0 for its first version).
+
+    Versions follow each other by their own start, not by their update. Those with one start are ordered by all columns,
+    so the result does not depend on how rows are dealt out. For `stage` see `advert_history`."""
+    versions = stage(advert_versions(t, agency_names, keys).select(*_VERSION_COLUMNS, "version_from"))
     live = active_only(t.adverts)
-    hour = F.date_trunc("hour", F.col("valid_from"))
-    timed = with_neighbours(
-        versions, ["src_cian_id"], ["valid_from", "bkh", "advert_id"], ["valid_from"], hour, hot_keys(live, ["src_cian_id"])
-    )
+    hour = F.date_trunc("hour", F.col("version_from"))
+    order = ["version_from", *(c for c in _VERSION_COLUMNS if c != "src_cian_id")]
+    timed = with_neighbours(versions, ["src_cian_id"], order, ["version_from"], hour, hot_keys(live, ["src_cian_id"]))
     record = ["src_cian_id", "bkh"]
-    priced = with_neighbours(timed, record, ["valid_from", "advert_id"], ["price_amt"], hour, hot_keys(live, record))
+    priced = with_neighbours(timed, record, [c for c in order if c != "bkh"], ["price_amt"], hour, hot_keys(live, record))
     return priced.select(
         *_VERSION_COLUMNS,
-        F.col("prev_valid_from").alias("prev_valid_date"),
-        F.col("next_valid_from").alias("next_valid_date"),
-        day_gap_label("prev_valid_from", "valid_from", NEW_ADVERT).alias("days_since_previous"),
+        F.col("prev_version_from").alias("prev_valid_date"),
+        F.col("next_version_from").alias("next_valid_date"),
+        day_gap_label("next_version_from", "valid_from", NEW_ADVERT).alias("days_to_next"),
         F.coalesce("prev_price_amt", F.lit(0)).alias("past_price"),
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,7 +26,7 @@ def start_request_stats(
     """Append the statistics of each closed bucket to Parquet at `out_path`.
 
     A bucket is written once the watermark has passed its end. The query's progress is kept at `checkpoint`, by default
-    in the cluster's shared checkpoint folder. With `available_now` it stops after the files that are there.
+    in a folder of the cluster's shared checkpoint folder that is named after `out_path`. With `available_now` it stops after the files that are there.
     """
     log = stream_requests(spark, log_path, max_files)
     stats = request_stats(log, bucket, exact=exact, watermark=watermark)
@@ -32,7 +34,7 @@ def start_request_stats(
         stats.writeStream.outputMode("append")
         .format("parquet")
         .option("path", out_path)
-        .option("checkpointLocation", checkpoint or f"{shared_dir(spark)}/request_stats")
+        .option("checkpointLocation", checkpoint or f"{shared_dir(spark)}/request_stats-{zlib.crc32(out_path.encode()):08x}")
     )
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -333,7 +333,7 @@ def naive_versions(d, with_address):
         full = [(*r, {}) for r in full]
     return [
         {"id": a["src_cian_id"], "advert_id": a["advert_id"], "agency": g["realty_agency_name"], "price": a["price_amt"], "bkh": a["bkh"],
-         "at": s["src_update_date"], "status": st["status_name"], "address": ad.get("user_address_txt")}
+         "at": s["src_update_date"], "start": a["valid_from"], "status": st["status_name"], "address": ad.get("user_address_txt")}
         for a, s, g, st, ad in full
     ]
 
@@ -398,14 +398,21 @@ def test_advert_history(spark, tmp_path, seed):
 @pytest.mark.parametrize("seed", SEEDS)
 def test_price_steps(spark, seed):
     tables, data = advert_inputs(spark, seed)
+    versions = naive_versions(data, False)
     steps = price_steps(tables).collect()
-    assert len(steps) == len(naive_versions(data, False))
-    for g in group(steps, lambda r: r.src_cian_id).values():
-        times = sorted(r.valid_from for r in g if r.valid_from is not None)
-        assert sorted(r.next_valid_date for r in g if r.next_valid_date is not None) == times[1:]
-        if len(times) == len(g):
-            assert sorted(r.prev_valid_date for r in g if r.prev_valid_date is not None) == times[:-1]
-            assert sum(r.days_since_previous == "Новое объявление" for r in g) == 1
+    assert len(steps) == len(versions)
+    listed = group(versions, lambda v: v["id"])
+    for advert, rows in group(steps, lambda r: r.src_cian_id).items():
+        starts = sorted((v["start"] for v in listed[advert]), key=lambda x: (x is None, x))
+        # every row stands at one place of the advert's versions: its neighbours are the starts around that place
+        around = lambda x: sorted(map(str, x))
+        places = [(starts[i - 1] if i else None, starts[i + 1] if i + 1 < len(starts) else None) for i in range(len(starts))]
+        assert around((r.prev_valid_date, r.next_valid_date) for r in rows) == around(places)
+        for r in rows:
+            own = [v["start"] for v in listed[advert] if (v["advert_id"], v["bkh"], v["at"]) == (r.advert_id, r.bkh, r.valid_from)]
+            assert any((r.prev_valid_date, r.next_valid_date) == p for s, p in zip(starts, places) if s in own)
+            days = None if None in (r.valid_from, r.next_valid_date) else (r.valid_from.date() - r.next_valid_date.date()).days
+            assert r.days_to_next == ("Новое объявление" if days is None else str(days))
 
 
 @pytest.mark.parametrize("seed", SEEDS)
