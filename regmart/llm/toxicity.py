@@ -139,7 +139,8 @@ def _form_counts(train: DataFrame) -> DataFrame:
                 docs[label].update({f for w in set(words_of(text)) for f in forms_of(w)})
                 if len(docs[0]) + len(docs[1]) > _FLUSH:
                     yield handed()
-        yield handed()
+        if docs[0] or docs[1]:
+            yield handed()
 
     counts = train.mapInPandas(count, "form string, clean long, toxic long")
     return counts.groupBy("form").agg(F.sum("clean").alias("c0"), F.sum("toxic").alias("c1"))
@@ -267,7 +268,8 @@ def passages(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                     e = model.e_value(s, len(words))
                     if e <= MAX_E_VALUE:
                         rows.append((doc_id, i, j, s, e, lower[spans[i][0] : spans[j][1]]))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")]).astype({"doc_id": "Int64"})
+            if rows:
+                yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")]).astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(listed, schema)
 
