@@ -27,7 +27,7 @@ BANDS, ROWS = 24, 5
 # Rounds in which the nodes of a bucket that are apart from its main component are held against one of its nodes.
 ROUNDS = 2
 # Tasks work on so many characters at a time.
-CHUNK_CHARS = 6 << 20
+CHUNK_CHARS = 2 << 20
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -173,8 +173,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 alike = similarities(part.column(2), part.column(3)) >= similarity - 1e-12
                 yield part.select(["a", "b"]).filter(pa.array(alike))
 
@@ -187,8 +187,8 @@ def bags(texts: DataFrame) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 doc, element, weight = bag(*shingles(part.column(1)))
                 nth = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
                 each = mix(np.repeat(element, weight) + _GOLDEN * nth.astype(np.uint64)).astype(np.uint32).view(np.int32)
