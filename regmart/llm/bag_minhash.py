@@ -201,22 +201,47 @@ def bags(texts: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) for all nodes of `edges` (a, b).
 
-    In each round a node takes the least label among its neighbours, and then that label's own one. Rounds are
-    written, and end when no label has changed.
+    In each round a node points at its least neighbour, if that is less than itself, and then at the end of the chain it is
+    in. Edges are drawn between these ends from then on, so that each round leaves half of their nodes at most. Rounds are
+    written, and end when no edge is left.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        near = labels.join(near, labels["node"] == near["a"]).select(
-            "node", F.col("component").alias("old"), F.least("component", "near").alias("component")
-        )
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        after = written(near.join(jump, "component").select("node", "old", F.least("component", "further").alias("component")))
-        changed = after.filter("component <> old").limit(1).count()
-        labels = after.drop("old")
-        if not changed:
-            return labels
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    labels = nodes.withColumn("component", F.col("node"))
+    edges = written(ordered(edges).filter("a <> b").distinct())
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        roots = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
+        roots = written(roots.select("node", F.least("node", "least").alias("root")))
+        chained = True
+        while chained:
+            further = roots.select(F.col("node").alias("root"), F.col("root").alias("further"))
+            after = written(roots.join(further, "root").select("node", "root", "further"))
+            chained = not after.filter("further <> root").isEmpty()
+            roots = after.select("node", F.col("further").alias("root"))
+        edges = written(ordered(_relabelled(edges, roots)).filter("a <> b").distinct())
+        labels = written(_renamed(labels, roots))
+    return labels
+
+
+def extended(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components `found` (node, component), further nodes and what `links` (a, b) bring together, written."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    further = ends.join(found, "node", "left_anti")
+    labels = written(found.union(further.withColumn("component", F.col("node"))))
+    between = _relabelled(links, labels.withColumnRenamed("component", "root")).filter("a <> b")
+    return written(_renamed(labels, components(between).withColumnRenamed("component", "root")))
+
+
+def _relabelled(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """`edges` (a, b) between the roots of their ends, as `roots` (node, root) has them."""
+    left, right = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    return edges.join(left, "a").join(right, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+
+
+def _renamed(labels: DataFrame, roots: DataFrame) -> DataFrame:
+    """`labels` (node, component) with the root of each component that has one."""
+    named = labels.join(roots.withColumnRenamed("node", "component"), "component", "left")
+    return named.select("node", F.coalesce("root", "component").alias("component"))
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -263,17 +288,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     same = given["digest"].eqNullSafe(wanted["digest"]) & given["doc_id"].eqNullSafe(wanted["doc_id"])
     texts = written(given.join(wanted, same).select("node", "text").dropDuplicates(["node"]))
 
-    links = written(verified(pairs, texts, similarity))
-    tested = ordered(pairs)
+    found, tested = components(written(verified(pairs, texts, similarity))), ordered(pairs)
     for turn in range(1, ROUNDS + 1):
-        apart = _apart(members, components(links))
+        apart = _apart(members, found)
         # Another node of the main component in each turn.
         mark = F.lit(int(mix(np.array([turn], np.uint64))[0] >> np.uint64(1)))
         leaders = apart.filter("component = main").groupBy("bucket").agg(F.min(F.col("node").bitwiseXOR(mark)).alias("b"))
         tries = apart.filter("component <> main").join(leaders.withColumn("b", F.col("b").bitwiseXOR(mark)), "bucket")
         tries = written(ordered(tries.select(F.col("node").alias("a"), "b")).distinct().join(tested, ["a", "b"], "left_anti"))
-        links, tested = written(links.union(verified(tries, texts, similarity))), tested.union(tries)
-    apart = _apart(members, components(links))
+        found, tested = extended(found, written(verified(tries, texts, similarity))), tested.union(tries)
+    apart = _apart(members, found)
     known = bags(apart.select("node").distinct().join(texts, "node")).join(nodes.select("node", "bands"), "node")
     apart = apart.join(known, "node")
     one = apart.filter("component <> main").select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("node", "component", "bands", "bag")))
@@ -288,7 +312,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         & (F.size(F.array_intersect("bag_a", "bag_b")) * (1.99 + similarity - 1) >= (similarity - 0.01) * (n + m))
     )
     rest = written(ordered(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).distinct().join(tested, ["a", "b"], "left_anti"))
-    found = components(links.union(verified(rest, texts, similarity)))
+    found = extended(found, written(verified(rest, texts, similarity)))
 
     named = nodes.drop("bands").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = written(named)

@@ -245,6 +245,28 @@ def test_signatures_estimate_weighted_jaccard():
     assert abs(np.mean(off)) < 0.01 and np.std(off) < 0.03
 
 
+def test_components(spark):
+    """Against label propagation: a chain, a star, a ring, random links, a loop, and links found later."""
+    rng = np.random.default_rng(3)
+    first = [(i, i + 1) for i in range(100, 160)] + [(299, i) for i in range(200, 240)] + [(i, 300 + (i + 7) % 20) for i in range(300, 320)]
+    first += [tuple(int(x) for x in rng.integers(400, 600, 2)) for _ in range(90)] + [(700, 700), (100, 101)]
+    later = [(160, 239), (805, 800), (320, 450), (801, 800)]
+
+    def expected(links):
+        label = {v: v for link in links for v in link}
+        for _ in label:
+            for a, b in links:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    links = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    found = bag_minhash.components(links(first))
+    assert dict(found.collect()) == expected(first)
+    assert dict(bag_minhash.extended(found, links(later)).collect()) == expected(first + later)
+    assert bag_minhash.extended(found, links([])).exceptAll(found).isEmpty()
+    assert bag_minhash.components(links([])).count() == 0
+
+
 def test_classes_of_near_copies(spark, odd, empty):
     rng, rows = np.random.default_rng(4), []
     for i in range(60):
