@@ -100,9 +100,7 @@ def _deal_listing(spark, sf_dir):
         read(spark, sf_dir, "customer")
         .select(text("c_custkey").alias("realty_bkh"), text("c_nationkey").alias("realty_region_bkh"))
         .union(
-            read(spark, sf_dir, "events")
-            .filter("event_type = 'purchase'")
-            .select(text("user_id"), F.hour("ts").cast("string"))
+            read(spark, sf_dir, "events").select(text("user_id"), F.hour("ts").cast("string"))
         )
     )
     regions = (
@@ -175,7 +173,7 @@ ORACLE = {
     "deal_listing": """
         WITH addresses AS (
           SELECT c_custkey AS realty, c_nationkey AS region FROM customer
-          UNION ALL SELECT user_id, hour(ts) FROM events WHERE event_type = 'purchase'),
+          UNION ALL SELECT user_id, hour(ts) FROM events),
         regions AS (SELECT n_nationkey AS bkh FROM nation UNION ALL SELECT r_regionkey FROM region)
         SELECT CAST(c.c_custkey AS VARCHAR) AS realty_bkh, CAST(o.o_orderkey AS VARCHAR) AS deal_bkh,
                concat(s.l_linenumber, '-', s.l_partkey) AS ods_bkh, o.o_orderstatus AS region_code,

@@ -43,10 +43,8 @@ def _object_rollup(spark, sf_dir):
         F.col("p_name").alias("title_name"),
         F.col("p_type").alias("full_address_txt"),
     )
-    addresses = (
-        read(spark, sf_dir, "lineitem")
-        .filter("l_returnflag = 'R' and l_linenumber > 4")
-        .select(text("l_partkey").alias("object_bkh"), F.concat_ws("/", "l_linenumber", "l_linestatus").alias("house_num"))
+    addresses = read(spark, sf_dir, "lineitem").select(
+        text("l_partkey").alias("object_bkh"), F.concat_ws("/", "l_linenumber", "l_linestatus").alias("house_num")
     )
     keys = read(spark, sf_dir, "supplier").select(F.concat(text("s_suppkey"), F.lit(":1")))
     return object_rollup(_lands(spark, sf_dir), _prepared(spark, sf_dir), decl_objects, objects, addresses, keys)
@@ -104,7 +102,7 @@ ORACLE = {
           JOIN part p ON p.p_partkey = l.l_partkey),
         houses AS (
           SELECT l_partkey, concat(l_linenumber, '/', l_linestatus) AS house
-          FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber > 4)
+          FROM lineitem)
         SELECT CAST(p_size AS BIGINT) AS oks_xml_id, CAST(substring(p_brand, 7) AS BIGINT) AS oks_id,
                string_agg(DISTINCT land, ',' ORDER BY land) AS cadastral_num,
                string_agg(DISTINCT p_name, ',' ORDER BY p_name) AS title, max(total) AS summary_area,

@@ -153,9 +153,8 @@ def _optional_keys(spark, sf_dir):
 def _hot_join(spark, sf_dir):
     """Left join to the frequent side, with every frequent key spread."""
     parts = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    lines = read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_linestatus = 'F' and l_quantity > 45")
-    lines = lines.select(F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_linenumber", "l_suppkey")
-    return hot_join(lines, parts, ["p_partkey"], "one_outer", rows_per_task=2, max_salts=4)
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_linenumber", "l_suppkey")
+    return hot_join(lines, parts, ["p_partkey"], "one_outer", rows_per_task=20, max_salts=4)
 
 
 def _scalar_functions(spark, sf_dir):
@@ -329,7 +328,7 @@ ORACLE = {
     """,
     "left_join_frequent_keys": """
         SELECT p_partkey, p_brand, l_orderkey, l_linenumber, l_suppkey FROM part
-        LEFT JOIN lineitem ON l_partkey = p_partkey AND l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 45
+        LEFT JOIN lineitem ON l_partkey = p_partkey
     """,
     "scalar_functions": """
         SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN '(none)' ELSE o_orderstatus END AS status,

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .keys import BROADCAST_KEYS, fits_broadcast
+from .keys import BROADCAST_BYTES, fits_broadcast
 from .skew import hot_join
 
 
@@ -29,20 +29,20 @@ def require_unique(df: DataFrame, key: str) -> None:
         raise ValueError(f"{key} is not unique, e.g. {repeated[0][0]!r} occurs {repeated[0][1]} times")
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_KEYS) -> DataFrame:
-    """`broadcast(df)` if it has at most `max_rows` rows, else `df` as it is. Runs a job that stops counting there."""
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
+def checked_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """`broadcast(df)` if its rows hold at most `max_bytes`, else `df` as it is. Runs a job that adds up their sizes."""
+    return F.broadcast(df) if fits_broadcast(df, max_bytes) else df
 
 
 def enrich(
     df: DataFrame,
     dims: Sequence[Dim],
     check_unique: bool = False,
-    broadcast_rows: int | None = None,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Join a chain of dimensions by equality; a dimension key that repeats multiplies rows.
 
-    With `check_unique`, keys are verified first. With `broadcast_rows`, dimensions counted to be no larger are
+    With `check_unique`, keys are verified first. With `broadcast_bytes`, dimensions measured to be no larger are
     broadcast; otherwise Spark decides by their size.
     """
     for i, dim in enumerate(dims):
@@ -50,8 +50,8 @@ def enrich(
             require_unique(dim.table, dim.key)
         key = f"_k{i}"
         side = dim.table.select(F.col(dim.key).alias(key), *[F.col(src).alias(out) for out, src in dim.columns.items()])
-        if broadcast_rows is not None:
-            side = checked_broadcast(side, broadcast_rows)
+        if broadcast_bytes is not None:
+            side = checked_broadcast(side, broadcast_bytes)
         df = df.join(side, F.col(dim.left_key) == F.col(key), dim.how)
         if dim.how not in ("left_semi", "left_anti"):
             df = df.drop(key)

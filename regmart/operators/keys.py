@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from .skew import hot_join
 
-# Up to this many keys, counted beforehand, are broadcast.
-BROADCAST_KEYS = 1_000_000
+# Keys of up to so many bytes, measured beforehand, are broadcast; a value counts 16 bytes besides its text.
+BROADCAST_BYTES = 64 << 20
+_VALUE_BYTES = 16
 # Requests that give no key at all match every row; their matches are spread over so many keys.
 BLANK_SALTS = 64
 
@@ -21,18 +22,20 @@ def key_frame(df: DataFrame, cols: Sequence[str], rows: Iterable) -> DataFrame:
     schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in cols])
     tuples = list(dict.fromkeys(r if isinstance(r, tuple) else (r,) for r in rows))
     frame = df.sparkSession.createDataFrame(tuples, schema)
-    return F.broadcast(frame) if len(tuples) <= BROADCAST_KEYS else frame
+    size = sum(_VALUE_BYTES + len(str(v).encode()) for t in tuples for v in t)
+    return F.broadcast(frame) if size <= BROADCAST_BYTES else frame
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_KEYS) -> bool:
-    """Whether `df` has at most `max_rows` rows. Runs a job that stops counting there."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of `df` hold at most `max_bytes`. Runs a job that sends one number per task."""
+    texts = [F.coalesce(F.octet_length(df[c].cast("string")), F.lit(0)) + _VALUE_BYTES for c in df.columns]
+    return (df.agg(F.sum(sum(texts[1:], texts[0]))).first()[0] or 0) <= max_bytes
 
 
 def key_filter(cols: Sequence[str], keys: DataFrame | Iterable) -> Callable[[DataFrame], DataFrame]:
     """A function keeping the rows whose `cols` are among `keys`, to be applied to one or more DataFrames.
 
-    A list, or a DataFrame counted to be short, is broadcast, and the filtered rows are not shuffled. Longer keys are joined
+    A list, or a DataFrame measured to be short, is broadcast, and the filtered rows are not shuffled. Longer keys are joined
     with the rows of frequent keys spread.
     """
     cols = list(cols)

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 # A frequent key's rows are spread so that about this many come to one task.
 ROWS_PER_TASK = 1_000_000
-# With the 1000 most frequent keys spread, any other key holds under 0.1 % of the rows.
-MAX_HOT_KEYS = 1000
-# Sketches of map tasks are merged in this many groups first, as there may be very many map tasks.
+# Sketches of map tasks are merged in this many groups, as there may be very many map tasks, and tell so many keys of each.
 _SKETCH_GROUPS = 256
+_SKETCH_KEYS = 10_000
 
 _HOWS = {"inner": "inner", "many_outer": "left", "many_semi": "left_semi", "one_outer": "left"}
 
@@ -25,25 +24,27 @@ def hot_keys(
     df: DataFrame,
     on: Sequence[str],
     rows_per_task: int = ROWS_PER_TASK,
-    max_keys: int = MAX_HOT_KEYS,
+    max_keys: int | None = None,
     max_salts: int | None = None,
 ) -> dict[int, int]:
     """Hashes of the most frequent keys of `df`, each with the number of tasks to spread it over. Runs a job.
 
-    At most `max_keys` entries, whatever the input. Counts come from the frequent-items sketch of `approx_top_k`: each map
-    task ships one sketch of bounded size, the keys themselves are not shuffled. Estimates are enough, since a key listed or
+    All keys that the sketches tell to have `rows_per_task` rows, or only the `max_keys` most frequent of them. So there are about as
+    many entries, of a few bytes each, as one task's rows go into the table. Counts come from the frequent-items sketch of `approx_top_k`:
+    each map task ships one sketch of bounded size, the keys themselves are not shuffled. Estimates are enough, since a key listed or
     missed by mistake changes only how rows are spread, never a join's result.
     """
     hashed = df.select(_key_hash(on).alias("_kh"), F.pmod(F.spark_partition_id(), F.lit(_SKETCH_GROUPS)).alias("_g"))
-    tops = hashed.groupBy("_g").agg(F.expr(f"approx_top_k(_kh, {max_keys}, {max_keys * 10})").alias("_top"))
+    told = max_keys or _SKETCH_KEYS
+    tops = hashed.groupBy("_g").agg(F.expr(f"approx_top_k(_kh, {told}, {told * 10})").alias("_top"))
     counted = (
         tops.select(F.explode("_top").alias("_t"))
         .groupBy(F.col("_t.item").alias("_hot"))
         .agg(F.sum("_t.count").alias("_rows"))
         .filter(F.col("_rows") >= rows_per_task)
-        .orderBy(F.col("_rows").desc())
-        .limit(max_keys)
     )
+    if max_keys:
+        counted = counted.orderBy(F.col("_rows").desc()).limit(max_keys)
     salts = {r["_hot"]: r["_rows"] // rows_per_task + 1 for r in counted.collect()}
     return {k: min(max_salts or n, n) for k, n in salts.items()}
 
@@ -113,7 +114,7 @@ def flag_hot(df: DataFrame, on: Sequence[str], hot: Mapping[int, int]) -> DataFr
     """Add `_salts`: the number of tasks for a frequent key, NULL for an ordinary one."""
     listed = df.sparkSession.createDataFrame(list(hot.items()), "_hot bigint, _salts int")
     hashed = df.withColumn("_kh", _key_hash(on))
-    # at most MAX_HOT_KEYS rows
+    # one short row per ROWS_PER_TASK rows of the table, at most
     return hashed.join(F.broadcast(listed), F.col("_kh") == F.col("_hot"), "left").drop("_kh", "_hot")
 
 

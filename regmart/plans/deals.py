@@ -66,7 +66,7 @@ def deal_rollup(
     )
     shared = hot_join(deal_shares, documented, ["deal_bkh"], "one_outer")
     numbers = realty.select(F.col("bkh").alias("realty_bkh"), "cadastral_num")
-    placed = hot_join(shared, numbers, ["realty_bkh"], "many_outer", hot=hot_keys(deals, ["realty_bkh"]))
+    placed = hot_join(shared, numbers, ["realty_bkh"], "many_outer", hot=hot_keys(recent, ["realty_bkh"]))
 
     described = placed.select(
         "cadastral_num", "registration_date", "cancel_date", "region_code", "deal_num", "cadastral_doc_addition_txt",
@@ -142,7 +142,7 @@ def deal_listing(
         F.col("reference_bkh").alias("deal_bkh"), F.col("bkh").alias("ods_bkh"), "ods_description",
         "transfer_deadline_txt",
     )
-    documented = hot_join(deal_shares, recent, ["deal_bkh"], "one_outer").join(typed_docs, "deal_bkh")
+    documented = hot_join(deal_shares, recent.join(typed_docs, "deal_bkh"), ["deal_bkh"], "one_outer")
 
     entries = regions.groupBy(F.col("bkh").alias("realty_region_bkh")).agg(F.count(F.lit(1)).alias("entries"))
     copies = (
@@ -156,7 +156,7 @@ def deal_listing(
         F.col("bkh").alias("realty_bkh"), "cadastral_num", "room_number_txt", "room_name", "floor_number_txt",
         "plan_number_txt", "room_area_amt",
     ).join(copies, "realty_bkh", "left")
-    listed = hot_join(documented, homes, ["realty_bkh"], hot=hot_keys(deals, ["realty_bkh"]))
+    listed = hot_join(documented, homes, ["realty_bkh"], hot=hot_keys(recent, ["realty_bkh"]))
     return listed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1))))).select(
         "realty_bkh", "deal_bkh", "ods_bkh", "region_code", "cadastral_num", "cadastral_doc_num", "registration_date",
         "cancel_date", "deal_num", "deal_condition_txt", "subject_description", "ods_description", "deal_price_txt",

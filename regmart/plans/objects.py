@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import concat_distinct, join_sorted, sorted_set, union_sets
-from ..operators import filter_keys, hot_join, hot_keys, key_filter
+from ..operators import filter_keys, hot_join, key_filter
 
 # Dictionary codes. The file type code has a trailing blank.
 DOCUMENT_TYPE_CODE = "4"
@@ -62,9 +62,7 @@ def object_rollup(
         )
     )
     per_object = (
-        _declared(
-            hot_join(of_chosen(lands.select(*_PAIR, "cadastral_num")), extents, _PAIR, hot=hot_keys(lands, _PAIR)), prepared
-        )
+        _declared(hot_join(of_chosen(lands.select(*_PAIR, "cadastral_num")), extents, _PAIR), prepared)
         .groupBy("object_bkh")
         .agg(sorted_set("cadastral_num").alias("nums"), *measures)
     )
@@ -112,18 +110,17 @@ def document_rollup(
     wanted = typed.join(about_keys, "document_bkh", "left_semi")
     chosen = hot_join(typed, wanted, ["document_id"], "many_semi")
 
-    land_sets = _declared(lands, prepared).groupBy("object_bkh").agg(sorted_set("cadastral_num").alias("nums"))
-    object_lands = (
-        objects.select(F.col("bkh").alias("object_bkh"), "src_object_id")
-        .join(land_sets, "object_bkh")
-        .groupBy("src_object_id")
-        .agg(union_sets("nums").alias("nums"))
-    )
     about = filter_keys(doc_objects, "document_bkh", chosen.select("document_bkh"))
+    about = about.select("document_bkh", "src_object_id").distinct()
+    # Only objects that the documents are about, and only the lands of these, are reduced.
+    subject_objects = objects.select(F.col("bkh").alias("object_bkh"), "src_object_id").join(
+        about.select("src_object_id"), "src_object_id", "left_semi"
+    )
+    subject_lands = lands.join(subject_objects.select("object_bkh"), "object_bkh", "left_semi")
+    land_sets = _declared(subject_lands, prepared).groupBy("object_bkh").agg(sorted_set("cadastral_num").alias("nums"))
+    object_lands = subject_objects.join(land_sets, "object_bkh").groupBy("src_object_id").agg(union_sets("nums").alias("nums"))
     subjects = (
-        about.select("document_bkh", "src_object_id")
-        .distinct()
-        .join(object_lands, "src_object_id")
+        about.join(object_lands, "src_object_id")
         .groupBy("document_bkh")
         .agg(
             union_sets("nums").alias("nums"),

@@ -34,7 +34,7 @@ def spread(request, monkeypatch):
     """All seeds but the first run as if every key held in two rows were very frequent and every key list very long."""
     if request.getfixturevalue("seed") != 1:
         monkeypatch.setattr(hot_keys, "__defaults__", (2, 1000, 3))
-        monkeypatch.setattr("regmart.operators.keys.fits_broadcast", lambda df, max_rows=0: False)
+        monkeypatch.setattr("regmart.operators.keys.fits_broadcast", lambda df, max_bytes=0: False)
 
 
 class Tables:

@@ -126,7 +126,7 @@ def test_long_key_lists(spark, monkeypatch):
     keys = spark.createDataFrame([(0,), (0,), (3,), (None,), (9,)], "k int")
     expected = [(k, i) for i in range(60) for k in [i % 4] if k in (0, 3)]
     assert rows(filter_keys(df, "k", keys)) == sorted(expected, key=lambda r: [(False, str(v)) for v in r])
-    monkeypatch.setattr("regmart.operators.keys.fits_broadcast", lambda df, max_rows=0: False)
+    monkeypatch.setattr("regmart.operators.keys.fits_broadcast", lambda df, max_bytes=0: False)
     assert rows(filter_keys(df, "k", keys)) == sorted(expected, key=lambda r: [(False, str(v)) for v in r])
     with pytest.raises(ValueError, match="string"):
         filter_keys(df, "k", keys.select(F.col("k").cast("string")))
@@ -170,9 +170,9 @@ def test_enrich_left_inner_and_checks(spark):
 
 
 def test_broadcast_only_when_small(spark):
-    small, large = spark.range(10), spark.range(11)
-    assert "ResolvedHint" in checked_broadcast(small, 10)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in checked_broadcast(large, 10)._jdf.queryExecution().analyzed().toString()
+    small, large = spark.range(10), spark.range(11)  # a digit and 16 bytes each
+    assert "ResolvedHint" in checked_broadcast(small, 170)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in checked_broadcast(large, 170)._jdf.queryExecution().analyzed().toString()
 
 
 def test_role_pairs(spark):
