@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as contract
+from checks import QUERIES
 from regmart.operators import desc, filter_keys, row_count, top_rank
 from regmart.plans import advert_snapshots, deal_rollup, latest_report_lines, property_register, report_extract
 from regmart.sources import SCHEMAS, key_table, read_tables, register_views
@@ -105,17 +105,17 @@ def test_key_table_semi_join_keeps_the_scan_narrow(stored):
     assert "struct<spark_id:bigint,line_code:string>" in plan(df)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_query_plans_a_product_or_python(spark, name):
-    text = plan(contract.queries()[name](spark, SF_DIR))
+    text = plan(QUERIES[name](spark, SF_DIR))
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
         assert node not in text
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_windows_only_choose_rows_or_look_at_neighbours(spark, name):
     """Windows keep one row per key, limited before the shuffle, or look one row back and ahead, per slice for long keys."""
-    text = plan(contract.queries()[name](spark, SF_DIR))
+    text = plan(QUERIES[name](spark, SF_DIR))
     for line in text.splitlines():
         if "Window [" in line and "WindowGroupLimit" not in line:
             assert re.search(r"row_number\(\)|lag\(|lead\(", line), line

@@ -76,6 +76,11 @@ def test_hot_keys_are_found_and_bounded(sides):
     assert hot_keys(many.filter("x > 100"), ["k"]) == {}
 
 
+def test_all_frequent_keys_are_found(spark):
+    many = spark.range(0, 6000, 1, 4).select((F.col("id") % 1500).alias("k"))
+    assert len(hot_keys(many, ["k"], rows_per_task=4)) == 1500
+
+
 def test_a_frequent_key_is_spread_over_tasks(spark):
     many = spark.range(0, 4000, 1, 8).select(F.lit(1).alias("k"), "id")
     one = spark.createDataFrame([(1, "a")], "k int, y string")
