@@ -20,6 +20,8 @@ MAX_SOURCES = 1000
 OTHER = "\0other"
 # Tempering: shares of tokens are raised to this power.
 POWER = 0.85
+# The default budget: this share of all tokens is sampled, however rare the rarest cell is.
+BUDGET_SHARE = 0.5
 # Signs and words the topics are told by.
 _SIGNS = "!\"#$%&'()*+/:;<=>?@[\\]^_`{|}~"
 _LEGAL = ("licensed under", "license", "copyright")
@@ -142,8 +144,9 @@ def tempered(shares: Mapping[str, float], power: float = POWER) -> dict[str, flo
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text, lang, source, others) with _tokens, _topic, probability and _sampled.
 
-    Targets: sources, languages and topics by their tempered shares of tokens. Null sources, languages and texts
-    are allowed, as are repeated rows, which share their fate, and an empty table.
+    Targets: sources, languages and topics by their tempered shares of tokens. Budget: `BUDGET_SHARE` of all tokens; cells too
+    small for their part of it stay whole. Null sources, languages and texts are allowed, as are repeated rows, which share
+    their fate, and an empty table.
     """
     counted = docs.withColumn("_measured", measured(text_or_empty()))
     counted = counted.withColumn("_tokens", F.col("_measured.tokens")).withColumn("_topic", F.col("_measured.topic")).drop("_measured")
@@ -157,7 +160,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         every = sums.agg(F.sum("n")).first()[0] or 0
         rest = every - sum(top.values())
         targets[column] = tempered({**top, OTHER: top.get(OTHER, 0) + rest}) if top else {}
-    mixed = mix(counted, "_tokens", targets, sums=cells)
+    mixed = mix(counted, "_tokens", targets, budget=BUDGET_SHARE * every, sums=cells)
     return mixed.withColumn("_sampled", chance("doc_id", "text") < F.col("probability"))
 
 

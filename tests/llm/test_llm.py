@@ -376,6 +376,16 @@ def test_mixing(spark, odd, empty):
     assert mixing.sample_mixture(empty).count() == 0
 
 
+def test_a_rare_cell_thins_out_no_other(spark):
+    rng = np.random.default_rng(12)
+    table = docs_of(spark, [(i, words(rng, 40)) for i in range(1000)]).withColumn("source", F.when(F.col("doc_id") % 10 == 0, "a").otherwise("b"))
+    rare = docs_of(spark, [(5000, "so few words")]).withColumn("source", F.lit("new")).withColumn("lang", F.lit("xx"))
+    rows = mixing.mixed_documents(table.union(rare)).collect()
+    expected = sum(r._tokens * r.probability for r in rows)
+    assert expected == pytest.approx(mixing.BUDGET_SHARE * sum(r._tokens for r in rows))
+    assert {r.probability for r in rows if r.doc_id == 5000} == {1.0}
+
+
 # ---- 10
 
 
