@@ -9,14 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from ..operators.joins import fits_broadcast
+from .common import join_groups, text_or_empty, written
 
 # Raking stops when all margins are met this closely, or after so many rounds (targets that contradict each other).
 TOLERANCE, MAX_ROUNDS = 1e-10, 1000
-# The margins' targets may span at most so many cells; values that no target names share one.
-MAX_CELLS = 1_000_000
-# The query names the largest sources by tokens; all others are one.
-MAX_SOURCES = 1000
+# Occupied cells of at most so many bytes are raked on the driver, more of them in Spark; the results are the same.
+DRIVER_BYTES = 8 << 20
+# Values that no target names, and nulls.
 OTHER = "\0other"
 # Tempering: shares of tokens are raised to this power.
 POWER = 0.85
@@ -74,46 +74,119 @@ def rake(tokens: np.ndarray, margins: list[tuple[np.ndarray, np.ndarray]]) -> np
     return w / w.sum()
 
 
-def mix(
-    docs: DataFrame, tokens: str, targets: Mapping[str, Mapping[str, float]], budget: float | None = None, sums: DataFrame | None = None
-) -> DataFrame:
+def mix(docs: DataFrame, tokens: str, targets: Mapping[str, Mapping[str, float]], budget: float | None = None) -> DataFrame:
     """`docs` with `probability`, by which each is to be sampled so that expected tokens meet all `targets`.
 
     `targets`: for each column its values and their shares of tokens; values that are not named (and nulls) go under `OTHER` if that has a
     share, else they get probability 0. `tokens`: column of token counts; documents without tokens count one. `budget`: expected
-    tokens, by default as many as there can be without a probability above 1; with more, these stay 1. `sums`: the targets'
-    columns and the sum of `tokens` (at least one a document) of each combination of values, if known already.
-
-    Cells are as many as the targets' values allow, whatever the corpus; at most `MAX_CELLS` are allowed. Their token sums,
-    from partial aggregation, go to the driver, their probabilities to all tasks. No document is shuffled.
+    tokens, by default as many as there can be without a probability above 1; with more, these stay 1.
     """
-    names = list(targets)
-    if np.prod([len(t) + 1.0 for t in targets.values()]) > MAX_CELLS:
-        raise ValueError(f"the targets span more than {MAX_CELLS} cells")
-    cell = [f"_cell_{i}" for i in range(len(names))]
-
-    def in_cells(rows: DataFrame) -> DataFrame:
-        for c, name in zip(cell, names):
-            value = F.coalesce(F.col(name).cast("string"), F.lit(OTHER))
-            rows = rows.withColumn(c, F.when(value.isin(list(targets[name])), value).otherwise(F.lit(OTHER)))
-        return rows
-
-    keyed = in_cells(docs)
+    keyed = docs
+    cell = {f"_cell_{i}": name for i, name in enumerate(targets)}
+    for c, name in cell.items():
+        value = F.coalesce(F.col(name).cast("string"), F.lit(OTHER))
+        keyed = keyed.withColumn(c, F.when(value.isin(list(targets[name])), value).otherwise(F.lit(OTHER)))
+    shares = {
+        c: docs.sparkSession.createDataFrame([(v, float(x)) for v, x in targets[name].items()], f"{c} string, _share double")
+        for c, name in cell.items()
+    }
+    return _sampled_by(keyed, _cells(keyed, list(cell), tokens), shares, budget).drop(*cell)
+
+
+def _cells(keyed: DataFrame, cell: list[str], tokens: str) -> DataFrame:
+    """The occupied cells, with their _tokens (at least one a document) and _rows."""
     weight = F.greatest(F.col(tokens), F.lit(1)).cast("long")
-    sums = (keyed if sums is None else in_cells(sums)).groupBy(*cell).agg(F.sum(weight).alias("_tokens")).toPandas().sort_values(cell, ignore_index=True)
-    if sums.empty:
-        return docs.withColumn("probability", F.lit(1.0))
+    return written(keyed.groupBy(*cell).agg(F.sum(weight).alias("_tokens"), F.count(F.lit(1)).alias("_rows")))
+
+
+def _sampled_by(keyed: DataFrame, cells: DataFrame, shares: Mapping[str, DataFrame], budget: float | None) -> DataFrame:
+    """`keyed` with `probability`. `shares`: for each of the cells' columns its values and their _share of tokens, on any scale.
+
+    Few occupied cells are raked on the driver and broadcast, and no document is shuffled. Else they stay in Spark, and each
+    document gets the factors of its values, those of long margins by a join that spreads frequent values.
+    """
+    cell = list(shares)
+    size = cells.agg(F.sum(sum((F.octet_length(c) for c in cell), F.lit(32)))).first()[0]
+    if size is None:
+        return keyed.withColumn("probability", F.lit(1.0))
+    if size > DRIVER_BYTES:
+        margins = _factors(cells, shares)
+        level = _level_of(_with_rate(cells, margins, "_cells"), budget)
+        rated = _with_rate(keyed, margins, "_rows")
+        return rated.withColumn("probability", F.least(F.lit(1.0), F.col("_rate") * level)).drop("_rate")
+    sums = cells.toPandas().sort_values(cell, ignore_index=True)
     margins = []
-    for c, name in zip(cell, names):
-        values = sorted({*targets[name], OTHER})
-        place = {v: i for i, v in enumerate(values)}
-        margins.append((sums[c].map(place).to_numpy(), np.array([float(targets[name].get(v, 0.0)) for v in values])))
+    for c in cell:
+        target = dict(shares[c].select(c, "_share").toPandas().itertuples(index=False))
+        place = {v: i for i, v in enumerate(sorted({*target, *sums[c]}))}
+        margins.append((sums[c].map(place).to_numpy(), np.array([target.get(v, 0.0) for v in place])))
     have = sums["_tokens"].to_numpy(float)
     rate = rake(have, margins) / have
-    most = 1 / rate.max()
-    sums["probability"] = np.minimum(1.0, rate * (most if budget is None else _level(rate, have, budget)))
-    listed = docs.sparkSession.createDataFrame(sums[[*cell, "probability"]])
-    return keyed.join(F.broadcast(listed), cell).drop(*cell)  # a row for each cell
+    sums["probability"] = np.minimum(1.0, rate * (1 / rate.max() if budget is None else _level(rate, have, budget)))
+    listed = keyed.sparkSession.createDataFrame(sums[[*cell, "probability"]])
+    return keyed.join(F.broadcast(listed), cell)  # a row for each cell
+
+
+def _factors(cells: DataFrame, shares: Mapping[str, DataFrame]) -> dict[str, tuple[DataFrame, dict[str, int], bool]]:
+    """`rake` in Spark, for any number of cells and values: for each column its values' _factor, numbers of _cells and _rows.
+
+    A cell's weight is its tokens times the factors of its values. Each step sums the weights by one column, the other factors
+    joined, and writes that column's new factors; one number a step comes to the driver. Also given: how many cells and
+    rows there are in all, and whether the factors are short enough to broadcast.
+    """
+    sizes = cells.agg(F.count(F.lit(1)).alias("_cells"), F.sum("_rows").alias("_rows"), F.sum("_tokens").alias("_tokens")).first().asDict()
+    margins = {}
+    for c, share in shares.items():
+        here = cells.groupBy(c).agg(F.count(F.lit(1)).alias("_cells"), F.sum("_rows").alias("_rows")).join(share, c, "left")
+        here = written(here.withColumn("_share", F.coalesce("_share", F.lit(0.0))))
+        total = here.agg(F.sum("_share")).first()[0]
+        if not total:
+            raise ValueError("no value with a target has tokens")
+        begin = 1.0 if margins else 1.0 / sizes["_tokens"]
+        here = here.withColumn("_share", F.col("_share") / total).withColumn("_factor", F.lit(begin))
+        margins[c] = (here, sizes, fits_broadcast(here))
+    for _ in range(MAX_ROUNDS):
+        off = 0.0
+        for c, (old, _, short) in margins.items():
+            others = {k: v for k, v in margins.items() if k != c}
+            sums = _with_rate(cells, others, "_cells").groupBy(c).agg(F.sum(F.col("_rate") * F.col("_tokens")).alias("_sum"))
+            new = old.join(sums, c).withColumn("_off", F.abs(F.col("_factor") * F.col("_sum") - F.col("_share")))
+            factor = F.col("_share") / F.when(F.col("_sum") > 0, F.col("_sum")).otherwise(1.0)
+            new = written(new.select(c, "_cells", "_rows", "_share", factor.alias("_factor"), "_off"))
+            off = max(off, new.agg(F.max("_off")).first()[0])
+            margins[c] = (new.drop("_off"), sizes, short)
+        if off < TOLERANCE:
+            break
+    return margins
+
+
+def _with_rate(rows: DataFrame, margins: Mapping[str, tuple[DataFrame, dict[str, int], bool]], size: str) -> DataFrame:
+    """`rows` with _rate, the product of their values' factors. `size`: which of the sizes tells how many rows a value has."""
+    rows = rows.withColumn("_rate", F.lit(1.0))
+    for c, (values, sizes, short) in margins.items():
+        listed = values.select(c, F.col(size).alias("_size"), "_factor")
+        rows = rows.join(F.broadcast(listed), c) if short else join_groups(rows, listed, c, "_size", sizes[size])
+        rows = rows.withColumn("_rate", F.col("_rate") * F.col("_factor")).drop("_size", "_factor")
+    return rows
+
+
+def _level_of(rated: DataFrame, budget: float | None) -> float:
+    """`_level` of cells in Spark; without a budget the factor that brings the largest rate to 1."""
+    rated = written(rated.select("_rate", F.col("_tokens").cast("double").alias("_tokens")))
+    if budget is None:
+        return 1 / rated.agg(F.max("_rate")).first()[0]
+    factor = 0.0
+    while True:  # each pass adds cells to those that stay whole
+        whole = F.col("_rate") * factor >= 1
+        full, rest = rated.agg(
+            F.sum(F.when(whole, F.col("_tokens")).otherwise(0.0)), F.sum(F.when(whole, 0.0).otherwise(F.col("_rate") * F.col("_tokens")))
+        ).first()
+        if not rest:
+            return 1 / rated.filter("_rate > 0").agg(F.min("_rate")).first()[0]
+        more = (budget - full) / rest
+        if more <= factor * (1 + 1e-12):
+            return max(factor, more)
+        factor = more
 
 
 def _level(rate: np.ndarray, tokens: np.ndarray, budget: float) -> float:
@@ -134,13 +207,6 @@ def chance(*columns: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) * F.lit(2.0**-53)
 
 
-def tempered(shares: Mapping[str, float], power: float = POWER) -> dict[str, float]:
-    """Shares in proportion to a power of the given ones: small values get more than they have."""
-    raised = {k: v**power for k, v in shares.items() if v > 0}
-    total = sum(raised.values())
-    return {k: v / total for k, v in sorted(raised.items())}
-
-
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text, lang, source, others) with _tokens, _topic, probability and _sampled.
 
@@ -150,17 +216,13 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """
     counted = docs.withColumn("_measured", measured(text_or_empty()))
     counted = counted.withColumn("_tokens", F.col("_measured.tokens")).withColumn("_topic", F.col("_measured.topic")).drop("_measured")
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(OTHER)).alias(c)
-    cells = counted.groupBy(name("source"), name("lang"), "_topic").agg(F.sum(F.greatest(F.col("_tokens"), F.lit(1))).alias("_tokens"))
-    cells = written(cells)
-    targets = {}
-    for column in ("source", "lang", "_topic"):
-        sums = cells.groupBy(column).agg(F.sum("_tokens").alias("n"))
-        top = {r[0]: r[1] for r in sums.orderBy(F.desc("n"), column).limit(MAX_SOURCES).collect()}
-        every = sums.agg(F.sum("n")).first()[0] or 0
-        rest = every - sum(top.values())
-        targets[column] = tempered({**top, OTHER: top.get(OTHER, 0) + rest}) if top else {}
-    mixed = mix(counted, "_tokens", targets, budget=BUDGET_SHARE * every, sums=cells)
+    cell = {"_cell_0": "source", "_cell_1": "lang", "_cell_2": "_topic"}
+    for c, name in cell.items():
+        counted = counted.withColumn(c, F.coalesce(F.col(name).cast("string"), F.lit(OTHER)))
+    cells = _cells(counted, list(cell), "_tokens")
+    shares = {c: cells.groupBy(c).agg(F.pow(F.sum("_tokens"), F.lit(POWER)).alias("_share")) for c in cell}
+    every = cells.agg(F.sum("_tokens")).first()[0] or 0
+    mixed = _sampled_by(counted, cells, shares, BUDGET_SHARE * every).drop(*cell)
     return mixed.withColumn("_sampled", chance("doc_id", "text") < F.col("probability"))
 
 

@@ -386,6 +386,35 @@ def test_a_rare_cell_thins_out_no_other(spark):
     assert {r.probability for r in rows if r.doc_id == 5000} == {1.0}
 
 
+def test_every_source_has_its_own_target(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    table = docs_of(spark, [(i, words(rng, 5 + i * 7 % 11)) for i in range(3600)])
+    table = table.withColumn("source", F.concat(F.lit("host"), F.col("doc_id") % 1200)).withColumn("lang", (F.col("doc_id") / 1200).cast("int").cast("string"))
+    found = []
+    for limit in (mixing.DRIVER_BYTES, 0):
+        monkeypatch.setattr(mixing, "DRIVER_BYTES", limit)
+        monkeypatch.setattr(mixing, "TOLERANCE", 1e-6 if not limit else mixing.TOLERANCE)
+        rows = mixing.mixed_documents(table).collect()
+        found.append({r.doc_id: r.probability for r in rows})
+        sums, have = collections.Counter(), collections.Counter()
+        for r in rows:
+            sums[r.source] += r._tokens * r.probability
+            have[r.source] += r._tokens
+        total, raised = sum(have.values()), sum(n**mixing.POWER for n in have.values())
+        assert sum(sums.values()) == pytest.approx(mixing.BUDGET_SHARE * total)
+        assert max(r.probability for r in rows) < 1
+        assert all(sums[k] == pytest.approx(mixing.BUDGET_SHARE * total * n**mixing.POWER / raised, rel=1e-2) for k, n in have.items())
+    assert len(found[0]) == 3600 and all(found[1][k] == pytest.approx(p, rel=1e-2) for k, p in found[0].items())
+    # Frequent values of a long margin are joined apart.
+    monkeypatch.setattr(mixing, "fits_broadcast", lambda df: False)
+    short = mixing.mix(table.withColumn("n", F.lit(40)), "n", {"source": {"host1": 0.5, mixing.OTHER: 0.5}}).collect()
+    assert len(short) == 3600 and {(r.source == "host1", round(r.probability, 9)) for r in short} == {(True, 1.0), (False, round(3 / 3597, 9))}
+    # Cells are those that occur, not all combinations of values.
+    monkeypatch.undo()
+    many = mixing.mixed_documents(table.withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 170)))
+    assert many.filter("probability > 0").count() == 3600
+
+
 # ---- 10
 
 
