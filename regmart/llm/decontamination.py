@@ -16,8 +16,9 @@ from .bag_minhash import mix
 from .common import text_or_empty, written
 
 # Seeds are runs of so many words. One is rare if its words, drawn singly, make it at most so likely at a place; of an item
-# without enough rare ones the rarest quarter counts.
-SEED, RARITY, LEAST_SHARE = 3, 1e-9, 0.25
+# without enough rare ones the rarest quarter counts. As a paraphrase may replace just the rare words, the rarest seed of so
+# many places in a row counts too, all along the item.
+SEED, RARITY, LEAST_SHARE, PLACES = 3, 1e-7, 0.25, 3
 # Alignment: a word that agrees, one that differs or is missing on either side.
 MATCH, MISMATCH, GAP = 2, -1, -1
 # An item leaks if an alignment reaches this share of its own score, or that of so many agreeing words in a row.
@@ -116,7 +117,7 @@ def item_words(benchmark: DataFrame) -> DataFrame:
 
 
 def rare_seeds(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """item_id and key of the rare seeds, by how often their words occur in all of `texts`."""
+    """item_id and key of the seeds looked up: rare by how often their words occur in all of `texts`, or the rarest of their place."""
     bits = _bitmap(words.select(F.col("word").alias("key")))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +139,9 @@ def rare_seeds(texts: DataFrame, words: DataFrame) -> DataFrame:
     spans = listed.withColumn("logs", F.sum("log").over(order.rowsBetween(0, SEED - 1))).filter("whole")
     ranked = spans.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("logs", "place")))
     ranked = ranked.withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
-    kept = ranked.filter((F.col("logs") <= math.log(RARITY)) | (F.col("rank") <= F.ceil(F.col("of") * LEAST_SHARE)))
+    near = Window.partitionBy("item_id", F.floor(F.col("place") / PLACES)).orderBy("logs", "place")
+    ranked = ranked.withColumn("near", F.row_number().over(near))
+    kept = ranked.filter((F.col("logs") <= math.log(RARITY)) | (F.col("rank") <= F.ceil(F.col("of") * LEAST_SHARE)) | (F.col("near") == 1))
     return kept.select("item_id", "key").distinct()
 
 

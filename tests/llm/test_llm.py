@@ -332,6 +332,32 @@ def test_leaks(spark, odd, empty):
     assert decontamination.leaks(odd, bench.limit(0)).count() == 0
 
 
+def test_copies_without_the_rare_words_leak(spark):
+    """Copies whose rarer third of words, more or less, is replaced, against alignment by brute force."""
+    rng = np.random.default_rng(14)
+    documents, bench = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "benchmark"))
+    texts = [r.text or "" for r in documents.select("text").collect()]
+    own = lambda text: [w for x in text.lower().split() if (w := x.strip(decontamination._SIGNS))]
+    counts = collections.Counter(w for t in texts for w in own(t))
+    copies, expected = [], set()
+    for r in bench.collect():
+        item = own(r.text)
+        number = {w: i for i, w in enumerate(item)}
+        rarity = np.log([max(counts[w], 0.5) for w in item])
+        for k in range(5):
+            copy = list(item)
+            for at in np.argsort(rarity + rng.normal(0, float(k > 0), len(item)))[: round(len(item) / 3)]:
+                copy[at] = f"new{at}word"
+            best = decontamination.align([np.array([number.get(w, -2) for w in copy])], [np.array([number[w] for w in item])])[0]
+            held = {tuple(item[i : i + 3]) for i in range(len(item) - 2)} & {tuple(copy[i : i + 3]) for i in range(len(copy) - 2)}
+            copies.append((10**9 + len(copies), " ".join(copy)))
+            if held and best >= min(max(len(item), 2 * min(8, len(item))), 26):
+                expected.add((copies[-1][0], r.item_id))
+    table = documents.select("doc_id", "text").union(spark.createDataFrame(copies, "doc_id long, text string").repartition(2))
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(table, bench).filter(F.col("doc_id") >= 10**9).collect()}
+    assert len(expected) > 900 and len(expected - got) <= len(expected) // 500
+
+
 # ---- 4
 
 
