@@ -22,6 +22,8 @@ from .common import text_or_empty
 WINDOW = 3
 GAP = 3
 SURGE = 40
+# An article with so many times the text that surges outside it is taken for all of the main text.
+TRUST = 2
 
 # Elements of HTML by what they do to a page's text.
 RAW = frozenset("script style noscript template textarea title iframe svg math canvas object select option".split())
@@ -41,6 +43,8 @@ MARKS = frozenset(
     "share sharing sidebar signup social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets "
     "contentinfo complementary alert alertdialog".split()
 )
+# Beginnings of class names or ids of an <article> that say it is not the page's.
+NOT_MAIN = frozenset("comment comments teaser reply replies related promo advert".split())
 # Beginnings of class names that say what an element holds or lacks, not what it is.
 NOT_OWN = frozenset("has with no is js without".split())
 
@@ -65,16 +69,23 @@ def _marked(attributes: str) -> bool:
     return bool(_HIDDEN.search(attributes))
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
+def _beside(attributes: str) -> bool:
+    values = (v for m in _MARK.finditer(attributes) for v in (m[1] or m[2] or m[3] or "").lower().split())
+    return any(re.split(r"[-_]+", v)[0] in NOT_MAIN for v in values)
+
+
+def lines_of(page: str) -> list[tuple[str, int, int]]:
     """The lines of a page without markup: text, the length of what is not a link in it, whether it is in an article.
 
+    The last is 0 outside articles, 1 in one, and 2 in one that is marked as a comment or a teaser.
+
     Blocks in boilerplate elements come out as `GAP` empty lines. An element that is never closed ends with what
     surrounds it, as browsers have it; a `<` that begins no markup is text.
     """
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[tuple[str, int, int]] = []
     words: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each begins boilerplate
-    dead = links = article = plain = at = 0
+    stack: list[tuple[str, bool, bool]] = []  # open elements, and whether each begins boilerplate or an article beside the main text
+    dead = links = article = beside = plain = at = 0
 
     def put(piece: str) -> None:
         nonlocal plain
@@ -88,16 +99,17 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         nonlocal plain
         text = " ".join("".join(words).split())
         if text:
-            lines.append((text, plain, article > 0))
+            lines.append((text, plain, 2 if beside else int(article > 0)))
         words.clear()
         plain = 0
 
-    def closed(name: str, starts: bool) -> None:
-        nonlocal dead, links, article
+    def closed(name: str, starts: bool, off: bool) -> None:
+        nonlocal dead, links, article, beside
         if starts:
             dead -= 1
             if not dead:
-                lines.extend([("", 0, article > 0)] * GAP)
+                lines.extend([("", 0, 2 if beside else int(article > 0))] * GAP)
+        beside -= off
         links -= name == "a"
         article -= name in ("article", "main")
 
@@ -136,33 +148,53 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             dead += 1
         links += name == "a"
         article += name in ("article", "main")
-        stack.append((name, starts))
+        off = name == "article" and _beside(m[3])
+        beside += off
+        stack.append((name, starts, off))
     put(page[at:])
     end_line()
     return lines
 
 
+def _surging(size: np.ndarray, window: int, surge: int) -> np.ndarray:
+    """Which lines stand between a surge and a dive."""
+    total = np.cumsum(np.concatenate([[0], size, np.zeros(window, np.int64)]))
+    sums = total[window:] - total[:-window]  # sums[i]: lines i to i + window - 1
+    alive = np.concatenate([[False], sums > 0, [False]])
+    starts, ends = np.flatnonzero(alive[1:] & ~alive[:-1]), np.flatnonzero(~alive[1:] & alive[:-1])
+    out = np.zeros(len(size), bool)
+    for i, j in zip(starts, ends):
+        out[i:j] = sums[i:j].max() >= surge
+    return out
+
+
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The text between surge and dive of the window sums, blocks joined by one blank.
 
-    A page that names its article is searched there only, and any sum there counts as a surge, as what surrounds the
-    text is stripped already. Elsewhere a run of lines between two dives counts if one of its sums reaches `surge`
-    characters outside links. No page, no text or no surge: empty.
+    All of the page is searched: a run of lines between two dives counts if one of its sums reaches `surge` characters outside
+    links. Articles are evidence. Comments and teasers marked as such are left out if there is other text. If the rest of
+    the articles hold `TRUST` times the text that surges outside them, or more, the main text is theirs alone, and there any sum
+    counts as a surge; else what surges inside and outside is kept. From a surge in an article to its end nothing is left
+    out, links neither. No page, no text or no surge: empty.
     """
     lines = lines_of(page)
-    named = any(inside and size for _, size, inside in lines)
-    if named:
-        surge = 1
-    size = np.array([n if inside or not named else 0 for _, n, inside in lines] + [0], dtype=np.int64)
-    total = np.cumsum(np.concatenate([[0], size, np.zeros(window - 1, np.int64)]))
-    sums = total[window:] - total[:-window]  # sums[i]: lines i to i + window - 1
-    alive = np.concatenate([[False], sums > 0, [False]])
-    starts, ends = np.flatnonzero(alive[1:] & ~alive[:-1]), np.flatnonzero(~alive[1:] & alive[:-1])
-    kept = []
-    for i, j in zip(starts, ends):
-        if sums[i:j].max() >= surge:
-            kept += [t for t, n, inside in lines[i:j] if t and (inside or not named) and (n or named)]
-    return " ".join(kept)
+    size = np.array([n for _, n, _ in lines], dtype=np.int64)
+    kind = np.array([k for _, _, k in lines], dtype=np.int64)
+    other = np.where(kind == 2, 0, size)
+    if size[kind == 1].any() or _surging(other, window, surge).any():
+        size = other
+    else:
+        kind = np.minimum(kind, 1)
+    kept = _surging(size, window, surge)
+    named = size[kind == 1].sum()
+    if named and named >= TRUST * size[kept & (kind == 0)].sum():
+        kept = _surging(np.where(kind == 1, size, 0), window, 1) & (kind == 1)
+    kept &= (kind == 1) | (size > 0)
+    begun = False
+    for i in np.flatnonzero(kind < 2):  # a comment within an article does not end it
+        begun = kind[i] == 1 and (begun or kept[i])
+        kept[i] |= begun
+    return " ".join(t for (t, _, _), k in zip(lines, kept) if t and k)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

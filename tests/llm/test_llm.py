@@ -147,6 +147,22 @@ def test_main_text(page, text):
     assert html_extraction.main_text(page) == text
 
 
+LONG, ITEMS = " ".join(f"body{i}" for i in range(60)), "".join(f"<li><a href=x>link {i}</a></li>" for i in range(6))
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<div><p>{LONG}</p></div><article class='teaser'><p>{'tease ' * 30}</p></article>", LONG),
+    (f"<div><p>{LONG}</p></div><article id='comment-7'><p>{'said ' * 200}</p></article>", LONG),
+    (f"<div><p>{LONG}</p></div><nav>m</nav><article><p>short tease</p></article>", LONG),
+    (f"<article class='teaser'><p>{LONG}</p></article>", LONG),
+    (f"<div><p>{'advert ' * 9}</p></div><nav>m</nav><article><p>{LONG}</p></article>", LONG),
+    (f"<article><p>see</p><ul>{ITEMS}</ul><p>end</p></article>", "see " + " ".join(f"link {i}" for i in range(6)) + " end"),
+    (f"<article><p>see</p><ul>{ITEMS}</ul></article><ul>{ITEMS}</ul>", "see " + " ".join(f"link {i}" for i in range(6))),
+])
+def test_articles_are_evidence(page, text):
+    assert html_extraction.main_text(page) == text
+
+
 def test_extract_odd_pages(spark):
     rows = [(1, None, None), (None, "u", "<article>a</article>"), (2, "u", "<article>" + "x " * 50_000 + "</article>"), (2, "u", "")]
     got = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
