@@ -36,8 +36,7 @@ BASE = 1 << 20
 END_ID = 1
 # A shard is closed after the document that brings it to this many characters.
 SHARD_CHARS = 8 << 20
-# Re-Pair: rounds of replacement, and how often a pair must be replaced to earn its rule.
-ROUNDS = 4
+# Re-Pair: how often a pair must be replaced to earn its rule.
 MIN_USES = 8
 _SLOT_BITS = 20
 # A worker forgets the parts of words it knows before a shard when it has more than this many.
@@ -94,10 +93,10 @@ def pair_round(seq: np.ndarray, first: int, min_uses: int) -> tuple[np.ndarray,
     return out[stays], np.stack([holder[kept] >> 32, holder[kept] & 0xFFFFFFFF], 1).astype(np.uint32)
 
 
-def re_pair(ids: np.ndarray, rounds: int = ROUNDS, min_uses: int = MIN_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rules (left, right), the tokens each rule expands to, and the sequence of symbols."""
+def re_pair(ids: np.ndarray, rounds: int | None = None, min_uses: int = MIN_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rules (left, right), the tokens each rule expands to, and the sequence of symbols. Without `rounds`: until no pair earns a rule."""
     seq, rules, lengths = ids.astype(np.uint32), np.empty((0, 2), np.uint32), np.empty(0, np.uint32)
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         seq, pairs = pair_round(seq, BASE + len(rules), min_uses)
         if not len(pairs):
             break
@@ -192,7 +191,7 @@ class Shard:
             out[np.repeat(dst, n) + step] = buffer[np.repeat(src, n) + step]
 
 
-def pack(docs: list[np.ndarray] | np.ndarray, doc_tokens: np.ndarray | None = None, rounds: int = ROUNDS, min_uses: int = MIN_USES) -> bytes:
+def pack(docs: list[np.ndarray] | np.ndarray, doc_tokens: np.ndarray | None = None, rounds: int | None = None, min_uses: int = MIN_USES) -> bytes:
     """A shard of the given documents' ids (a list of arrays, or one array and the documents' lengths)."""
     if doc_tokens is None:
         doc_tokens = np.array([len(d) for d in docs], np.uint32)

@@ -106,6 +106,16 @@ def test_shards_open_anywhere(seed):
         a, b = sorted(rng.integers(0, len(whole) + 1, 2))
         assert shard.tokens(int(a), int(b)).tolist() == whole[a:b].tolist()
     assert token_files.Shard(token_files.pack([])).n_tokens == 0
+
+
+def test_replacement_goes_on_to_the_end():
+    ids = np.tile(np.random.default_rng(15).integers(2, 30_000, 5000), 200).astype(np.uint32)
+    data = token_files.pack(ids, np.full(200, 5000, np.uint32))
+    shard = token_files.Shard(data)
+    assert np.array_equal(shard.tokens(0, len(ids)), ids) and np.array_equal(shard.document(77), ids[:5000])
+    assert shard.lengths.max() > 16 and len(data) < len(ids) / 8
+    seq = token_files.re_pair(ids)[2]
+    assert not len(token_files.pair_round(seq, token_files.BASE + len(shard.rules), token_files.MIN_USES)[1])
     with pytest.raises(ValueError):
         token_files.Shard(b"xxxx" + bytes(16))
 
