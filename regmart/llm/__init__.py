@@ -17,7 +17,10 @@ from . import (  # noqa: E402
     gru_lm,
     html_extraction,
     mixing,
+    phrase_fingerprints,
+    prefix_trie,
     site_quality,
+    spelling_variants,
     token_files,
     toxicity,
     warc,
@@ -34,6 +37,9 @@ _MODULES = [
     warc,
     toxicity,
     gru_lm,
+    phrase_fingerprints,
+    prefix_trie,
+    spelling_variants,
 ]
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
