@@ -180,7 +180,9 @@ def frontier(words: DataFrame) -> DataFrame:
 def _shortened(word: str) -> tuple[np.ndarray, int]:
     """Hashes of a word without each of its letters in turn, and of the word: sums of letter times power, modulo 2**64."""
     letters = np.frombuffer(word.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
-    power = np.cumprod(np.concatenate([[1], np.full(len(letters) - 1, _BASE, np.uint64)]).astype(np.uint64))[::-1]
+    power = np.full(len(letters), _BASE, np.uint64)
+    power[0] = 1
+    power = np.cumprod(power, dtype=np.uint64)[::-1]
     upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * power, dtype=np.uint64)])
     without = upto[:-1] * np.uint64(pow(_BASE, -1, 1 << 64)) + (upto[-1] - upto[1:])
     return without, int(upto[-1])
@@ -190,25 +192,27 @@ def long_pairs(words: DataFrame) -> DataFrame:
     """a, b: pairs of words that differ by one edit, once each, of which one has more than `LONG` letters.
 
     Two words of one length are equal without the same letter, a longer one is the shorter one without a letter. Words meet by the
-    length and hash of what is left, and are then compared in full. Each word has as many rows as letters."""
-    def spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    length and hash of what is left, and are then compared in full. Each word has as many rows of a few numbers as letters."""
+    def shortened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for word in batch["word"]:
+            for key, word in zip(batch["id"], batch["word"]):
                 without, whole = _shortened(word)
                 at = np.arange(len(without) + 1) - 1
                 hashes = np.concatenate([np.array([whole], np.uint64), without]).view(np.int64)
                 left = np.full(len(at), len(without) - 1)
                 left[0] += 1
-                yield pd.DataFrame({"word": pd.Series([word] * len(at), dtype=object), "at": at, "left": left, "hash": hashes})
+                yield pd.DataFrame({"id": np.full(len(at), key), "at": at, "left": left, "hash": hashes})
 
-    rows = words.filter(F.char_length("word") >= LONG).select("word").mapInPandas(spelled, "word string, at long, left long, hash long")
-    rows = written(rows)
+    long = words.filter(F.char_length("word") >= LONG).select(F.xxhash64("word").alias("id"), "word")
+    rows = written(long.mapInPandas(shortened, "id long, at long, left long, hash long"))
     a, b = rows.filter("at >= 0").alias("a"), rows.alias("b")
     met = (F.col("a.left") == F.col("b.left")) & (F.col("a.hash") == F.col("b.hash"))
-    one_edit = (F.col("b.at") == -1) | ((F.col("a.at") == F.col("b.at")) & (F.col("a.word") < F.col("b.word")))
-    pairs = a.join(b, met & one_edit).select(F.col("a.word").alias("a"), F.col("b.word").alias("b"))
+    one_edit = (F.col("b.at") == -1) | ((F.col("a.at") == F.col("b.at")) & (F.col("a.id") < F.col("b.id")))
+    ids = a.join(b, met & one_edit).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id")).distinct()
+    named = lambda c: long.select(F.col("id").alias(f"{c}_id"), F.col("word").alias(c))
+    pairs = ids.join(named("a"), "a_id").join(named("b"), "b_id").select("a", "b")
     too_long = F.greatest(F.char_length("a"), F.char_length("b")) > LONG
-    return pairs.filter(too_long & (F.levenshtein("a", "b", 1) == 1)).distinct()
+    return pairs.filter(too_long & (F.levenshtein("a", "b", 1) == 1))
 
 
 # ---- Groups of variants
