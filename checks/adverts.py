@@ -5,7 +5,14 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from regmart.operators import Period, desc, top_rank
-from regmart.plans import AdvertTables, advert_history_all, advert_history_of, advert_snapshots, price_steps
+from regmart.plans import (
+    AdvertTables,
+    advert_history_all,
+    advert_history_of,
+    advert_snapshots,
+    count_advert_history,
+    price_steps,
+)
 
 from .tables import customer_places, nation_regions, read, text
 
@@ -140,6 +147,16 @@ def _advert_history(spark, sf_dir):
     return advert_history_all(tables, agency_names=AGENCIES, as_of=AS_OF, open_status="view")
 
 
+def _advert_history_placed(spark, sf_dir):
+    """Versions once per live address in their realty's history."""
+    tables = advert_tables(spark, sf_dir)
+    return advert_history_all(tables, agency_names=AGENCIES, as_of=AS_OF, open_status="view", only_with_address=True)
+
+
+def _count_advert_history(spark, sf_dir):
+    return count_advert_history(advert_tables(spark, sf_dir), agency_names=AGENCIES)
+
+
 def _advert_history_one(spark, sf_dir):
     """The adverts with the highest value of their event type."""
     tables = advert_tables(spark, sf_dir)
@@ -186,6 +203,8 @@ def _period_snapshots(spark, sf_dir):
 QUERIES = {
     "period_snapshots": _period_snapshots,
     "advert_history": _advert_history,
+    "advert_history_placed": _advert_history_placed,
+    "count_advert_history": _count_advert_history,
     "advert_history_one": _advert_history_one,
     "price_steps": _price_steps,
 }
@@ -307,3 +326,8 @@ ORACLE = {
         FROM stepped
     """,
 }
+ORACLE["count_advert_history"] = f"SELECT count(*) AS row_count FROM ({ORACLE['advert_history']})"
+# Versions are joined with the live addresses of their realty, which is the advert id here, before anything is made of them.
+ORACLE["advert_history_placed"] = ORACLE["advert_history"].replace(
+    "WHERE a.value >= 1 AND", "JOIN orders h ON h.o_custkey = a.user_id AND h.o_orderstatus = 'P'\n          WHERE a.value >= 1 AND"
+)

@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from regmart.plans import contract_pairs
+from regmart.plans import contract_pairs, count_contract_pairs
 
 from .tables import nation_regions, read, text
 
 
-def _contract_pairs(spark, sf_dir):
+def _inputs(spark, sf_dir):
     supplier = read(spark, sf_dir, "supplier")
     entities = supplier.join(nation_regions(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("s_suppkey").alias("spark_id"),
@@ -42,10 +42,18 @@ def _contract_pairs(spark, sf_dir):
         F.col("o_orderpriority").alias("contract_subject_txt"),
     )
     companies = nation_regions(spark, sf_dir).filter("r_name in ('ASIA', 'EUROPE')").select("n_name", "r_name")
-    return contract_pairs(entities, participants, participant_dict, contracts, companies)
+    return entities, participants, participant_dict, contracts, companies
+
+
+def _contract_pairs(spark, sf_dir):
+    return contract_pairs(*_inputs(spark, sf_dir))
+
+
+def _count_contract_pairs(spark, sf_dir):
+    return count_contract_pairs(*_inputs(spark, sf_dir))
 
 
-QUERIES = {"contract_pairs": _contract_pairs}
+QUERIES = {"contract_pairs": _contract_pairs, "count_contract_pairs": _count_contract_pairs}
 
 ORACLE = {
     "contract_pairs": """
@@ -66,3 +74,4 @@ ORACLE = {
         JOIN company b ON b.s_suppkey = y.l_suppkey AND b.r_name IN ('ASIA', 'EUROPE')
     """,
 }
+ORACLE["count_contract_pairs"] = f"SELECT count(*) AS row_count FROM ({ORACLE['contract_pairs']})"

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from regmart.plans import deal_listing, deal_rollup, property_register
+from regmart.plans import count_deal_listing, deal_listing, deal_rollup, property_register
 
 from .tables import read, text
 
@@ -78,7 +78,7 @@ def _deal_rollup(spark, sf_dir):
     return rows.withColumn("agg_ods_description", F.array_join(descriptions, "|"))
 
 
-def _deal_listing(spark, sf_dir):
+def _listing_inputs(spark, sf_dir):
     realty = read(spark, sf_dir, "customer").select(
         text("c_custkey").alias("bkh"),
         F.col("c_name").alias("cadastral_num"),
@@ -108,15 +108,22 @@ def _deal_listing(spark, sf_dir):
         .select(text("n_nationkey").alias("bkh"))
         .union(read(spark, sf_dir, "region").select(text("r_regionkey")))
     )
-    return deal_listing(
-        realty, _deals(spark, sf_dir), docs, types, _shares(spark, sf_dir), addresses, regions, 1, 1998, AS_OF
-    )
+    return realty, _deals(spark, sf_dir), docs, types, _shares(spark, sf_dir), addresses, regions, 1, 1998
+
+
+def _deal_listing(spark, sf_dir):
+    return deal_listing(*_listing_inputs(spark, sf_dir), AS_OF)
+
+
+def _count_deal_listing(spark, sf_dir):
+    return count_deal_listing(*_listing_inputs(spark, sf_dir))
 
 
 QUERIES = {
     "property_register": _property_register,
     "deal_rollup": _deal_rollup,
     "deal_listing": _deal_listing,
+    "count_deal_listing": _count_deal_listing,
 }
 
 ORACLE = {
@@ -198,3 +205,4 @@ ORACLE = {
         WHERE year(o.o_orderdate) >= 1998
     """,
 }
+ORACLE["count_deal_listing"] = f"SELECT count(*) AS row_count FROM ({ORACLE['deal_listing']})"

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .changes import changed_values, with_neighbours
+from .counting import Counts
 from .dedup import distinct_on, latest_version, newest_versions, top_rank
 from .joins import Dim, checked_broadcast, enrich, require_unique, role_pairs
 from .keys import active_only, filter_key_tuples, filter_keys, key_filter, key_frame, optional_key_lookup
@@ -19,6 +20,7 @@ def row_count(df: DataFrame) -> DataFrame:
 
 __all__ = [
     "By",
+    "Counts",
     "Dim",
     "Period",
     "active_only",

@@ -11,6 +11,7 @@ from .adverts import (
     price_steps,
 )
 from .contracts import contract_pairs
+from .counts import count_advert_history, count_contract_pairs, count_deal_listing
 from .deals import deal_listing, deal_rollup, property_register
 from .flags import counterparty_check, include_list
 from .objects import document_rollup, object_rollup
@@ -26,6 +27,9 @@ __all__ = [
     "advert_versions",
     "best_adverts",
     "contract_pairs",
+    "count_advert_history",
+    "count_contract_pairs",
+    "count_deal_listing",
     "counterparty_check",
     "deal_listing",
     "deal_rollup",

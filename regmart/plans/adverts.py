@@ -155,9 +155,13 @@ def advert_history(
     empty_address: str | None = None,
     open_status: str = OPEN_STATUS,
     stage: Callable[[DataFrame], DataFrame] = lambda df: df,
+    only_with_address: bool = False,
 ) -> DataFrame:
     """Current adverts with every version of theirs: last update, days listed, whether the price ever changed.
 
+    `only_with_address` takes a version once per live address in its realty's history, and versions without one not at all, also for the
+    last update and the price change.
+
     Adverts without versions stay, with NULLs. `keys` limits the advert ids before any work is done. A hidden address
     becomes `empty_address` if that is given.
 
@@ -167,6 +171,12 @@ def advert_history(
     if keys is not None:
         keys = key_filter(["src_cian_id"], keys)
     versions = stage(advert_versions(t, agency_names, keys))
+    if (with_history_address or only_with_address) and t.addresses is None:
+        raise ValueError("the history address needs the address history table")
+    if only_with_address:
+        # For the summary once is enough.
+        placed = active_only(t.addresses).select("src_realty_id")
+        versions = versions.join(placed, "src_realty_id", "left_semi")
     # What a window per advert would tell, as one row per advert: an advert with very many versions is aggregated before
     # the shuffle and never held in one task.
     summary = (
@@ -182,9 +192,9 @@ def advert_history(
         )
     )
     if with_history_address:
-        if t.addresses is None:
-            raise ValueError("the history address needs the address history table")
         versions = with_history_addresses(versions, t.addresses)
+    elif only_with_address:
+        versions = versions.join(placed, "src_realty_id")
 
     current = t.actual if keys is None else _pick(keys)(t.actual)
     current = current.join(
