@@ -39,8 +39,11 @@ SHARD_CHARS = 8 << 20
 # Re-Pair: how often a pair must be replaced to earn its rule.
 MIN_USES = 8
 _SLOT_BITS = 20
-# A worker forgets the parts of words it knows before a shard when it has more than this many.
-_MAX_PIECES = 500_000
+# So many bytes of text are encoded at a time.
+_ENCODED = 2 << 20
+# A worker forgets the parts of words it knows when it has more than so many, or so many letters and ids of them.
+_MAX_PIECES = 300_000
+_MAX_LETTERS = 8 << 20
 # So many parts go through the tokenizer as one text.
 _TOGETHER = 512
 _MAGIC = b"RPG1"
@@ -63,7 +66,9 @@ def pair_round(seq: np.ndarray, first: int, min_uses: int) -> tuple[np.ndarray,
     left, right = seq[:-1], seq[1:]
     hashed = (left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))
     hashed ^= hashed >> np.uint32(15)
-    slot = ((hashed * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - _SLOT_BITS)).astype(np.int64)
+    hashed *= np.uint32(0x2C1B3C6D)
+    slot = (hashed >> np.uint32(32 - _SLOT_BITS)).view(np.int32)
+    del hashed
     counts = np.bincount(slot, minlength=1 << _SLOT_BITS).astype(np.int32)
     counts[counts < min_uses] = 0
     rank = counts.take(slot)
@@ -210,7 +215,8 @@ class PieceEncoder:
     """Ids of texts, piece by piece, by a tokenizer that drops white space, lowers case and ends words at white space.
 
     So the ids of a text are those of its pieces between white space, and those of a piece of letters followed by signs are
-    the letters' ids and the signs' ids. Each distinct piece of a batch is looked up once; parts that are not remembered go
+    the letters' ids and the signs' ids. Letters must be their own composed form (NFC) for that: others may become a letter and a
+    mark, which the tokenizer joins with the signs. Each distinct piece of a batch is looked up once; parts that are not remembered go
     through the tokenizer.
     """
 
@@ -230,11 +236,12 @@ class PieceEncoder:
 
     def _forget(self) -> None:
         self.places: dict[str, int] = {"": 0}
+        self.letters = 0
         self.flat, self.starts, self.sizes = array("I"), array("q", [0]), array("q", [0])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
-        if len(self.places) > _MAX_PIECES:
+        if len(self.places) > _MAX_PIECES or self.letters + len(self.flat) > _MAX_LETTERS:
             self._forget()
         pieces = pc.ascii_split_whitespace(texts)
         coded = pieces.flatten().dictionary_encode()
@@ -254,6 +261,11 @@ class PieceEncoder:
         """Places of the two parts of each piece; a piece that is not made of these is its own first part."""
         letters = pc.utf8_rtrim(pieces, self._SIGNS)
         plain = pc.and_(pc.utf8_is_alpha(letters), pc.invert(pc.match_substring(letters, self._ODD)))
+        beyond = pc.and_(plain, pc.invert(pc.string_is_ascii(letters)))
+        some = letters.filter(beyond)
+        if len(some):
+            composed = pc.equal(pc.utf8_normalize(some, "NFC"), some)
+            plain = pc.replace_with_mask(plain, beyond, composed)
         signs = pc.if_else(plain, _ends_of(pieces, letters), "")
         return self._places(pc.if_else(plain, pc.ascii_lower(letters), pieces), plain), self._places(signs, plain)
 
@@ -287,6 +299,7 @@ class PieceEncoder:
 
     def _remember(self, parts: list[str], ids: list[int], sizes: list[int]) -> None:
         first = len(self.starts)
+        self.letters += sum(map(len, parts))
         self.places.update(zip(parts, range(first, first + len(parts))))
         self.starts.extend(itertools.accumulate(sizes[:-1], initial=len(self.flat)))
         self.sizes.extend(sizes)
@@ -336,23 +349,31 @@ def write_shards(docs: DataFrame, tokenizer_path: str, shard_chars: int = SHARD_
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number, start, ids, texts, chars = TaskContext.get().partitionId(), 0, 0, [], [], 0
+        part, number, start, ids, tokens, sizes, chars = TaskContext.get().partitionId(), 0, 0, [], [], [], 0
         encode = encoder(tokenizer_path).encode
 
-        def closed() -> pa.RecordBatch:
-            nonlocal number, start, ids, texts, chars
-            tokens, sizes = encode(pa.concat_arrays(texts))
-            ends = np.cumsum(sizes + 1) - 1
-            full = np.empty(len(tokens) + len(sizes), np.uint32)
+        def take(doc_ids: pa.Array, text: pa.Array) -> None:
+            """Encode some documents; only their ids and lengths are kept."""
+            flat, n = encode(text)
+            ends = np.cumsum(n + 1) - 1
+            full = np.full(len(flat) + len(n), END_ID, np.uint32)
             inner = np.ones(len(full), bool)
             inner[ends] = False
-            full[inner], full[ends] = tokens, END_ID
+            full[inner] = flat
+            ids.append(doc_ids)
+            tokens.append(full)
+            sizes.append((n + 1).astype(np.uint32))
+
+        def closed() -> pa.RecordBatch:
+            nonlocal number, start, ids, tokens, sizes, chars
+            doc_ids, full, n = pa.concat_arrays(ids).to_pylist(), np.concatenate(tokens), np.concatenate(sizes)
+            ids, tokens, sizes, chars = [], [], [], 0
             out = pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "shard": pa.array([number], pa.int32()),
-                "start_in_part": pa.array([start], pa.int64()), "doc_ids": pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(pa.int64())),
-                "n_tokens": pa.array([len(full)], pa.int64()), "data": pa.array([pack(full, (sizes + 1).astype(np.uint32))], pa.binary()),
+                "start_in_part": pa.array([start], pa.int64()), "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
+                "n_tokens": pa.array([len(full)], pa.int64()), "data": pa.array([pack(full, n)], pa.binary()),
             })
-            number, start, ids, texts, chars = number + 1, start + len(full), [], [], 0
+            number, start = number + 1, start + len(full)
             return out
 
         for batch in batches:
@@ -360,14 +381,14 @@ def write_shards(docs: DataFrame, tokenizer_path: str, shard_chars: int = SHARD_
             upto = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False))
             a, before = 0, 0
             while a < batch.num_rows:
-                b = min(batch.num_rows, int(np.searchsorted(upto, before + shard_chars - chars)) + 1)
-                ids.append(batch.column(0).slice(a, b - a))
-                texts.append(text.slice(a, b - a))
+                most = min(shard_chars - chars, _ENCODED)
+                b = min(batch.num_rows, int(np.searchsorted(upto, before + most)) + 1)
+                take(batch.column(0).slice(a, b - a), text.slice(a, b - a))
                 chars += int(upto[b - 1]) - before
                 a, before = b, int(upto[b - 1])
                 if chars >= shard_chars:
                     yield closed()
-        if texts:
+        if ids:
             yield closed()
 
     return written(dealt.select("doc_id", "text").mapInArrow(shards, _SHARD))

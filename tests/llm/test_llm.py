@@ -5,6 +5,8 @@ import hashlib
 import math
 import re
 import string
+import sys
+import unicodedata
 import zlib
 
 import numpy as np
@@ -92,6 +94,34 @@ def test_encoder_gives_the_tokenizers_ids():
     assert [p.tolist() for p in parts] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_letters_that_are_not_composed():
+    """All letters that the tokenizer's composed form (NFC) changes, before each sign, alone and after another letter."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(token_files.tokenizer_path())
+    letters = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    letters = [c for c in letters if c.isalpha() and unicodedata.normalize("NFC", c) != c]
+    assert len(letters) > 1000
+    common = [c for c in letters if ord(c) < 0x20000 and len(unicodedata.normalize("NFC", c)) > 1]
+    signs = token_files.PieceEncoder._SIGNS
+    texts = [f"{a}{c}{sign}" for c in common for sign in signs for a in ("", "x", "\u09b9")] + [f"{c}{sign}" for c in letters for sign in ",)"]
+    encoder = token_files.PieceEncoder(token_files.tokenizer_path())
+    ids, sizes = encoder.encode(pa.array(texts, pa.large_string()))
+    parts = np.split(ids, np.cumsum(sizes)[:-1])
+    assert [p.tolist() for p in parts] == [x.ids for x in whole.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_pieces_are_forgotten(monkeypatch):
+    encoder = token_files.PieceEncoder(token_files.tokenizer_path())
+    monkeypatch.setattr(token_files, "_MAX_LETTERS", 50)
+    texts = pa.array(["some words, others", "some other words"], pa.large_string())
+    first = encoder.encode(texts)
+    for _ in range(5):
+        encoder.encode(pa.array([f"number{i} of many" for i in range(40)], pa.large_string()))
+        assert len(encoder.places) <= 60
+    assert [x.tolist() for x in encoder.encode(texts)] == [x.tolist() for x in first]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_shards_open_anywhere(seed):
     rng = np.random.default_rng(seed)
