@@ -15,9 +15,11 @@ The lengths lead to any token of a shard without expanding what is before it.
 from __future__ import annotations
 
 import itertools
+import os
 import struct
 import sys
 import types
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -38,11 +40,13 @@ END_ID = 1
 SHARD_CHARS = 8 << 20
 # Re-Pair: how often a pair must be replaced to earn its rule.
 MIN_USES = 8
+# Pairs are counted in 2 ** _SLOT_BITS slots, those of up to _EXACT places one by one.
 _SLOT_BITS = 20
+_EXACT = 400_000
 # So many bytes of text are encoded at a time.
-_ENCODED = 2 << 20
+_ENCODED = 4 << 20
 # A worker forgets the parts of words it knows when it has more than so many, or so many letters and ids of them.
-_MAX_PIECES = 300_000
+_MAX_PIECES = 400_000
 _MAX_LETTERS = 8 << 20
 # So many parts go through the tokenizer as one text.
 _TOGETHER = 512
@@ -53,56 +57,85 @@ _SHARD = "part int, shard int, start_in_part long, doc_ids array<bigint>, n_toke
 # ---- Re-Pair
 
 
-def pair_round(seq: np.ndarray, first: int, min_uses: int) -> tuple[np.ndarray, np.ndarray]:
-    """Replace frequent pairs of neighbours by nonterminals numbered from `first`: the shorter sequence and the pairs.
+def _slots(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, int]:
+    """A slot for each pair, and the number of slots: by hash, or one per distinct pair where there are few places."""
+    if len(left) <= _EXACT:
+        pairs, slot = np.unique((left.astype(np.int64) << 32) | right, return_inverse=True)
+        return slot, len(pairs)
+    hashed = (left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))
+    hashed ^= hashed >> np.uint32(15)
+    hashed *= np.uint32(0x2C1B3C6D)
+    hashed >>= np.uint32(32 - _SLOT_BITS)
+    return hashed.astype(np.int64), 1 << _SLOT_BITS
+
 
-    Pairs are counted by hash slot. Of overlapping places the one with the more frequent slot is chosen, of equal ones every
+def pair_round(seq: np.ndarray, live: np.ndarray, first: int, min_uses: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Replace frequent pairs of neighbours by nonterminals numbered from `first`: the shorter sequence, its live places, and the pairs.
+
+    Pairs are counted by slot, at the live places only: a pair too rare for a rule never becomes more frequent, as only new
+    nonterminals make new pairs. Of overlapping places the one with the more frequent slot is chosen, of equal ones every
     other. Of the pairs that are chosen in one slot, one stands for it and its places are counted exactly; another one
     has its turn in a later round. Pairs with fewer than `min_uses` places stay.
     """
     none = np.empty((0, 2), np.uint32)
-    if len(seq) < 2 * min_uses:
-        return seq, none
-    left, right = seq[:-1], seq[1:]
-    hashed = (left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))
-    hashed ^= hashed >> np.uint32(15)
-    hashed *= np.uint32(0x2C1B3C6D)
-    slot = (hashed >> np.uint32(32 - _SLOT_BITS)).view(np.int32)
-    del hashed
-    counts = np.bincount(slot, minlength=1 << _SLOT_BITS).astype(np.int32)
+    if len(seq) < 2:
+        return seq, live, none
+    at = np.flatnonzero(live[:-1])
+    dense = 2 * len(at) > len(seq)  # then all places are looked at
+    left, right = (seq[:-1], seq[1:]) if dense else (seq[at], seq[at + 1])
+    slot, n_slots = _slots(left, right)
+    counts = np.bincount(slot, minlength=n_slots).astype(np.int32)
     counts[counts < min_uses] = 0
-    rank = counts.take(slot)
-    rank *= 2
-    rank[1::2] += 1  # neighbours never tie, so no two chosen places touch
-    better = rank > 1
-    better[1:] &= rank[1:] > rank[:-1]
-    better[:-1] &= rank[:-1] > rank[1:]
-    chosen = np.flatnonzero(better)
-    at, pair = slot[chosen], (left[chosen].astype(np.int64) << 32) | right[chosen]
-    holder = np.zeros(1 << _SLOT_BITS, np.int64)
-    holder[at] = pair
-    same = holder[at] == pair
-    uses = np.bincount(at[same], minlength=1 << _SLOT_BITS)
+    # Neighbours never tie, so no two chosen places touch.
+    if dense:
+        rank = counts.take(slot)
+        rank *= 2
+        rank[1::2] += 1
+        better = rank > 1
+        live = np.concatenate([better, [False]])
+        better[1:] &= rank[1:] > rank[:-1]
+        better[:-1] &= rank[:-1] > rank[1:]
+        chosen = np.flatnonzero(better)
+        slot = slot[chosen]
+    else:
+        own = counts.take(slot)
+        still = own > 0
+        at, slot, own = at[still], slot[still], own[still]
+        live = np.zeros(len(seq), bool)
+        live[at] = True
+        own = 2 * own + (at & 1)
+        beside = at[1:] == at[:-1] + 1
+        better = np.ones(len(at), bool)
+        better[1:] &= ~beside | (own[1:] > own[:-1])
+        better[:-1] &= ~beside | (own[:-1] > own[1:])
+        chosen, slot = at[better], slot[better]
+    pair = (seq[chosen].astype(np.int64) << 32) | seq[chosen + 1]
+    holder = np.zeros(n_slots, np.int64)
+    holder[slot] = pair
+    same = holder[slot] == pair
+    uses = np.bincount(slot[same], minlength=n_slots)
     kept = np.flatnonzero(uses >= min_uses)
     if not len(kept):
-        return seq, none
+        return seq, live, none
     kept = kept[np.argsort(-uses[kept], kind="stable")]
-    number = np.full(1 << _SLOT_BITS, -1, np.int64)
+    number = np.full(n_slots, -1, np.int64)
     number[kept] = np.arange(len(kept))
-    new = np.where(same, number[at], -1)
+    new = np.where(same, number[slot], -1)
     chosen, new = chosen[new >= 0], new[new >= 0]
     out = seq.copy()
     out[chosen] = new + first
-    stays = np.ones(len(seq), bool)
-    stays[chosen + 1] = False
-    return out[stays], np.stack([holder[kept] >> 32, holder[kept] & 0xFFFFFFFF], 1).astype(np.uint32)
+    live[chosen] = True
+    live[chosen[chosen > 0] - 1] = True
+    gone = chosen + 1
+    return np.delete(out, gone), np.delete(live, gone), np.stack([holder[kept] >> 32, holder[kept] & 0xFFFFFFFF], 1).astype(np.uint32)
 
 
 def re_pair(ids: np.ndarray, rounds: int | None = None, min_uses: int = MIN_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (left, right), the tokens each rule expands to, and the sequence of symbols. Without `rounds`: until no pair earns a rule."""
     seq, rules, lengths = ids.astype(np.uint32), np.empty((0, 2), np.uint32), np.empty(0, np.uint32)
+    live = np.ones(len(seq), bool)
     for _ in itertools.count() if rounds is None else range(rounds):
-        seq, pairs = pair_round(seq, BASE + len(rules), min_uses)
+        seq, live, pairs = pair_round(seq, live, BASE + len(rules), min_uses)
         if not len(pairs):
             break
         size = np.concatenate([lengths, np.ones(1, np.uint32)])
@@ -226,9 +259,11 @@ class PieceEncoder:
     _ODD = "\u0130"
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.model._resize_cache(0)  # words come once; they are remembered here
         ids = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(ids.values()) + 1, bool)
         self.ends_word[[i for token, i in ids.items() if token.endswith("</w>")]] = True
@@ -264,8 +299,10 @@ class PieceEncoder:
         beyond = pc.and_(plain, pc.invert(pc.string_is_ascii(letters)))
         some = letters.filter(beyond)
         if len(some):
-            composed = pc.equal(pc.utf8_normalize(some, "NFC"), some)
-            plain = pc.replace_with_mask(plain, beyond, composed)
+            plain = plain.to_numpy(zero_copy_only=False).copy()
+            composed = [unicodedata.is_normalized("NFC", s) for s in some.to_pylist()]
+            plain[beyond.to_numpy(zero_copy_only=False)] = composed
+            plain = pa.array(plain)
         signs = pc.if_else(plain, _ends_of(pieces, letters), "")
         return self._places(pc.if_else(plain, pc.ascii_lower(letters), pieces), plain), self._places(signs, plain)
 
@@ -294,8 +331,8 @@ class PieceEncoder:
                 other = other + parts
         for i in range(0, len(other), 4096):
             parts = other[i : i + 4096]
-            for p, x in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
-                self._remember([p], x.ids, [len(x)])
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+            self._remember(parts, list(itertools.chain.from_iterable(found)), [len(ids) for ids in found])
 
     def _remember(self, parts: list[str], ids: list[int], sizes: list[int]) -> None:
         first = len(self.starts)

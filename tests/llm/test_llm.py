@@ -145,7 +145,7 @@ def test_replacement_goes_on_to_the_end():
     assert np.array_equal(shard.tokens(0, len(ids)), ids) and np.array_equal(shard.document(77), ids[:5000])
     assert shard.lengths.max() > 16 and len(data) < len(ids) / 8
     seq = token_files.re_pair(ids)[2]
-    assert not len(token_files.pair_round(seq, token_files.BASE + len(shard.rules), token_files.MIN_USES)[1])
+    assert not len(token_files.pair_round(seq, np.ones(len(seq), bool), token_files.BASE + len(shard.rules), token_files.MIN_USES)[2])
     with pytest.raises(ValueError):
         token_files.Shard(b"xxxx" + bytes(16))
 
