@@ -46,8 +46,8 @@ _EXACT = 400_000
 # So many bytes of text are encoded at a time.
 _ENCODED = 4 << 20
 # A worker forgets the parts of words it knows when it has more than so many, or so many letters and ids of them.
-_MAX_PIECES = 400_000
-_MAX_LETTERS = 8 << 20
+_MAX_PIECES = 700_000
+_MAX_LETTERS = 16 << 20
 # So many parts go through the tokenizer as one text.
 _TOGETHER = 512
 _MAGIC = b"RPG1"
@@ -118,16 +118,18 @@ def pair_round(seq: np.ndarray, live: np.ndarray, first: int, min_uses: int) ->
     if not len(kept):
         return seq, live, none
     kept = kept[np.argsort(-uses[kept], kind="stable")]
-    number = np.full(n_slots, -1, np.int64)
-    number[kept] = np.arange(len(kept))
-    new = np.where(same, number[slot], -1)
-    chosen, new = chosen[new >= 0], new[new >= 0]
+    number = np.zeros(n_slots, np.uint32)
+    number[kept] = np.arange(first, first + len(kept))
+    new = number[slot]
+    taken = np.flatnonzero(same & (new > 0))
+    chosen = chosen[taken]
     out = seq.copy()
-    out[chosen] = new + first
+    out[chosen] = new[taken]
     live[chosen] = True
     live[chosen[chosen > 0] - 1] = True
-    gone = chosen + 1
-    return np.delete(out, gone), np.delete(live, gone), np.stack([holder[kept] >> 32, holder[kept] & 0xFFFFFFFF], 1).astype(np.uint32)
+    stays = np.ones(len(seq), bool)
+    stays[chosen + 1] = False
+    return out[stays], live[stays], np.stack([holder[kept] >> 32, holder[kept] & 0xFFFFFFFF], 1).astype(np.uint32)
 
 
 def re_pair(ids: np.ndarray, rounds: int | None = None, min_uses: int = MIN_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,7 +150,8 @@ def re_pair(ids: np.ndarray, rounds: int | None = None, min_uses: int = MIN_USES
 class Shard:
     """A shard that can be read at any document or token."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes | pa.Buffer):
+        data = memoryview(data)
         if data[:4] != _MAGIC:
             raise ValueError("no shard of token ids")
         n_rules, n_symbols, n_docs, self.n_tokens = struct.unpack("<4I", data[4:20])
@@ -435,21 +438,22 @@ def read_shards(shards: DataFrame) -> DataFrame:
     """Per document of the shards: doc_id, start (tokens of all documents before it), n_tokens and ids_crc32."""
     schema = "part int, doc_id long, start_in_part long, n_tokens long, ids_crc32 long"
 
-    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, start, doc_ids, data in zip(batch["part"], batch["start_in_part"], batch["doc_ids"], batch["data"]):
-                shard = Shard(bytes(data))
-                yield pd.DataFrame({
-                    "part": np.full(len(doc_ids), part, np.int32), "doc_id": pd.array(doc_ids, dtype="Int64"),
-                    "start_in_part": start + shard.doc_starts[:-1], "n_tokens": shard.doc_tokens.astype(np.int64),
-                    "ids_crc32": np.array([zlib.crc32(x.astype("<u4", copy=False).tobytes()) for x in shard.documents()], np.int64),
-                })
+            for part, start, doc_ids, data in zip(*batch.columns):
+                shard = Shard(data.as_buffer())
+                n = len(shard.doc_tokens)
+                crcs = np.fromiter((zlib.crc32(x.astype("<u4", copy=False)) for x in shard.documents()), np.int64, n)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(n, part.as_py(), np.int32)), doc_ids.values, pa.array(start.as_py() + shard.doc_starts[:-1]),
+                    pa.array(shard.doc_tokens.astype(np.int64)), pa.array(crcs),
+                ], ["part", "doc_id", "start_in_part", "n_tokens", "ids_crc32"])
 
     # One row per part, each of which holds some 32 MB of text: few rows for the one task that adds them up.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
     parts = parts.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("first"))
-    found = shards.select("part", "start_in_part", "doc_ids", "data").mapInPandas(opened, schema)
+    found = shards.select("part", "start_in_part", "doc_ids", "data").mapInArrow(opened, schema)
     return found.join(parts, "part").select(
         "doc_id", (F.col("first") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32"
     )
