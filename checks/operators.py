@@ -25,7 +25,7 @@ from regmart.operators import (
     enrich,
     filter_keys,
     hot_join,
-    hot_keys,
+    key_profile,
     latest_version,
     optional_key_lookup,
     period_snapshots,
@@ -132,9 +132,8 @@ def _role_pairs(spark, sf_dir):
 
 def _neighbours(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    frequent = hot_keys(rows, ["user_id"], rows_per_task=60)
-    day = F.date_trunc("day", F.col("ts"))
-    return with_neighbours(rows, ["user_id"], ["ts", "event_id"], ["ts", "value"], day, frequent)
+    frequent = key_profile(rows, ["user_id"], rows_per_task=60)
+    return with_neighbours(rows, ["user_id"], ["ts", "event_id"], ["ts", "value"], frequent, ranges=16)
 
 
 def _optional_keys(spark, sf_dir):

@@ -9,7 +9,7 @@ from .dedup import distinct_on, latest_version, newest_versions, top_rank
 from .joins import Dim, checked_broadcast, enrich, require_unique, role_pairs
 from .keys import active_only, filter_key_tuples, filter_keys, key_filter, key_frame, optional_key_lookup
 from .ordering import By, desc
-from .skew import hot_join, hot_keys
+from .skew import KeyProfile, hot_join, hot_keys, key_profile
 from .snapshots import Period, in_any_period, period_snapshots
 
 
@@ -22,6 +22,7 @@ __all__ = [
     "By",
     "Counts",
     "Dim",
+    "KeyProfile",
     "Period",
     "active_only",
     "changed_values",
@@ -36,6 +37,7 @@ __all__ = [
     "in_any_period",
     "key_filter",
     "key_frame",
+    "key_profile",
     "latest_version",
     "newest_versions",
     "optional_key_lookup",

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import sort_columns
-from .skew import flag_hot, hot_keys
+from .ordering import By, sort_columns
+from .ranges import MAX_RANGES, RANGE, with_range
+from .skew import ROWS_PER_TASK, KeyProfile, key_profile
 
 
 def changed_values(df: DataFrame, key: str | Sequence[str], col: str) -> DataFrame:
@@ -25,58 +25,46 @@ def changed_values(df: DataFrame, key: str | Sequence[str], col: str) -> DataFra
 def with_neighbours(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[str],
+    order: Sequence[By | str],
     cols: Sequence[str],
-    slice_by: Column | None = None,
-    hot: Mapping[int, int] | None = None,
+    profile: KeyProfile | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
-    """Add `prev_<col>` and `next_<col>`: the values in the row before and after, per key in ascending
-    order (NULLs last).
+    """Add `prev_<col>` and `next_<col>`: the values in the row before and after, per key in the given order (ascending with
+    NULLs last unless `By` says otherwise). Rows that are equal in keys and order may stand either way.
 
-    A window keeps all rows of a key in one task. Where some keys may be very long, pass `slice_by`, an expression that
-    never decreases along the order, such as the hour of the first order column: rows of the frequent keys are then
-    windowed per (key, slice), and only the first and last row of each slice look across its border. `hot` takes the
-    result of `hot_keys` on a cheaper input; by default `df` is looked through.
+    A window keeps all rows of a key in one task. So if some key has many rows, all rows are dealt out by ranges of (key, order)
+    instead: a window over each range looks at the rows beside each row, whatever their key, and only the first and last row of each range
+    look at the ends of the next ranges, one row per range. `profile` takes the result of `key_profile` on a cheaper input with about the
+    same keys; by default `df` is looked through. `ranges` is the number of ranges, by default one for `ROWS_PER_TASK` rows.
     """
     keys, cols = list(keys), list(cols)
-    ordered = sort_columns(order)
-    if slice_by is not None and hot is None:
-        hot = hot_keys(df, keys)
-    if not hot:
-        w = Window.partitionBy(*keys).orderBy(*ordered)
+    profile = key_profile(df, keys) if profile is None else profile
+    if not profile.hot:
+        w = Window.partitionBy(*keys).orderBy(*sort_columns(order))
         added = {f"prev_{c}": F.lag(c).over(w) for c in cols} | {f"next_{c}": F.lead(c).over(w) for c in cols}
         return df.withColumns(added)
 
-    flagged = flag_hot(df, keys, hot)
-    sliced = flagged.withColumn("_slice", F.when(F.col("_salts").isNotNull(), slice_by)).drop("_salts")
-    w = Window.partitionBy(*keys, "_slice").orderBy(*ordered)
-    inside = sliced.withColumns(
-        {f"prev_{c}": F.lag(c).over(w) for c in cols}
-        | {f"next_{c}": F.lead(c).over(w) for c in cols}
-        | {"_first": F.lag(F.lit(1)).over(w).isNull(), "_last": F.lead(F.lit(1)).over(w).isNull()}
+    n = ranges or min(MAX_RANGES, profile.rows // ROWS_PER_TASK + 1)
+    ranged = with_range(df, keys, order, n).withColumn("_kh", F.xxhash64(*keys))
+    w = Window.partitionBy(RANGE).orderBy("_kh", *[F.col(k).asc_nulls_last() for k in keys], *sort_columns(order))
+    seen = F.struct(F.struct(*keys).alias("key"), F.struct(*cols).alias("row"))
+    inside = ranged.withColumns({"_seen": seen, "_before": F.lag(seen).over(w), "_after": F.lead(seen).over(w)}).drop("_kh")
+    first, last = F.col("_before").isNull(), F.col("_after").isNull()
+    ends = inside.filter(first | last).groupBy(RANGE).agg(
+        F.first(F.when(first, F.col("_seen")), ignorenulls=True).alias("_head"),
+        F.first(F.when(last, F.col("_seen")), ignorenulls=True).alias("_tail"),
     )
-    row = F.struct(*cols)
-    ends = (
-        inside.filter(F.col("_first") | F.col("_last"))
-        .groupBy(*keys, "_slice")
-        .agg(
-            F.first(F.when(F.col("_first"), row), ignorenulls=True).alias("_head"),
-            F.first(F.when(F.col("_last"), row), ignorenulls=True).alias("_tail"),
-        )
-    )
-    across = Window.partitionBy(*keys).orderBy(F.col("_slice").asc_nulls_last())  # one row per slice
+    across = Window.orderBy(RANGE)  # one row per range
     borders = ends.select(
-        *[F.col(k).alias(f"_b{i}") for i, k in enumerate([*keys, "_slice"])],
-        F.lag("_tail").over(across).alias("_before"),
-        F.lead("_head").over(across).alias("_after"),
+        F.col(RANGE).alias("_border"), F.lag("_tail").over(across).alias("_tail"), F.lead("_head").over(across).alias("_head")
     )
-    same = [F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate([*keys, "_slice"])]
-    joined = inside.join(borders, reduce(lambda a, b: a & b, same), "left")
-    for c in cols:
-        joined = joined.withColumns(
-            {
-                f"prev_{c}": F.when(F.col("_first"), F.col(f"_before.{c}")).otherwise(F.col(f"prev_{c}")),
-                f"next_{c}": F.when(F.col("_last"), F.col(f"_after.{c}")).otherwise(F.col(f"next_{c}")),
-            }
-        )
-    return joined.select(*df.columns, *[f"{p}_{c}" for p in ("prev", "next") for c in cols])
+    # MAX_RANGES rows at most
+    joined = inside.join(F.broadcast(borders), F.when(first | last, F.col(RANGE)) == F.col("_border"), "left")
+    before, after = F.coalesce("_before", "_tail"), F.coalesce("_after", "_head")
+
+    def of_key(side: Column, c: str) -> Column:
+        return F.when(side["key"] == F.col("_seen.key"), side["row"][c])
+
+    added = {f"prev_{c}": of_key(before, c) for c in cols} | {f"next_{c}": of_key(after, c) for c in cols}
+    return joined.withColumns(added).select(*df.columns, *added)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import By, sort_columns, sort_names
+from .ordering import By, sort_columns
+
+# The tied best rows of a key stay in so many tasks.
+TIE_SALTS = 1024
 
 
 def distinct_on(
@@ -29,22 +31,25 @@ def distinct_on(
     return df.withColumn("_row", F.row_number().over(w)).filter(F.col("_row") == 1).drop("_row")
 
 
-def _null_safe(left: str, right: str, pairs: Sequence[tuple[str, str]]) -> Column:
-    """`a <=> b` over all pairs, as one join condition on two aliased frames."""
-    terms = [F.col(f"{left}.{a}").eqNullSafe(F.col(f"{right}.{b}")) for a, b in pairs]
-    return reduce(lambda x, y: x & y, terms)
-
-
 def top_rank(df: DataFrame, keys: Sequence[str], order: Sequence[By | str]) -> DataFrame:
-    """All rows with rank 1 per key, ties included.
+    """All rows with rank 1 per key, ties included. NULL keys form one group.
 
-    A rank window would pull every tied row of a key into one task. Here the best sort values
-    per key are found first (one row per key and map task is shuffled), and the rows are then
-    semi-joined to them, a join that adaptive execution may split.
+    Rows are ranked per key and salt first, of which each map task sends its best rows only, so a key's tied rows come to as many tasks as
+    there are salts. One row of each (key, salt) then stands for it: the salts with the key's best values are told, and their rows stay
+    where they are. `df` is read once.
     """
-    names = list(dict.fromkeys([*keys, *sort_names(order)]))
-    best = distinct_on(df.select(*names), keys, order)
-    return df.alias("_d").join(best.alias("_b"), _null_safe("_d", "_b", [(n, n) for n in names]), "left_semi")
+    given, group, salt = F.struct(*df.columns), "_group", "_salt"
+    salted = df.select(
+        given.alias("_row"),
+        F.struct(*keys).alias(group),  # never NULL, and equal if all keys are or are both NULL
+        F.coalesce(F.pmod(F.spark_partition_id(), F.lit(TIE_SALTS)), F.lit(0)).alias(salt),  # so it is known not to be NULL
+    )
+    best_of = lambda *by: F.rank().over(Window.partitionBy(*by).orderBy(*sort_columns(inside)))
+    inside = [By(f"_row.{o.name}", o.descending, o.nulls_first) for o in (By(o) if isinstance(o, str) else o for o in order)]
+    local = salted.withColumn("_rank", best_of(group, salt)).filter("_rank = 1").drop("_rank")
+    speakers = local.groupBy(group, salt).agg(F.first("_row").alias("_row"))
+    winners = speakers.withColumn("_rank", best_of(group)).filter("_rank = 1").select(group, salt)
+    return local.join(winners, [group, salt]).select("_row.*")
 
 
 def newest_versions(
@@ -57,13 +62,17 @@ def newest_versions(
 ) -> DataFrame:
     """One row per key with its largest `version`, among rows whose `on` lies in [lower, upper]."""
     keys = [key] if isinstance(key, str) else list(key)
+    return _between(df, lower, upper, on).groupBy(*keys).agg(F.max(version).alias(version))
+
+
+def _between(df: DataFrame, lower, upper, on: str | None) -> DataFrame:
     if (lower is not None or upper is not None) and on is None:
         raise ValueError("a window needs the column it applies to (on=)")
     if lower is not None:
         df = df.filter(F.col(on) >= F.lit(lower))
     if upper is not None:
         df = df.filter(F.col(on) <= F.lit(upper))
-    return df.groupBy(*keys).agg(F.max(version).alias(version))
+    return df
 
 
 def latest_version(
@@ -77,12 +86,4 @@ def latest_version(
     """Rows that carry the largest `version` of their key, among rows whose `on` lies in
     [lower, upper]. NULL keys form one group."""
     keys = [key] if isinstance(key, str) else list(key)
-    newest = newest_versions(df, keys, version, lower, upper, on)
-    if lower is not None:
-        df = df.filter(F.col(on) >= F.lit(lower))
-    if upper is not None:
-        df = df.filter(F.col(on) <= F.lit(upper))
-    names = [*keys, version]
-    return df.filter(F.col(version).isNotNull()).alias("_d").join(
-        newest.alias("_n"), _null_safe("_d", "_n", [(n, n) for n in names]), "left_semi"
-    )
+    return top_rank(_between(df, lower, upper, on).filter(F.col(version).isNotNull()), keys, [By(version, descending=True)])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,19 +35,35 @@ def hot_keys(
     each map task ships one sketch of bounded size, the keys themselves are not shuffled. Estimates are enough, since a key listed or
     missed by mistake changes only how rows are spread, never a join's result.
     """
+    salts = key_profile(df, on, rows_per_task, max_keys).hot
+    return {k: min(max_salts or n, n) for k, n in salts.items()}
+
+
+class KeyProfile(NamedTuple):
+    """How many rows a table has, and its frequent keys as `hot_keys` tells them."""
+
+    rows: int
+    hot: Mapping[int, int]
+
+
+def key_profile(df: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK, max_keys: int | None = None) -> KeyProfile:
+    """`hot_keys` and the number of rows, in the same job."""
     hashed = df.select(_key_hash(on).alias("_kh"), F.pmod(F.spark_partition_id(), F.lit(_SKETCH_GROUPS)).alias("_g"))
     told = max_keys or _SKETCH_KEYS
-    tops = hashed.groupBy("_g").agg(F.expr(f"approx_top_k(_kh, {told}, {told * 10})").alias("_top"))
+    tops = hashed.groupBy("_g").agg(F.expr(f"approx_top_k(_kh, {told}, {told * 10})").alias("_top"), F.count(F.lit(1)).alias("_all"))
+    # The number of all rows goes as the count of no key, which no hash is.
+    items = F.concat("_top", F.array(F.struct(F.lit(None).cast("bigint").alias("item"), F.col("_all").alias("count"))))
     counted = (
-        tops.select(F.explode("_top").alias("_t"))
+        tops.select(F.explode(items).alias("_t"))
         .groupBy(F.col("_t.item").alias("_hot"))
         .agg(F.sum("_t.count").alias("_rows"))
-        .filter(F.col("_rows") >= rows_per_task)
+        .filter((F.col("_rows") >= rows_per_task) | F.col("_hot").isNull())
     )
     if max_keys:
-        counted = counted.orderBy(F.col("_rows").desc()).limit(max_keys)
-    salts = {r["_hot"]: r["_rows"] // rows_per_task + 1 for r in counted.collect()}
-    return {k: min(max_salts or n, n) for k, n in salts.items()}
+        counted = counted.orderBy(F.col("_hot").isNull().desc(), F.col("_rows").desc()).limit(max_keys + 1)
+    found = {r["_hot"]: r["_rows"] for r in counted.collect()}
+    rows = found.pop(None, 0)
+    return KeyProfile(rows, {k: n // rows_per_task + 1 for k, n in found.items()})
 
 
 def hot_join(

@@ -22,6 +22,7 @@ from ..operators import (
     hot_keys,
     in_any_period,
     key_filter,
+    key_profile,
     period_snapshots,
     top_rank,
     with_neighbours,
@@ -117,11 +118,10 @@ def price_steps(
     so the result does not depend on how rows are dealt out. For `stage` see `advert_history`."""
     versions = stage(advert_versions(t, agency_names, keys).select(*_VERSION_COLUMNS, "version_from"))
     live = active_only(t.adverts)
-    hour = F.date_trunc("hour", F.col("version_from"))
     order = ["version_from", *(c for c in _VERSION_COLUMNS if c != "src_cian_id")]
-    timed = with_neighbours(versions, ["src_cian_id"], order, ["version_from"], hour, hot_keys(live, ["src_cian_id"]))
+    timed = with_neighbours(versions, ["src_cian_id"], order, ["version_from"], key_profile(live, ["src_cian_id"]))
     record = ["src_cian_id", "bkh"]
-    priced = with_neighbours(timed, record, [c for c in order if c != "bkh"], ["price_amt"], hour, hot_keys(live, record))
+    priced = with_neighbours(timed, record, [c for c in order if c != "bkh"], ["price_amt"], key_profile(live, record))
     return priced.select(
         *_VERSION_COLUMNS,
         F.col("prev_version_from").alias("prev_valid_date"),

@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from regmart.functions import (
@@ -20,6 +21,7 @@ from regmart.functions import (
 from regmart.operators import (
     By,
     Dim,
+    KeyProfile,
     Period,
     active_only,
     changed_values,
@@ -29,7 +31,7 @@ from regmart.operators import (
     enrich,
     filter_key_tuples,
     filter_keys,
-    hot_keys,
+    key_profile,
     latest_version,
     optional_key_lookup,
     period_snapshots,
@@ -40,6 +42,9 @@ from regmart.operators import (
     with_neighbours,
 )
 
+from regmart.operators.ordering import sort_columns
+from regmart.operators.ranges import with_range
+
 D = dt.date
 TS = dt.datetime
 
@@ -208,19 +213,52 @@ def test_changed_values_ignores_null(spark):
     assert rows(changed_values(df, "k", "price")) == [(2,), (None,)]
 
 
-@pytest.mark.parametrize("days", [1, 3, 50])
-def test_sliced_neighbours_equal_plain_ones(spark, days):
-    df = spark.range(600).select(
+def _timed(spark, n=600):
+    return spark.range(n).select(
         F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("k"),
         F.when(F.col("id") % 17 > 0, (F.col("id") * 7919 % 101).cast("int")).alias("t"),
         F.when(F.col("id") % 4 > 0, F.col("id")).alias("v"),
+        F.concat(F.lit("s"), F.col("id") % 7).alias("s"),
         "id",
     )
-    plain = with_neighbours(df, ["k"], ["t", "id"], ["t", "v"])
-    some = hot_keys(df, ["k"], rows_per_task=100, max_keys=3)
-    assert len(some) == 3
-    sliced = with_neighbours(df, ["k"], ["t", "id"], ["t", "v"], F.floor(F.col("t") / days), some)
-    assert rows(sliced, *plain.columns) == rows(plain)
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 7, 300])
+@pytest.mark.parametrize("order", [["t", "id"], [desc("t"), "id"], [desc("s"), By("t", nulls_first=True), desc("id")]])
+def test_neighbours_by_ranges_equal_plain_ones(spark, ranges, order):
+    df = _timed(spark)
+    plain = with_neighbours(df, ["k"], order, ["t", "v"])
+    some = key_profile(df, ["k"], rows_per_task=100, max_keys=3)
+    assert len(some.hot) == 3 and some.rows == 600
+    ranged = with_neighbours(df, ["k"], order, ["t", "v"], some, ranges)
+    assert rows(ranged, *plain.columns) == rows(plain)
+
+
+def test_neighbours_of_a_key_with_all_rows(spark):
+    """Ranges are even, also where all rows have one key; more ranges than rows and no rows are no trouble."""
+    df = spark.range(20_000).select(F.lit("all").alias("k"), (F.col("id") * 7919 % 10_007).alias("t"), "id").repartition(5)
+    profile = KeyProfile(20_000, {1: 2})
+    plain = with_neighbours(df, ["k"], ["t", "id"], ["id"], KeyProfile(20_000, {}))
+    ranged = with_neighbours(df, ["k"], ["t", "id"], ["id"], profile, 8)
+    assert rows(ranged, *plain.columns) == rows(plain)
+    sizes = [r["count"] for r in with_range(df, ["k"], ["t", "id"], 8).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    few = df.filter("id < 3")
+    assert rows(with_neighbours(few, ["k"], ["t"], ["id"], profile, 50), "id") == rows(with_neighbours(few, ["k"], ["t"], ["id"]), "id")
+    assert rows(with_neighbours(df.filter("id < 0"), ["k"], ["t"], ["id"], profile, 50)) == []
+
+
+def test_ties_are_spread(spark):
+    """Best rows of each key, with ties and NULL keys, as a rank over whole keys gives them."""
+    df = _timed(spark, 900).repartition(6)
+    for keys, order in ((["k"], ["s"]), (["k", "s"], [desc("t"), "v"]), (["k"], [desc("s"), By("t", nulls_first=True)])):
+        w = Window.partitionBy(*keys).orderBy(*sort_columns(order))
+        plain = df.withColumn("_r", F.rank().over(w)).filter("_r = 1").drop("_r")
+        assert rows(top_rank(df, keys, order), "id") == rows(plain, "id")
+    equal = spark.range(5000).select(F.lit(1).alias("k"), F.lit(2).alias("v"), "id").repartition(7)
+    spread = top_rank(equal, ["k"], [desc("v")])
+    sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 5000 and len(sizes) > 3
 
 
 def test_row_count(spark):

@@ -6,7 +6,7 @@ import re
 import pytest
 
 from checks import QUERIES
-from regmart.operators import desc, filter_keys, row_count, top_rank
+from regmart.operators import KeyProfile, desc, filter_keys, row_count, top_rank, with_neighbours
 from regmart.plans import advert_snapshots, deal_rollup, latest_report_lines, property_register, report_extract
 from regmart.sources import SCHEMAS, key_table, read_tables, register_views
 
@@ -90,10 +90,23 @@ def test_first_rows_are_chosen_before_the_shuffle(stored):
     assert "room_name" not in scan(text, "cadastral_num").split("ReadSchema")[1]
 
 
-def test_ties_are_not_ranked_in_one_task(spark):
-    df = spark.range(100).selectExpr("id % 3 as k", "id % 5 as v", "id")
-    text = plan(top_rank(df, ["k"], [desc("v")]))
-    assert "rank(" not in text and "LeftSemi" in text
+def final_plan(df):
+    df.collect()
+    return re.split(r"^\+- == Initial Plan", plan(df), flags=re.M)[0]
+
+
+def test_ties_are_read_once_and_stay_where_they_are(spark):
+    orders = spark.read.parquet(f"{SF_DIR}/orders.parquet").select("o_custkey", "o_totalprice", "o_orderkey")
+    text = final_plan(top_rank(orders, ["o_custkey"], [desc("o_totalprice")]))
+    assert text.count("ReusedExchange") == 1 and "LeftSemi" not in text
+    assert text.count("hashpartitioning(_group") - text.count("ReusedExchange [") <= 2
+
+
+def test_neighbours_by_ranges_are_shuffled_once(spark):
+    events = spark.read.parquet(f"{SF_DIR}/events.parquet").select("user_id", "ts", "event_id")
+    text = final_plan(with_neighbours(events, ["user_id"], ["ts", "event_id"], ["ts"], KeyProfile(1000, {1: 2}), 8))
+    main = [line for line in text.splitlines() if "shufflepartitionidpassthrough" in line]
+    assert len([line for line in main if "Reused" not in line]) == 1 and len(main) == 2
 
 
 def test_counting_reads_no_columns(stored):
@@ -118,5 +131,5 @@ def test_windows_only_choose_rows_or_look_at_neighbours(spark, name):
     text = plan(QUERIES[name](spark, SF_DIR))
     for line in text.splitlines():
         if "Window [" in line and "WindowGroupLimit" not in line:
-            assert re.search(r"row_number\(\)|lag\(|lead\(", line), line
+            assert re.search(r"row_number\(\)|lag\(|lead\(|rank\(.*_group#", line), line
             assert not re.search(r"(max|min|sum|count|collect_list)\(", line), line
