@@ -4,10 +4,13 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from regmart.functions.table_functions import register_table_functions
 from regmart.plans import counterparty_check, include_list
 from regmart.plans.flags import RISK_FLAGS
 
-from .tables import nation_regions, read, text
+from regmart.sources import SCHEMAS
+
+from .tables import customer_places, nation_regions, read, text
 
 # Each flag holds when the balance is below its threshold: 0 for the first flag, 400 for the second, and so on.
 _STEP = 400
@@ -45,8 +48,8 @@ def _counterparty_check(spark, sf_dir):
     return counterparty_check(checks, keys)
 
 
-def _include_list(spark, sf_dir):
-    lists = (
+def _lists(spark, sf_dir):
+    return (
         read(spark, sf_dir, "supplier")
         .join(nation_regions(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey"))
         .select(
@@ -59,10 +62,46 @@ def _include_list(spark, sf_dir):
             F.col("r_name").alias("kpp"),
         )
     )
-    return include_list(lists, REQUESTS)
 
 
-QUERIES = {"counterparty_check": _counterparty_check, "include_list": _include_list}
+def _include_list(spark, sf_dir):
+    return include_list(_lists(spark, sf_dir), REQUESTS)
+
+
+def _requests_of(spark, sf_dir):
+    """Requests from the customers: by name of nation, by region with the name of a supplier of the same number, and by nothing at all."""
+    by_nation = customer_places(spark, sf_dir).filter("c_acctbal < 0").select(
+        F.col("n_name").alias("inn"), F.lit("").alias("ogrn"), F.when(F.col("c_custkey") % 2 == 0, F.col("r_name")).otherwise("").alias("kpp")
+    )
+    by_name = read(spark, sf_dir, "supplier").join(nation_regions(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.when(F.col("s_suppkey") % 3 == 0, F.col("n_name")).otherwise(""), "s_name", F.when(F.col("s_suppkey") % 2 == 0, "EUROPE").otherwise("")
+    )
+    nothing = read(spark, sf_dir, "region").filter("r_regionkey < 2").select(F.lit(""), F.lit(""), F.lit(""))
+    return by_nation.union(by_name).union(nothing)
+
+
+def _include_list_table(spark, sf_dir):
+    return include_list(_lists(spark, sf_dir), _requests_of(spark, sf_dir))
+
+
+def _include_list_lateral(spark, sf_dir):
+    """The same lookups through the SQL table function, called for each row of a table."""
+    names = [c.split()[0] for c in SCHEMAS["include_lists"].split(", ")]
+    _lists(spark, sf_dir).select(*names).createOrReplaceTempView("include_lists")
+    _requests_of(spark, sf_dir).createOrReplaceTempView("include_requests")
+    register_table_functions(spark, ["include_list"])
+    return spark.sql(
+        "SELECT r.inn AS request_inn, r.ogrn AS request_ogrn, r.kpp AS request_kpp, l.* "
+        "FROM include_requests r, LATERAL include_list(r.inn, r.ogrn, r.kpp) l"
+    )
+
+
+QUERIES = {
+    "counterparty_check": _counterparty_check,
+    "include_list": _include_list,
+    "include_list_table": _include_list_table,
+    "include_list_lateral": _include_list_lateral,
+}
 
 _FLAG_SQL = ", ".join(f"CAST(CASE WHEN c_acctbal < {i * _STEP} THEN '1' ELSE '0' END AS BOOLEAN) AS {f}"
                       for i, f in enumerate(RISK_FLAGS))
@@ -91,3 +130,12 @@ ORACLE = {
           ON q.inn IN ('', n_name) AND q.ogrn IN ('', s_name) AND q.kpp IN ('', r_name)
     """,
 }
+_TABLE_SQL = """
+        (SELECT n_name AS inn, '' AS ogrn, CASE WHEN c_custkey % 2 = 0 THEN r_name ELSE '' END AS kpp
+         FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_acctbal < 0
+         UNION ALL
+         SELECT CASE WHEN s_suppkey % 3 = 0 THEN n_name ELSE '' END, s_name, CASE WHEN s_suppkey % 2 = 0 THEN 'EUROPE' ELSE '' END
+         FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey
+         UNION ALL SELECT '', '', '' FROM region WHERE r_regionkey < 2)"""
+ORACLE["include_list_table"] = ORACLE["include_list"].replace(f"(VALUES {_REQUEST_SQL})", _TABLE_SQL)
+ORACLE["include_list_lateral"] = ORACLE["include_list_table"]

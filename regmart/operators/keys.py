@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .skew import hot_join
+from .skew import ROWS_PER_TASK, hot_join
 
 # Keys of up to so many bytes, measured beforehand, are broadcast; a value counts 16 bytes besides its text.
 BROADCAST_BYTES = 64 << 20
 _VALUE_BYTES = 16
-# Requests that give no key at all match every row; their matches are spread over so many keys.
-BLANK_SALTS = 64
 
 
 def key_frame(df: DataFrame, cols: Sequence[str], rows: Iterable) -> DataFrame:
@@ -96,34 +95,59 @@ def optional_key_lookup(
     Output: `request_<col>` columns, then all columns of `rows`; a row is repeated once per request it
     matches. A NULL in a request matches nothing.
 
-    Instead of testing every row against every request, each row is offered once per pattern of
-    given keys that occurs in the requests, and joined by equality on (pattern, given values). The patterns of a
-    table of requests are looked up first, at most two per key multiplied up. A request that gives no key matches
-    all rows; these are spread over `BLANK_SALTS` keys.
+    A request looks its rows up by the rarest of the values it gives, as counted in `rows`; its other values are tested on what is found.
+    So a row is offered once per column that some request looks up by, and meets the requests for its value there. Values that
+    many rows have are spread over tasks. Requests that give no value are all alike: each row is repeated as often as there are such
+    requests, without a join. One job counts the values that requests give and tells the frequent ones.
     """
-    cols = list(cols)
+    cols, names = list(cols), [f"request_{c}" for c in cols]
     if not isinstance(requests, DataFrame):
         requests = key_frame(rows, cols, [tuple(r) for r in requests])
-    asked = requests.toDF(*[f"request_{c}" for c in cols]).dropna()
-    given = F.concat(*[F.when(F.col(f"request_{c}") == "", "-").otherwise("x") for c in cols])
-    patterns = sorted(tuple(x == "x" for x in r["given"]) for r in asked.select(given.alias("given")).distinct().collect())
-    if not patterns:
-        patterns = [(True,) * len(cols)]
-
-    offers = F.array(*[_offer([F.col(c) for c in cols], p) for p in patterns])
-    offered = rows.withColumn("_want", F.explode(offers))
-    blank = "-" * len(cols)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(BLANK_SALTS)).cast("int")
-    offered = offered.withColumn("_salt", F.when(F.col("_want.given") == blank, salt).otherwise(F.lit(0)))
-    asked = asked.withColumn("_ask", F.struct(given.alias("given"), *[F.col(f"request_{c}").alias(f"k{i}") for i, c in enumerate(cols)]))
-    last = F.when(F.col("_ask.given") == blank, F.lit(BLANK_SALTS - 1)).otherwise(F.lit(0))
-    asked = asked.withColumn("_ask_salt", F.explode(F.sequence(F.lit(0), last)))
-    fields = ["given", *[f"k{i}" for i in range(len(cols))]]
-    on = [*(F.col(f"_want.{f}") == F.col(f"_ask.{f}") for f in fields), F.col("_salt") == F.col("_ask_salt")]
-    return offered.join(asked, on, "inner").select(*[f"request_{c}" for c in cols], *rows.columns)
-
-
-def _offer(values: Sequence[Column], pattern: tuple[bool, ...]) -> Column:
-    given = "".join("x" if p else "-" for p in pattern)
-    parts = [v.alias(f"k{i}") if p else F.lit("").alias(f"k{i}") for i, (v, p) in enumerate(zip(values, pattern))]
-    return F.struct(F.lit(given).alias("given"), *parts)
+    asked = requests.toDF(*names).dropna().groupBy(*names).agg(F.count(F.lit(1)).alias("_times"))
+    chosen = _with_rarest_value(rows, asked, cols)
+    profile = {
+        r["_by"]: r
+        for r in chosen.groupBy("_by")
+        .agg(
+            F.max("_times").alias("times"),
+            # one value per ROWS_PER_TASK rows at most
+            F.collect_set(F.when(F.col("_n") >= ROWS_PER_TASK, F.struct(F.xxhash64("_value").alias("hash"), "_n"))).alias("hot"),
+        )
+        .collect()
+    }
+    found = []
+    for i, c in enumerate(cols):
+        if i in profile:
+            by_value = chosen.filter(F.col("_by") == i).select(F.col("_value").alias(c), *names, "_times")
+            hot = {h["hash"]: h["_n"] // ROWS_PER_TASK + 1 for h in profile[i]["hot"]}
+            others = [F.col(n).isin("", F.col(k)) for n, k in zip(names, cols) if k != c]
+            met = hot_join(rows, by_value, [c], "inner", hot=hot)
+            found.append((met.filter(reduce(lambda a, b: a & b, others)) if others else met, profile[i]["times"]))
+    if -1 in profile:
+        blank = [F.lit("").alias(n) for n in names]
+        found.append((rows.select(*blank, *rows.columns, F.lit(profile[-1]["times"]).alias("_times")), profile[-1]["times"]))
+    if not found:
+        return rows.limit(0).select(*[F.lit("").alias(n) for n in names], *rows.columns)
+    parts = [
+        (df if times == 1 else df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))).select(*names, *rows.columns)
+        for df, times in found
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _with_rarest_value(rows: DataFrame, asked: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Requests with `_by`, the place of the column whose given value the fewest rows have (-1 if none is given), that `_value` and how many, `_n`.
+
+    Rows are counted per value in the tasks that read them; only values that are asked for are shuffled further."""
+    given = lambda c: F.col(f"request_{c}") != ""
+    pair = lambda i, value: F.struct(F.lit(i).alias("_by"), value.alias("_value"))
+    counted = asked
+    for i, c in enumerate(cols):
+        values = asked.filter(given(c)).select(F.col(f"request_{c}").alias(c)).distinct()
+        n = rows.select(c).join(values, c, "left_semi").groupBy(F.col(c).alias(f"request_{c}")).agg(F.count(F.lit(1)).alias(f"_n{i}"))
+        counted = counted.join(n, f"request_{c}", "left")
+    choices = [F.when(given(c), F.struct(F.coalesce(f"_n{i}", F.lit(0)).alias("_n"), *(pair(i, F.col(f"request_{c}"))[f].alias(f) for f in ("_by", "_value")))) for i, c in enumerate(cols)]
+    best = F.array_min(F.array_compact(F.array(*choices)))
+    return counted.select(
+        *asked.columns, F.coalesce(best["_by"], F.lit(-1)).alias("_by"), best["_value"].alias("_value"), F.coalesce(best["_n"], F.lit(0)).alias("_n")
+    )

@@ -16,7 +16,7 @@ from .deals import deal_listing, deal_rollup, property_register
 from .flags import counterparty_check, include_list
 from .objects import document_rollup, object_rollup
 from .reports import latest_report_lines, report_extract
-from .requests import request_stats
+from .requests import merged_stats, request_sketches, request_stats
 
 __all__ = [
     "AdvertTables",
@@ -36,9 +36,11 @@ __all__ = [
     "document_rollup",
     "include_list",
     "latest_report_lines",
+    "merged_stats",
     "object_rollup",
     "price_steps",
     "property_register",
     "report_extract",
+    "request_sketches",
     "request_stats",
 ]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -24,8 +27,14 @@ def get_session(app: str = "regmart", master: str | None = None, **more: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it in `spark.checkpoint.dir`."""
+    """The folder all executors share, as the cluster names it in `spark.checkpoint.dir`.
+
+    Where that is unset and everything runs in one process, as in tests, a temporary folder is set for the session. On a cluster it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        raise ValueError("spark.checkpoint.dir is not set; pass a folder on shared storage")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set; name a folder on shared storage")
+        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
