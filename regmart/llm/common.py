@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 # A group with at least this share of all rows is joined by broadcast; there are at most as many such groups.
 HOT_SHARE = 1000
 # A repeated row is counted, and repeated again at the end in blocks of so many rows.
@@ -15,15 +16,8 @@ _BLOCK = 100_000
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the one that all executors share, as `spark.checkpoint.dir` names it.
-
-    Where that is unset, as in tests on one machine, a temporary folder is set for the session.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/llm/{uuid.uuid4().hex}"
+    """A new folder below the one that all executors share, as `spark.checkpoint.dir` names it."""
+    return f"{shared_dir(spark)}/llm/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
