@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_groups, repeated, text_or_empty, written
+from .common import carried, join_groups, repeated, text_or_empty, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -333,9 +333,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of `docs` of each class, with its columns as they are."""
     keys = classes(docs, similarity).filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    marked = docs.withColumn("_own", F.unhex(F.sha2(text_or_empty().cast("binary"), 256)))
-    joined = marked.join(keys, F.col("_own").eqNullSafe(F.col("_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return joined.dropDuplicates(["_digest", "_id"]).select(*docs.columns)
+    marked = carried(docs, F.unhex(F.sha2(text_or_empty().cast("binary"), 256)).alias("own"), F.col("doc_id").cast("long").alias("id"))
+    joined = marked.join(keys, F.col("own").eqNullSafe(F.col("_digest")) & F.col("id").eqNullSafe(F.col("_id")))
+    return joined.dropDuplicates(["_digest", "_id"]).select("row.*")
 
 
 def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,11 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def carried(docs: DataFrame, *columns: Column) -> DataFrame:
+    """`row`, all of the caller's columns in one, and the given columns: whatever the caller's are called, nothing clashes. `row.*` has them back."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *columns)
+
+
 def fold(col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))

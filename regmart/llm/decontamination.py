@@ -9,11 +9,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bag_minhash import mix
-from .common import text_or_empty, written
+from .common import carried, text_or_empty, written
 
 # Seeds are runs of so many words. One is rare if its words, drawn singly, make it at most so likely at a place; of an item
 # without enough rare ones the rarest quarter counts. As a paraphrase may replace just the rare words, the rarest seed of so
@@ -27,6 +27,8 @@ LEAK_SHARE, LEAK_WORDS = 0.5, 13
 MIN_WORDS = 8
 # Seeds further apart than this begin another passage.
 APART = 60
+# A seed of more items than this is shared; it takes this part of an item's seeds to look closer by shared ones alone.
+SHARED, SHARED_PART = 16, 0.25
 CHUNK_CHARS = 8 << 20
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Seeds are looked up in a bitmap of fixed size first, whatever the number of items: 2 MB.
@@ -142,15 +144,31 @@ def rare_seeds(texts: DataFrame, words: DataFrame) -> DataFrame:
     near = Window.partitionBy("item_id", F.floor(F.col("place") / PLACES)).orderBy("logs", "place")
     ranked = ranked.withColumn("near", F.row_number().over(near))
     kept = ranked.filter((F.col("logs") <= math.log(RARITY)) | (F.col("rank") <= F.ceil(F.col("of") * LEAST_SHARE)) | (F.col("near") == 1))
-    return kept.select("item_id", "key").distinct()
+    return telling_seeds(kept.select("item_id", "key").distinct(), listed.groupBy("item_id").agg(F.count(F.lit(1)).alias("size")))
 
 
-def passages(texts: DataFrame, keys: DataFrame, margin: int) -> DataFrame:
-    """passage, doc_id, digest, first_word, words and keys: the parts of `texts` (doc_id, digest, text) around seeds.
+def telling_seeds(seeds: DataFrame, sizes: DataFrame) -> DataFrame:
+    """item_id, key, shared (whether more than `SHARED` items have the seed), seeds (of the item) and size (its words).
 
-    A passage goes `margin` words beyond its first and last seed; seeds more than `APART` words apart begin another one.
+    A seed that many items begin with, say, tells of none of them. So shared seeds are looked up only for items of which they are `SHARED_PART` of
+    all seeds or more, and there it takes as many of them to look closer; other items have seeds of their own all along."""
+    items = seeds.groupBy("key").agg((F.count(F.lit(1)) > SHARED).alias("shared"))
+    marked = seeds.join(items, "key")
+    own = marked.groupBy("item_id").agg(F.count(F.lit(1)).alias("seeds"), F.count_if("shared").alias("shares"))
+    told = marked.join(own, "item_id").filter(~F.col("shared") | (F.col("shares") >= F.col("seeds") * SHARED_PART))
+    return told.drop("shares").join(sizes, "item_id")
+
+
+def passages(texts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """passage, doc_id, digest, words, keys and places (of the seeds): the parts of `texts` (doc_id, digest, text) around seeds (key, size).
+
+    A passage goes beyond each seed by the length of the items that have it, up to the next power of 4; seeds more than `APART` words apart
+    begin another one.
     """
-    bits = _bitmap(keys)
+    # One bitmap for each power of 4 that some item's length reaches: ten for lengths up to a million.
+    reach = seeds.select("key", F.ceil(F.log(F.greatest("size", F.lit(SEED))) / math.log(4)).cast("int").alias("power"))
+    powers = sorted(r["power"] for r in reach.select("power").distinct().collect())
+    bitmaps = [(4**p, _bitmap(reach.filter(F.col("power") == p).select("key"))) for p in powers]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -159,32 +177,50 @@ def passages(texts: DataFrame, keys: DataFrame, margin: int) -> DataFrame:
         for batch in _chunks(batches, 2):
             names, which, sizes = words_of(batch.column(2))
             key, whole = grams(hashes(names)[which], sizes)
-            hit = np.flatnonzero(whole & _in(bits, key))
+            margin = np.zeros(len(key), np.int64)
+            for length, bits in bitmaps:
+                margin[whole & _in(bits, key)] = length
+            hit = np.flatnonzero(margin)
             if not len(hit):
                 continue
+            margin = margin[hit]
             ends = np.cumsum(sizes)
             doc = np.searchsorted(ends, hit, "right")
             new = np.flatnonzero(np.concatenate([[True], (np.diff(hit) > APART) | (np.diff(doc) > 0)]))
-            last = np.concatenate([new[1:], [len(hit)]]) - 1
             of = doc[new]
-            a = np.maximum(hit[new] - margin, ends[of] - sizes[of])
-            b = np.minimum(hit[last] + SEED + margin, ends[of])
+            a = np.maximum(np.minimum.reduceat(hit - margin, new), ends[of] - sizes[of])
+            b = np.minimum(np.maximum.reduceat(hit + SEED + margin, new), ends[of])
             n = b - a
             stops = np.cumsum(n)
             inside = which[np.repeat(a - (stops - n), n) + np.arange(int(stops[-1]))]
             offsets = lambda x: pa.array(np.concatenate([[0], x]).astype(np.int32))
             yield pa.RecordBatch.from_pydict({
                 "passage": number + np.arange(len(new)), "doc_id": batch.column(0).take(pa.array(of)), "digest": batch.column(1).take(pa.array(of)),
-                "first_word": a - (ends[of] - sizes[of]),
                 "words": pa.ListArray.from_arrays(offsets(stops), names.take(pa.array(inside)).cast(pa.string())),
                 "keys": pa.ListArray.from_arrays(offsets(np.concatenate([new[1:], [len(hit)]])), pa.array(key[hit].view(np.int64))),
+                "places": pa.ListArray.from_arrays(
+                    offsets(np.concatenate([new[1:], [len(hit)]])), pa.array(hit - np.repeat(a, np.diff(np.concatenate([new, [len(hit)]]))))
+                ),
             })
             number += len(new)
 
-    schema = "passage long, doc_id long, digest binary, first_word long, words array<string>, keys array<bigint>"
+    schema = "passage long, doc_id long, digest binary, words array<string>, keys array<bigint>, places array<bigint>"
     return written(texts.select("doc_id", "digest", "text").mapInArrow(found, schema))
 
 
+def seed_pairs(found: DataFrame, seeds: DataFrame) -> DataFrame:
+    """passage, item_id, low and high (places of the item's first and last seed in the passage) and size (the item's words): what is aligned.
+
+    A pair has a seed that few items have, or `SHARED_PART` of the item's seeds. Frequent seeds are spread over tasks by the join."""
+    at = found.select("passage", F.explode(F.arrays_zip("keys", "places")).alias("hit")).select("passage", F.col("hit.keys").alias("key"), F.col("hit.places").alias("place"))
+    hits = at.groupBy("passage", "key").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    met = hits.join(seeds, "key").groupBy("passage", "item_id").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.max("size").alias("size"),
+        F.count(F.lit(1)).alias("met"), F.max("seeds").alias("seeds"), F.bool_or(~F.col("shared")).alias("own"),
+    )
+    return met.filter(F.col("own") | (F.col("met") >= F.col("seeds") * SHARED_PART)).drop("met", "seeds", "own")
+
+
 def align(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
     """Best local alignment score (Smith-Waterman, linear gaps) of each passage and item, both arrays of word numbers.
 
@@ -222,11 +258,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     words = written(item_words(benchmark))
     seeds = written(rare_seeds(texts.select("text"), words))
-    margin = (words.agg(F.max("place")).first()[0] or 0) + 1
-    found = passages(texts.withColumn("digest", _digest()), seeds.select("key"), margin)
-    hits = found.select("passage", F.explode("keys").alias("key")).join(seeds, "key").select("passage", "item_id").distinct()
+    found = passages(texts.withColumn("digest", _digest(F.col("text"))), seeds)
+    pairs = seed_pairs(found, seeds)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("item")).dropDuplicates()
-    pairs = hits.join(found.drop("keys"), "passage").join(items, "item_id")
+    # Of a passage, what the item's own seeds leave within its reach.
+    first = F.greatest(F.col("low") - F.col("size"), F.lit(0))
+    near = F.slice("words", (first + 1).cast("int"), (F.col("high") + SEED + F.col("size") - first).cast("int"))
+    pairs = pairs.join(found.drop("keys", "places"), "passage").withColumn("words", near).join(items, "item_id")
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,16 +292,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return aligned.groupBy("doc_id", "digest", "item_id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("passages"))
 
 
-def _digest():
-    return F.unhex(F.sha2(F.col("text").cast("binary"), 256))
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` whose texts hold no benchmark item, with their columns as they are."""
     bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    marked = docs.withColumn("_own", F.unhex(F.sha2(text_or_empty().cast("binary"), 256)))
-    on = F.col("_own").eqNullSafe(F.col("_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    return marked.join(bad, on, "left_anti").select(*docs.columns)
+    marked = carried(docs, _digest(text_or_empty()).alias("own"), F.col("doc_id").cast("long").alias("id"))
+    on = F.col("own").eqNullSafe(F.col("_digest")) & F.col("id").eqNullSafe(F.col("_id"))
+    return marked.join(bad, on, "left_anti").select("row.*")
 
 
 def op5_rare_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import fits_broadcast
-from .common import join_groups, text_or_empty, written
+from .common import carried, join_groups, text_or_empty, written
 
 # Raking stops when all margins are met this closely, or after so many rounds (targets that contradict each other).
 TOLERANCE, MAX_ROUNDS = 1e-10, 1000
@@ -208,13 +208,13 @@ def chance(*columns: str) -> Column:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """`docs` (doc_id, text, lang, source, others) with _tokens, _topic, probability and _sampled.
+    """Per row of `docs` (doc_id, text, lang, source, others): row (all its columns), doc_id, text, lang, source, _tokens, _topic, probability and _sampled.
 
     Targets: sources, languages and topics by their tempered shares of tokens. Budget: `BUDGET_SHARE` of all tokens; cells too
     small for their part of it stay whole. Null sources, languages and texts are allowed, as are repeated rows, which share
-    their fate, and an empty table.
+    their fate, and an empty table. The caller's other columns may have any names.
     """
-    counted = docs.withColumn("_measured", measured(text_or_empty()))
+    counted = carried(docs, *[F.col(c) for c in ("doc_id", "text", "lang", "source")], measured(text_or_empty()).alias("_measured"))
     counted = counted.withColumn("_tokens", F.col("_measured.tokens")).withColumn("_topic", F.col("_measured.topic")).drop("_measured")
     cell = {"_cell_0": "source", "_cell_1": "lang", "_cell_2": "_topic"}
     for c, name in cell.items():
@@ -228,7 +228,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 def sample_mixture(docs: DataFrame) -> DataFrame:
     """The sampled rows of `docs`, with their columns as they are."""
-    return mixed_documents(docs).filter("_sampled").select(*docs.columns)
+    return mixed_documents(docs).filter("_sampled").select("row.*")
 
 
 def op1_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
