@@ -24,16 +24,19 @@ SHARED_PRIOR = 1000.0
 # A form is in the lexicon if it is so many standard errors and so much (log-odds) likelier in toxic documents.
 MIN_Z = 3.29
 MIN_LOG_ODDS = 2.5
-# At most so many forms, those with the largest z, are sent to the tasks. Forms are at most MAX_FORM characters long.
-MAX_FORMS = 20_000
-MAX_FORM = 64
+# A longer word is taken as several ones of so many characters.
+MAX_WORD = 64
 # Stems stand in for words that are not in the lexicon themselves.
 STEMS = (6, 5, 4)
 # A passage is significant if chance gives fewer such ones in a clean document of the same length.
 MAX_E_VALUE = 0.05
 # A task's table of counts is handed on when it has so many forms.
 _FLUSH = 200_000
-_WORD = re.compile(r"\w+")
+_WORD = re.compile(rf"\w{{1,{MAX_WORD}}}")
+# Letters of scripts that put no spaces between words (Thai and Lao, Burmese, Khmer, kana, Chinese characters).
+_RANGES = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_UNSPACED = re.compile(f"[{_RANGES}]")
+_RUN = re.compile(rf"[{_RANGES}]+|[^\W{_RANGES}]{{1,{MAX_WORD}}}")
 # Evidence is counted in steps of this size, up to _LIMIT, for the calibration.
 _STEP, _LIMIT = 0.25, 50
 
@@ -72,12 +75,25 @@ class ToxicityModel:
 
 
 def forms_of(word: str) -> list[str]:
-    word = word[:MAX_FORM]
     return [word, *(word[:n] for n in STEMS if len(word) > n)]
 
 
+def spans_of(text: str) -> list[tuple[int, int]]:
+    """Beginnings and ends of the words of a text in lower case. Where a script has no spaces, each two neighbouring characters are a
+    word, so that a term is seen wherever it stands in a run."""
+    if text.isascii() or not _UNSPACED.search(text):
+        return [m.span() for m in _WORD.finditer(text)]
+    spans = []
+    for a, b in (m.span() for m in _RUN.finditer(text)):
+        spans += [(i, i + 2) for i in range(a, b - 1)] if b > a + 1 and _UNSPACED.match(text, a) else [(a, b)]
+    return spans
+
+
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    text = text.lower()
+    if text.isascii() or not _UNSPACED.search(text):
+        return _WORD.findall(text)
+    return [text[a:b] for a, b in spans_of(text)]
 
 
 def segments(hits: list[tuple[int, float]], other: float) -> list[tuple[float, int, int]]:
@@ -147,7 +163,10 @@ def _form_counts(train: DataFrame) -> DataFrame:
 
 
 def _lexicon(counts: DataFrame) -> dict[str, float]:
-    """Log-odds, with Dirichlet priors, of the forms that tell toxic from clean documents. `MAX_FORMS` rows at most."""
+    """Log-odds, with Dirichlet priors, of the forms that tell toxic from clean documents.
+
+    All of them: a form needs some labelled toxic documents to be significant, so there are no more than a fraction of these
+    documents' words, and at most `MAX_LABELS` documents are labelled."""
     n0, n1, forms = counts.agg(F.sum("c0"), F.sum("c1"), F.count(F.lit(1))).first()
     if not n0 or not n1:
         return {}
@@ -157,7 +176,7 @@ def _lexicon(counts: DataFrame) -> dict[str, float]:
     odds = F.log(y1 / (n1 + all_prior - y1)) - F.log(y0 / (n0 + all_prior - y0))
     scored = counts.select("form", odds.alias("odds"), (odds / F.sqrt(1 / y1 + 1 / y0)).alias("z"))
     kept = scored.filter((F.col("z") >= MIN_Z) & (F.col("odds") >= MIN_LOG_ODDS))
-    return {r["form"]: r["odds"] for r in kept.orderBy(F.desc("z"), "form").limit(MAX_FORMS).collect()}
+    return {r["form"]: r["odds"] for r in kept.select("form", "odds").collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int | None = FOLDS) -> ToxicityModel:
@@ -262,7 +281,7 @@ def passages(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 lower = text.lower()
-                spans = [m.span() for m in _WORD.finditer(lower)]
+                spans = spans_of(lower)
                 words = [lower[a:b] for a, b in spans]
                 for s, i, j in segments(hits_of(words, model.forms, starts), model.other):
                     e = model.e_value(s, len(words))

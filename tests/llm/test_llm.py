@@ -263,6 +263,31 @@ def test_segments():
         assert all(s == sum(scores[a : b + 1]) for s, a, b in got)
 
 
+def test_words_of_all_scripts():
+    assert toxicity.words_of("Ein Wort, dann 2 x_y") == ["ein", "wort", "dann", "2", "x_y"]
+    assert toxicity.words_of("ab毒毒品c 好") == ["ab", "毒毒", "毒品", "c", "好"]
+    assert toxicity.words_of("x" * 150) == ["x" * 64, "x" * 64, "x" * 22]
+    for text in ("plain words here", "ab毒毒品c 好, ไทยคำ", "y" * 70 + " 中"):
+        assert [text[a:b] for a, b in toxicity.spans_of(text)] == toxicity.words_of(text)
+
+
+def test_toxic_terms_within_runs_and_long_words(spark):
+    """Terms in the middle of runs without spaces, and at the end of very long words, are learned and found."""
+    rng = np.random.default_rng(21)
+    run = lambda n: "".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 3000, n))
+    rows, told = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        rows.append((i, run(60) + ("毒狗" if toxic else "") + run(60) if i % 2 else words(rng, 40) + " " + "q" * 64 + ("vilescum" if toxic else "nicewords")))
+        told.append((i, int(toxic)))
+    # toxic documents stand on even places only, so half of them are moved to runs
+    rows = [(i, run(60) + "毒狗" + run(60)) if i % 8 == 0 else (i, t) for i, t in rows]
+    model = toxicity.fit(docs_of(spark, rows), spark.createDataFrame(told, "doc_id long, toxic int"), None)
+    assert {"毒狗", "vilescum"} <= set(model.forms)
+    found = {r.doc_id: r.predicted for r in toxicity.score_documents(docs_of(spark, rows), model).collect()}
+    assert found == dict(told)
+
+
 def test_toxicity(spark, odd, empty):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in toxicity.score_documents(docs, toxicity.fit(docs, labels)).collect()}
