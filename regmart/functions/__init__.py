@@ -12,7 +12,6 @@ from .columns import (
     outcome_flag,
     sorted_set,
     to_flag,
-    union_sets,
     year_week,
 )
 
@@ -28,6 +27,5 @@ __all__ = [
     "outcome_flag",
     "sorted_set",
     "to_flag",
-    "union_sets",
     "year_week",
 ]

@@ -59,12 +59,6 @@ def sorted_set(col: Column | str) -> Column:
     return F.sort_array(F.collect_set(_col(col)))
 
 
-def union_sets(sets: Column | str) -> Column:
-    """Aggregate: the distinct elements of all arrays in the group, sorted. Arrays made by `sorted_set` that are
-    equal merge before the shuffle."""
-    return F.sort_array(F.array_distinct(F.flatten(F.collect_set(_col(sets)))))
-
-
 def array_agg_nulls(col: Column | str) -> Column:
     """Aggregate: all values as an array, NULLs included and first, the others ascending. NULL for no rows."""
     rows = F.collect_list(F.struct(_col(col).alias("v")))

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import concat_distinct, join_sorted, sorted_set, union_sets
+from ..functions import join_sorted, sorted_set
 from ..operators import filter_keys, hot_join, key_filter
 
 # Dictionary codes. The file type code has a trailing blank.
@@ -45,12 +45,6 @@ def object_rollup(
     chosen = hot_join(cards, wanted, ["src_object_id"], "many_semi")
     of_chosen = key_filter(["object_bkh"], chosen.select("object_bkh"))
 
-    measures = [
-        F.max("summary_area").alias("summary_area"),
-        F.max("living_area").alias("living_area"),
-        F.max("floor_max").alias("floor_max"),
-        F.min("floor_min").alias("floor_min"),
-    ]
     extents = (
         of_chosen(decl_objects)
         .groupBy(*_PAIR)
@@ -61,30 +55,43 @@ def object_rollup(
             F.min("floor_min_cnt").alias("floor_min"),
         )
     )
-    per_object = (
-        _declared(hot_join(of_chosen(lands.select(*_PAIR, "cadastral_num")), extents, _PAIR), prepared)
-        .groupBy("object_bkh")
-        .agg(sorted_set("cadastral_num").alias("nums"), *measures)
+    landed = _declared(hot_join(of_chosen(lands.select(*_PAIR, "cadastral_num")), extents, _PAIR), prepared)
+    # A row for each value of an object, once, with the largest of what stands beside it.
+    measures = [*[F.max(c).alias(c) for c in ("summary_area", "living_area", "floor_max")], F.min("floor_min").alias("floor_min")]
+    numbers = landed.groupBy("object_bkh", F.lit("num").alias("kind"), F.col("cadastral_num").alias("value")).agg(*measures)
+    with_lands = numbers.select("object_bkh").distinct()
+    houses = of_chosen(addresses).select("object_bkh", F.lit("house").alias("kind"), F.col("house_num").alias("value")).distinct()
+    group = [F.col("src_object_id").alias("oks_xml_id"), F.col("object_id").alias("oks_id")]
+    named = chosen.join(with_lands, "object_bkh", "left_semi")
+    ids = named.select("object_bkh", *group).distinct()
+    own = named.select(
+        *group,
+        F.explode(
+            F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in (("title", "title_name"), ("address", "full_address_txt"))])
+        ).alias("pair"),
+    ).select("oks_xml_id", "oks_id", "pair.*")
+    pairs = (
+        ids.join(numbers, "object_bkh").drop("object_bkh")
+        .unionByName(ids.join(houses, "object_bkh").drop("object_bkh"), allowMissingColumns=True)
+        .unionByName(own, allowMissingColumns=True)
     )
-    houses = of_chosen(addresses).groupBy("object_bkh").agg(sorted_set("house_num").alias("houses"))
-    return (
-        chosen.join(per_object, "object_bkh")
-        .join(houses, "object_bkh", "left")
-        .groupBy(F.col("src_object_id").alias("oks_xml_id"), F.col("object_id").alias("oks_id"))
-        .agg(
-            union_sets("nums").alias("nums"),
-            concat_distinct("title_name").alias("title"),
-            *measures,
-            concat_distinct("full_address_txt").alias("full_address"),
-            union_sets("houses").alias("houses"),
-        )
-        .select(
-            "oks_xml_id", "oks_id", join_sorted(F.col("nums")).alias("cadastral_num"), "title", "summary_area",
-            "living_area", "floor_max", "floor_min", "full_address", join_sorted(F.col("houses")).alias("house_num"),
-        )
+    rolled = values_by_kind(pairs, ["oks_xml_id", "oks_id"], ["num", "title", "address", "house"], measures)
+    return rolled.select(
+        "oks_xml_id", "oks_id", F.col("num").alias("cadastral_num"), "title", "summary_area", "living_area", "floor_max", "floor_min",
+        F.col("address").alias("full_address"), F.col("house").alias("house_num"),
     )
 
 
+def values_by_kind(pairs: DataFrame, group: list[str], kinds: list[str], measures: list[Column] = []) -> DataFrame:  # noqa: B006
+    """Per group the distinct non-NULL values of each kind as a sorted text, and the measures.
+
+    Pairs (group, kind, value) are made distinct first, in the tasks that read them and again after the shuffle, so that a value is
+    collected once, however many branches and rows have it."""
+    once = pairs.groupBy(*group, "kind", "value").agg(*(measures or [F.lit(1).alias("_one")]))
+    texts = [join_sorted(F.collect_list(F.when(F.col("kind") == k, F.col("value").cast("string")))).alias(k) for k in kinds]
+    return once.groupBy(*group).agg(*texts, *measures)
+
+
 def document_rollup(
     files: DataFrame,
     file_types: DataFrame,
@@ -117,20 +124,22 @@ def document_rollup(
         about.select("src_object_id"), "src_object_id", "left_semi"
     )
     subject_lands = lands.join(subject_objects.select("object_bkh"), "object_bkh", "left_semi")
-    land_sets = _declared(subject_lands, prepared).groupBy("object_bkh").agg(sorted_set("cadastral_num").alias("nums"))
-    object_lands = subject_objects.join(land_sets, "object_bkh").groupBy("src_object_id").agg(union_sets("nums").alias("nums"))
-    subjects = (
-        about.join(object_lands, "src_object_id")
-        .groupBy("document_bkh")
-        .agg(
-            union_sets("nums").alias("nums"),
-            sorted_set(F.col("src_object_id").cast("string").substr(1, 255)).alias("ids"),
-        )
-    )
+    object_lands = subject_objects.join(_declared(subject_lands, prepared).select("object_bkh", "cadastral_num").distinct(), "object_bkh")
+    object_lands = object_lands.select("src_object_id", "cadastral_num").distinct()
+    subjects = about.join(object_lands, "src_object_id").select(
+        "document_bkh",
+        F.explode(
+            F.array(
+                F.struct(F.lit("num").alias("kind"), F.col("cadastral_num").alias("value")),
+                F.struct(F.lit("id").alias("kind"), F.col("src_object_id").cast("string").substr(1, 255).alias("value")),
+            )
+        ).alias("pair"),
+    ).select("document_bkh", "pair.*").distinct()
     file_type_bkh = file_types.filter(F.col("file_type_code") == file_type).select(F.col("bkh").alias("file_type_bkh"))
     typed_files = files.join(file_type_bkh, "file_type_bkh", "left_semi").withColumnRenamed("bkh", "file_bkh")
-    described = chosen.join(subjects, "document_bkh")
-    return (
+    described = chosen.join(subjects.select("document_bkh"), "document_bkh", "left_semi")
+    # Files know which documents (versions) they are of; the values of such documents are collected once and attached to the files last.
+    listed = (
         doc_files.select("document_bkh", "file_bkh")
         .join(typed_files, "file_bkh")
         .join(described, "document_bkh")
@@ -138,10 +147,11 @@ def document_rollup(
             "document_id", "document_num", F.col("document_issue_date").alias("document_date"), "file_id",
             F.col("file_original_name").alias("file_name"), F.col("file_url_txt").alias("file_link"),
         )
-        .agg(union_sets("nums").alias("nums"), union_sets("ids").alias("ids"))
-        .select(
-            "document_id", join_sorted(F.col("nums")).alias("cadastral_num"),
-            join_sorted(F.col("ids")).alias("oks_xml_id"), "document_num", "document_date", "file_id", "file_name",
-            "file_link",
-        )
+        .agg(sorted_set("document_bkh").alias("versions"))
+    )
+    versions = listed.select("versions").distinct().withColumn("document_bkh", F.explode("versions"))
+    values = values_by_kind(versions.join(subjects, "document_bkh"), ["versions"], ["num", "id"])
+    return hot_join(listed, values, ["versions"]).select(
+        "document_id", F.col("num").alias("cadastral_num"), F.col("id").alias("oks_xml_id"), "document_num", "document_date", "file_id",
+        "file_name", "file_link",
     )
