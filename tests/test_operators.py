@@ -256,13 +256,17 @@ def test_ties_are_spread(spark):
         plain = df.withColumn("_r", F.rank().over(w)).filter("_r = 1").drop("_r")
         assert rows(top_rank(df, keys, order), "id") == rows(plain, "id")
     equal = spark.range(5000).select(F.lit(1).alias("k"), F.lit(2).alias("v"), "id").repartition(7)
-    small = "spark.sql.adaptive.coalescePartitions.enabled"
-    spark.conf.set(small, "false")  # else these few rows are put together again
+    # As with millions of ties: rows are neither put together again nor sent to the few winners.
+    few = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {c: spark.conf.get(c) for c in few}
     try:
+        for c, v in few.items():
+            spark.conf.set(c, v)
         spread = top_rank(equal, ["k"], [desc("v")])
         sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     finally:
-        spark.conf.set(small, "true")
+        for c, v in old.items():
+            spark.conf.set(c, v)
     assert sum(sizes) == 5000 and len(sizes) > 3
 
 
