@@ -6,11 +6,13 @@ import math
 import re
 import string
 import sys
+import time
 import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,6 +205,66 @@ def test_articles_are_evidence(page, text):
     assert html_extraction.main_text(page) == text
 
 
+BODY = " ".join(f"body{i}" for i in range(90))
+
+
+@pytest.mark.parametrize("page,text", [
+    (f'<div class="content-with-sidebar"><article>{BODY}</article></div>', BODY),
+    (f'<div class="page sidebar-right"><article>{BODY}</article><div class=sidebar>{"side " * 30}</div></div>', BODY),
+    (f'<div class="search-results-page"><p>{BODY}</p></div><footer>f</footer>', BODY),
+    (f'<div class="post comments-open"><article><h1>Title</h1>{BODY}</article></div>', f"Title {BODY}"),
+    (f'<form id=all><nav>n</nav><div>{BODY}</div><button>send</button></form>', BODY),
+    (f'<div style="overflow:hidden">{BODY}</div><div style="display: none">{BODY}</div><p hidden>{BODY}', BODY),
+    (f'<div><p>{BODY}</p></div><div class=comments><article>{"said " * 400}</article></div>', BODY),
+    (f'<article></article><div class=ad>{"buy " * 90}</div>', ""),
+    ("<div><p>short one</p><p>two</p></div><footer>f</footer>", "short one two"),
+    (f"<div><p>in short</p><div class=ad>ad</div><p>{BODY}</p><div class=ad>ad</div><p>the end</p></div><div>f</div>", f"in short {BODY} the end"),
+    (f"<i><div>{BODY}</i> on</div>", f"{BODY} on"),
+    ("<p title='a>b' x=\">\">in</p><a title=don't>quoted</a>", "in quoted"),
+    ("<p>&#" + "1" * 5000 + "; &#" + "0" * 5000 + "65; &#x" + "0" * 5000 + "42;", "\ufffd A B"),
+])
+def test_marks_are_evidence(page, text):
+    assert html_extraction.main_text(page) == text
+
+
+def test_text_without_article_tags():
+    """Lengths alone find what the tags tell: pages whose <article> is made a <div> give the same text."""
+    pages = [x or "" for x in pq.read_table(f"{SF}/pages.parquet").column("html").to_pylist()]
+    same = [html_extraction.main_text(re.sub(r"(</?)article\b", r"\1div", x)) == html_extraction.main_text(x) for x in pages]
+    assert sum(same) >= 0.95 * len(pages)
+
+
+def plain_runs(size: list[int], window: int, surge: int) -> list[bool]:
+    sums = [sum(size[i : i + window]) for i in range(len(size))]
+    out = [False] * len(size)
+    for i in range(len(size)):
+        a = b = i
+        while sums[i] and a and sums[a - 1]:
+            a -= 1
+        while sums[i] and b + 1 < len(size) and sums[b + 1]:
+            b += 1
+        out[i] = bool(sums[i]) and max(sums[a : b + 1]) >= min(surge, max(sums))
+    return out
+
+
+def test_surge_and_dive_against_plain_sums():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        size = rng.choice([0, 0, 0, 1, 9, 30, 80], int(rng.integers(0, 30)))
+        window, surge = int(rng.integers(1, 5)), int(rng.integers(1, 90))
+        assert html_extraction._surging(size.astype(np.int64), window, surge).tolist() == plain_runs(size.tolist(), window, surge)
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 300_000, "<a " * 300_000 + ">", "<b>" * 150_000 + "</i>" * 150_000, "<" + "a" * 1_000_000, "<a x=\">\" " * 100_000,
+    "<i><div>" + "<b>" * 120_000 + "</i>" * 120_000, "<div class=ad>x" * 60_000, "<!--" * 200_000, "&#" * 400_000,
+], ids=range(9))
+def test_odd_markup_takes_linear_time(page):
+    begun = time.process_time()
+    html_extraction.main_text(page)
+    assert time.process_time() - begun < 10  # some 2 seconds; squared, many minutes
+
+
 def test_extract_odd_pages(spark):
     rows = [(1, None, None), (None, "u", "<article>a</article>"), (2, "u", "<article>" + "x " * 50_000 + "</article>"), (2, "u", "")]
     got = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
