@@ -43,7 +43,11 @@ _RECORD = (
 
 
 class ArcError(ValueError):
-    """An ARC member whose header lines or lengths do not fit."""
+    """An ARC member whose header lines or lengths do not fit, from this offset on."""
+
+    def __init__(self, message: str, offset: int):
+        super().__init__(f"{message} at {offset}")
+        self.offset = offset
 
 
 def arc_header(version: int, url: str, ip: str, date: str, kind: str, length: int, offset: int = 0, name: str = "-") -> bytes:
@@ -72,23 +76,30 @@ def read_arc(data: bytes) -> Iterator[dict]:
             continue
         end = data.find(b"\n", at)
         if end < 0:
-            raise ArcError(f"header line without end at {at}")
-        parts = data[at:end].decode("utf-8").split(" ")
+            raise ArcError("header line without end", at)
+        parts = data[at:end].decode("utf-8", "surrogateescape").split(" ")
         if names is None:
             if not parts[0].startswith("filedesc://"):
-                raise ArcError("no version block")
+                raise ArcError("no version block", at)
         elif len(parts) != len(names):
-            raise ArcError(f"{len(parts)} fields at {at}, version {version} has {len(names)}")
-        if not parts[-1].isdigit() or end + 1 + int(parts[-1]) > len(data):
-            raise ArcError(f"declared length {parts[-1]} at {at} does not fit")
+            raise ArcError(f"{len(parts)} fields, version {version} has {len(names)},", at)
+        if not re.fullmatch("[0-9]{1,18}", parts[-1]) or end + 1 + int(parts[-1]) > len(data):
+            raise ArcError("declared length does not fit", at)
         body = data[end + 1 : end + 1 + int(parts[-1])]
         if names is None:
-            first, fields, *_ = body.decode("utf-8").split("\n")
-            version, names = int(first.split(" ")[0]), tuple(fields.split(" "))
-            if ARC_FIELDS.get(version) != names:
-                raise ArcError(f"unknown version {first!r}")
+            first, fields, *_ = [*body.decode("utf-8", "surrogateescape").split("\n"), ""]
+            version = {str(v): v for v in ARC_FIELDS}.get(first.split(" ")[0])
+            names = tuple(fields.split(" "))
+            if version is None or ARC_FIELDS[version] != names:
+                raise ArcError("unknown version", at)
         else:
-            yield dict(zip(names, parts)) | {"offset": at, "version": version, "content": body}
+            fields = dict(zip(names, parts))
+            try:
+                date = warc_date(fields["Archive-date"])
+                parts[0].encode("utf-8")
+            except ValueError:
+                raise ArcError("no date or address", at) from None
+            yield fields | {"offset": at, "version": version, "content": body, "date": date}
         at = end + 1 + int(parts[-1])
 
 
@@ -167,18 +178,22 @@ def write_arc(pages: DataFrame, key_col: str = "page_id", url_col: str = "url",
     return pages.select(*(text_or_empty(c).alias(n) for n, c in text.items())).mapInPandas(members, _ARCHIVE)
 
 
-def arc_records(archives: DataFrame) -> DataFrame:
-    """The records of ARC members with what their WARC forms need: identifier, date, type, digest and block."""
+def arc_records(archives: DataFrame, strict: bool = True) -> DataFrame:
+    """The records of ARC members with what their WARC forms need: identifier, date, type, digest and block.
+
+    A malformed member ends the job with an `ArcError`. With `strict` off its records up to the malformed one come out, and
+    `arc_errors` tells where each such member breaks off.
+    """
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part, member, data in zip(batch["part"], batch["member"], batch["data"]):
                 rows, size = [], 0
-                for r in read_arc(bytes(data)):
+                for r in read_arc(bytes(data)) if strict else _readable(bytes(data)):
                     payload = payload_of(r["content"])
                     key = re.search(rb"\r\nX-Record-Key: ([^\r]*)\r\n", r["content"][:4096])
                     rows.append((
-                        part, member, r["offset"], r["URL"], warc_date(r["Archive-date"]), r["IP-address"],
+                        part, member, r["offset"], r["URL"], r["date"], r["IP-address"],
                         key[1].decode() if key else None, len(payload), hashlib.sha256(payload).hexdigest(),
                         record_id(str(part), str(member), str(r["offset"]), r["URL"]), r["content"],
                         "application/http; msgtype=response" if r["content"].startswith(b"HTTP/") else r["Content-type"],
@@ -193,14 +208,39 @@ def arc_records(archives: DataFrame) -> DataFrame:
     return archives.select("part", "member", "data").mapInPandas(parsed, _RECORD)
 
 
+def _readable(data: bytes) -> Iterator[dict]:
+    try:
+        yield from read_arc(data)
+    except ArcError:
+        return
+
+
+def arc_errors(archives: DataFrame) -> DataFrame:
+    """part, member, offset, n_records and error of each malformed ARC member: where it breaks off and how many records stand before."""
+    schema = "part int, member int, offset long, n_records long, error string"
+
+    def broken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part, member, data in zip(batch["part"], batch["member"], batch["data"]):
+                n = 0
+                try:
+                    for _ in read_arc(bytes(data)):
+                        n += 1
+                except ArcError as e:
+                    yield pd.DataFrame([(part, member, e.offset, n, str(e))], columns=_names(schema))
+
+    return archives.select("part", "member", "data").mapInPandas(broken, schema)
+
+
 def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
 def originals(records: DataFrame, order: list[str]) -> DataFrame:
-    """Per payload that repeats and is long enough: its first record in `order`, with identifier, address and date."""
+    """Per payload that repeats and is long enough: its first record in `order` (nulls last), with identifier, address and date."""
     long = records.filter(F.col("payload_bytes") >= MIN_REVISIT_BYTES)
-    first = F.min(F.struct(*order, "part", "member", "offset", "record_id", "uri", "date", "record_key"))
+    known = [x for i, c in enumerate(order) for x in (F.isnull(c).alias(f"unknown_{i}"), F.col(c).alias(f"order_{i}"))]
+    first = F.min(F.struct(*known, "part", "member", "offset", "record_id", "uri", "date", "record_key"))
     found = long.groupBy("payload_digest", "payload_bytes").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"))
     return found.filter("copies > 1")
 
@@ -252,14 +292,14 @@ def write_warc(records: DataFrame, first: DataFrame) -> DataFrame:
     return joined.mapInPandas(members, _ARCHIVE)
 
 
-def convert(arc: DataFrame, order: list[str]) -> DataFrame:
+def convert(arc: DataFrame, order: list[str], strict: bool = True) -> DataFrame:
     """ARC members (a table that can be read again) as a table of WARC members, `order` being record columns.
 
     Of payloads of at least `MIN_REVISIT_BYTES` bytes that are equal by digest and length, the record that comes first in
-    `order` is stored in full; ties go by place in the archives. A payload that many records share costs one row per
-    task in the search for it.
+    `order` (nulls last) is stored in full; ties go by place in the archives. A payload that many records share costs one row per
+    task in the search for it. Malformed members are treated as `arc_records` says.
     """
-    return write_warc(arc_records(arc), originals(arc_records(arc).drop("block"), order))
+    return write_warc(arc_records(arc, strict), originals(arc_records(arc, strict).drop("block"), order))
 
 
 def read_records(archives: DataFrame) -> DataFrame:
@@ -294,7 +334,12 @@ def read_records(archives: DataFrame) -> DataFrame:
 
 
 def op8_arc_to_warc(spark, sf_dir: str) -> DataFrame:
-    """All pages as ARC members, those as WARC members, and the records read back from these."""
+    """All pages as ARC members, those as WARC members, and the records read back from these.
+
+    A null html is an empty payload. Of equal payloads that with the smallest page_id is the response; a null id comes after all
+    others, and where all ids are null the one that was read first is it, and `refers_to` is null. An empty table gives no rows; columns
+    other than page_id, url and html are not looked at.
+    """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     arc = written(write_arc(pages))
     warc = written(convert_pages(arc))
