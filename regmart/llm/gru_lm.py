@@ -368,25 +368,27 @@ class Gru:
         lengths = np.array([sizes[d].sum() for d in dealt])
         by = np.argsort(-lengths, kind="stable")
         longest = int(lengths.max())
-        grid = np.full((lanes, longest), _END, np.int32)
-        for row, i in enumerate(by):
-            grid[row, : lengths[i]] = np.concatenate([symbols[starts[d] : starts[d] + sizes[d]] for d in dealt[i]])
-        logs = np.zeros((lanes, longest), np.float32)
+        # The lanes' symbols one lane after the other: a long document beside short ones fills nothing up.
+        flat = np.concatenate([symbols[starts[d] : starts[d] + sizes[d]] for i in by for d in dealt[i]])
+        lengths = lengths[by]
+        begins = np.cumsum(lengths) - lengths
+        logs = np.empty(len(flat), np.float32)
         state = np.zeros((HIDDEN, lanes), np.float32)
-        before = np.full((lanes, 1), _END, np.int32)
-        falling = -lengths[by]
+        before = np.full((1, lanes), _END, np.int32)
         for a in range(0, longest, window):
-            active = int(np.searchsorted(falling, -a, "left"))  # lanes that are longer than a
-            wanted = grid[:active, a : a + window]
-            x = np.ascontiguousarray(np.concatenate([before[:active], wanted[:, :-1]], axis=1).T)
+            active = int(np.searchsorted(-lengths, -a, "left"))  # lanes that are longer than a
+            steps = np.arange(a, min(a + window, longest))[:, None]
+            real = steps < lengths[:active]
+            places = np.where(real, begins[:active] + steps, 0)
+            wanted = np.where(real, flat[places], _END)
+            x = np.concatenate([before[:, :active], wanted[:-1]])
             out, state = self.run(x, (x != _END).astype(np.float32), state[:, :active])
-            y = np.ascontiguousarray(wanted.T)
-            got, _ = self.targets(out.reshape(HIDDEN, -1), y.ravel())
-            logs[:active, a : a + window] = got.reshape(y.shape).T
-            before = wanted[:, -1:]
+            got, _ = self.targets(out.reshape(HIDDEN, -1), wanted.ravel())
+            logs[places[real]] = got.reshape(wanted.shape)[real]
+            before = wanted[-1:]
         result = np.empty(len(sizes))
-        for row, i in enumerate(by):
-            own = logs[row, : lengths[i]].astype(np.float64)
+        for i, a, n in zip(by, begins, lengths):
+            own = logs[a : a + n].astype(np.float64)
             result[dealt[i]] = np.add.reduceat(own, np.cumsum(sizes[dealt[i]]) - sizes[dealt[i]])
         return result
 
@@ -411,22 +413,26 @@ def stream_of(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
 
 
 def train(texts: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
-    """Parameters learned from all of `texts`.
+    """Parameters learned from all of `texts` (mark, a hash of the row, and text).
 
-    A start is learned from a sample of about `START_TOKENS` tokens. From it every partition goes on over all of its own
+    A start is learned from a sample of about `START_TOKENS` tokens, drawn by `mark`, and at most twice as many, should long texts be
+    drawn. From it every partition goes on over all of its own
     documents, and the results are averaged by the numbers of their tokens; the averages are taken by Spark, number by number.
     """
     known = vocab.sent(texts.sparkSession)
     first = Gru.start(vocab).p
 
-    def learner(params: dict[str, np.ndarray], passes: int):
+    def learner(params: dict[str, np.ndarray], passes: int, most: int | None = None):
         def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gru, squares, tokens = model(params), None, 0
             for chunk in chunks(batches, CHUNK_CHARS):
                 symbols, *_ = stream_of(chunk.column(0), Vocabulary(*known.value))
+                symbols = symbols if most is None else symbols[: most - tokens]
                 for _ in range(passes):
                     squares = gru.train(symbols, squares=squares)
                 tokens += len(symbols)
+                if tokens == most:
+                    break
             if tokens:
                 flat = np.concatenate([gru.p[k].ravel() for k in Gru.NAMES]).astype(np.float64)
                 yield pa.RecordBatch.from_pydict({
@@ -445,10 +451,9 @@ def train(texts: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
 
     schema = "place int, x double, n long"
     share = min(1.0, START_TOKENS / max(1, vocab.tokens))
-    mark = F.xxhash64("text")
-    some = texts.filter(F.pmod(mark, F.lit(1 << 30)) < int(share * (1 << 30))).repartition(1).sortWithinPartitions(mark)
-    first = averaged(some.mapInArrow(learner(first, START_PASSES), schema))
-    return averaged(texts.mapInArrow(learner(first, 1), schema))
+    some = texts.filter(F.pmod("mark", F.lit(1 << 30)) < int(share * (1 << 30))).repartition(1).sortWithinPartitions("mark")
+    first = averaged(some.select("text").mapInArrow(learner(first, START_PASSES, 2 * START_TOKENS), schema))
+    return averaged(texts.select("text").mapInArrow(learner(first, 1), schema))
 
 
 def score(docs: DataFrame, vocab: Vocabulary, params: dict[str, np.ndarray], counts: DataFrame, folds: int = FOLDS) -> DataFrame:
@@ -499,9 +504,13 @@ def score(docs: DataFrame, vocab: Vocabulary, params: dict[str, np.ndarray], cou
 
 
 def fit_and_score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """Learn from the texts whose id's crc32 is not divisible by `folds` and score all. An empty table gives no rows."""
-    texts = docs.filter(fold("doc_id", folds) != 0).select(text_or_empty().alias("text"))
-    counts = written(word_counts(texts))
+    """Learn from the texts whose id's crc32 is not divisible by `folds` and score all. An empty table gives no rows.
+
+    A null text counts as empty, a null id as an empty text in the hash. Repeated rows are learned from and come out as often as they
+    are there. Copies of a text under different ids are drawn for the start one by one.
+    """
+    texts = docs.filter(fold("doc_id", folds) != 0).select(F.xxhash64("doc_id", text_or_empty()).alias("mark"), text_or_empty().alias("text"))
+    counts = written(word_counts(texts.select("text")))
     vocab = vocabulary(counts)
     return score(docs, vocab, train(texts, vocab), counts, folds)
 
