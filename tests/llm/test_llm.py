@@ -7,6 +7,7 @@ import re
 import string
 import sys
 import time
+import tracemalloc
 import unicodedata
 import zlib
 
@@ -220,7 +221,7 @@ BODY = " ".join(f"body{i}" for i in range(90))
     ("<div><p>short one</p><p>two</p></div><footer>f</footer>", "short one two"),
     (f"<div><p>in short</p><div class=ad>ad</div><p>{BODY}</p><div class=ad>ad</div><p>the end</p></div><div>f</div>", f"in short {BODY} the end"),
     (f"<i><div>{BODY}</i> on</div>", f"{BODY} on"),
-    ("<p title='a>b' x=\">\">in</p><a title=don't>quoted</a>", "in quoted"),
+    ("<p title='a>b' x=\">\">in</p><b title=don't>quoted</b>", "in quoted"),
     ("<p>&#" + "1" * 5000 + "; &#" + "0" * 5000 + "65; &#x" + "0" * 5000 + "42;", "\ufffd A B"),
 ])
 def test_marks_are_evidence(page, text):
@@ -303,6 +304,34 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(data), hashlib.sha256(data).hexdigest())
 
 
+def test_archives_of_null_ids_clashing_names_and_no_rows(spark, tmp_path):
+    long, lone = "p" * 200, "q" * 200
+    rows = [(None, None, long, 1, "r"), (5, "u", long, 2, "r"), (9, "u", long, 3, None), (None, "u", lone, 4, "r"), (None, "v", lone, 5, "r"), (None, None, None, 6, "r")]
+    schema = "page_id long, url string, html string, part int, record_type string"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "odd/pages.parquet"))
+    got = collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.op8_arc_to_warc(spark, str(tmp_path / "odd")).collect())
+    assert got == collections.Counter([
+        (5, 200, "response", None), (9, 200, "revisit", 5), (None, 200, "revisit", 5), (None, 200, "response", None), (None, 200, "revisit", None),
+        (None, 0, "response", None),
+    ])
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none/pages.parquet"))
+    assert warc.op8_arc_to_warc(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_malformed_members(spark):
+    body, date = b"HTTP/1.1 200 OK\r\n\r\nx", "20240101"
+    good = warc.version_block(1, "n", date) + 2 * (warc.arc_header(1, "http://a", "1.2.3.4", date, "text/html", len(body)) + body + b"\n")
+    bad = [b"no end", b"http://a 1.2.3.4 2024 text/html x\n", b"http://a 1.2.3.4 2024 text/html 99\nshort", b"http://a 1 2 3 4 5 6\n", b"http://\xff 1.2.3.4 2024 t 0\n", b"http://a 1.2.3.4 soon t 0\n"]
+    members = [good, *(good + x for x in bad), b"", b"junk\n", b"filedesc://n 0.0.0.0 2024 text/plain 3\n9 x\n"]
+    arc = spark.createDataFrame([(0, i, bytearray(x)) for i, x in enumerate(members)], "part int, member int, data binary")
+    assert {r.member: r["count"] for r in warc.arc_records(arc, strict=False).groupBy("member").count().collect()} == dict.fromkeys(range(7), 2)
+    broken = {r.member: (r.offset, r.n_records) for r in warc.arc_errors(arc).collect()}
+    assert broken == {i: (len(good), 2) for i in range(1, 7)} | {8: (0, 0), 9: (0, 0)}
+    assert warc.read_records(warc.convert(arc, ["uri"], strict=False)).count() == 14
+    with pytest.raises(Exception, match="ArcError"):
+        warc.arc_records(arc).count()
+
+
 # ---- 9
 
 
@@ -623,6 +652,44 @@ def test_language_model(spark, odd, empty):
     assert gru_lm.fit_and_score(empty).count() == 0
 
 
+def some_model():
+    head = pa.array(["\n"] + [f"w{i}" for i in range(1, 2000)], pa.large_string())
+    vocab = gru_lm.Vocabulary(head, (1e6 / np.arange(1, 2001)).astype(int), 10**6, 2000, np.full(gru_lm.RARE, 100.0), np.full(gru_lm.RARE, 10.0))
+    return gru_lm.Gru.start(vocab)
+
+
+def one_by_one(gru, symbols):
+    """The log-probability of one document, a symbol at a time."""
+    state, before, total = np.zeros((gru_lm.HIDDEN, 1), np.float32), 0, 0.0
+    for s in symbols.tolist():
+        out, state = gru.run(np.array([[before]]), np.array([[float(before != 0)]], np.float32), state)
+        total += float(gru.targets(out.reshape(gru_lm.HIDDEN, 1), np.array([s]))[0][0])
+        before = s
+    return total
+
+
+def test_long_documents_beside_short_ones():
+    rng, gru = np.random.default_rng(4), some_model()
+    sizes = np.array([1, 20_000, 7, 1, 33, 64, 2, 500, 32] + [5] * 300)
+    symbols = rng.integers(1, 1077, sizes.sum()).astype(np.int32)
+    symbols[np.cumsum(sizes) - 1] = 0
+    got = gru.document_logs(symbols, sizes)
+    ends = np.cumsum(sizes)
+    for i in (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 308):
+        assert got[i] == pytest.approx(one_by_one(gru, symbols[ends[i] - sizes[i] : ends[i]]), rel=1e-4)
+
+
+def test_a_long_document_is_not_filled_up():
+    rng, gru = np.random.default_rng(4), some_model()
+    sizes = np.array([60_000] + [3] * 300)
+    symbols = rng.integers(1, 1077, sizes.sum()).astype(np.int32)
+    tracemalloc.start()
+    gru.document_logs(symbols, sizes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20  # one grid of 256 lanes would be 60 MB, two of them 120
+
+
 # ---- pipeline
 
 
