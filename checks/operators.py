@@ -25,6 +25,7 @@ from regmart.operators import (
     enrich,
     filter_keys,
     hot_join,
+    key_filter,
     key_profile,
     latest_version,
     optional_key_lookup,
@@ -60,6 +61,14 @@ def _filter_keys(spark, sf_dir):
     return filter_keys(read(spark, sf_dir, "lineitem"), "l_partkey", keys)
 
 
+def _filter_long_keys(spark, sf_dir):
+    """As if the keys were too long to be sent: by bitmap and shuffled join. Orders with a key of two columns, of which some are NULL."""
+    orders = read(spark, sf_dir, "orders")
+    keys = orders.filter("o_totalprice > 250000").select("o_orderkey", F.when(F.col("o_orderkey") % 5 > 0, F.col("o_custkey")))
+    lines = read(spark, sf_dir, "lineitem").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return key_filter(["l_orderkey", "o_custkey"], keys, broadcast_bytes=0)(lines.drop("o_orderkey"))
+
+
 def _active_only(spark, sf_dir):
     value = F.col("value")
     flagged = read(spark, sf_dir, "events").withColumn("deleted_flag", F.when(value > 2, value > 100))
@@ -222,6 +231,7 @@ QUERIES = {
     "row_count": _row_count,
     "latest_version": _latest_version,
     "filter_keys": _filter_keys,
+    "filter_long_keys": _filter_long_keys,
     "active_only": _active_only,
     "concat_distinct": _concat_distinct,
     "array_agg_nulls": _array_agg_nulls,
@@ -254,6 +264,9 @@ ORACLE = {
         SELECT * FROM windowed w
         WHERE o_orderdate = (SELECT max(o_orderdate) FROM windowed x WHERE x.o_custkey = w.o_custkey)
     """,
+    "filter_long_keys": """
+        SELECT l.*, o_custkey FROM lineitem l JOIN orders o ON l_orderkey = o_orderkey
+        WHERE o_totalprice > 250000 AND o_orderkey % 5 > 0""",
     "filter_keys": "SELECT * FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_type = 'ECONOMY')",
     "active_only": """
         SELECT *, false AS deleted_flag FROM events WHERE value > 2 AND value <= 100

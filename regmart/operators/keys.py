@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bitmaps import thinned
 from .skew import ROWS_PER_TASK, hot_join
 
 # Keys of up to so many bytes, measured beforehand, are broadcast; a value counts 16 bytes besides its text.
@@ -31,11 +32,13 @@ def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     return (df.agg(F.sum(sum(texts[1:], texts[0]))).first()[0] or 0) <= max_bytes
 
 
-def key_filter(cols: Sequence[str], keys: DataFrame | Iterable) -> Callable[[DataFrame], DataFrame]:
+def key_filter(
+    cols: Sequence[str], keys: DataFrame | Iterable, broadcast_bytes: int = BROADCAST_BYTES
+) -> Callable[[DataFrame], DataFrame]:
     """A function keeping the rows whose `cols` are among `keys`, to be applied to one or more DataFrames.
 
-    A list, or a DataFrame measured to be short, is broadcast, and the filtered rows are not shuffled. Longer keys are joined
-    with the rows of frequent keys spread.
+    A list, or a DataFrame measured to hold at most `broadcast_bytes`, is broadcast, and the filtered rows are not shuffled. For longer
+    keys a bitmap of them thins the rows where they are read; the few that remain are joined exactly, with those of frequent keys spread.
     """
     cols = list(cols)
     if not isinstance(keys, DataFrame):
@@ -44,13 +47,14 @@ def key_filter(cols: Sequence[str], keys: DataFrame | Iterable) -> Callable[[Dat
     if len(keys.columns) != len(cols):
         raise ValueError(f"keys must have {len(cols)} column(s)")
     distinct = keys.toDF(*cols).distinct()
-    short = fits_broadcast(distinct)
+    short = fits_broadcast(distinct, broadcast_bytes)
 
     def apply(df: DataFrame) -> DataFrame:
         typed = _with_types_of(df, cols, distinct)
         if short:
             return df.join(F.broadcast(typed), cols, "left_semi")
-        return hot_join(df, typed, cols, "many_semi")
+        # Keys are distinct, so this is the semi-join, which Spark would push below the bitmap's join.
+        return hot_join(thinned(df, cols, typed), typed, cols, "inner")
 
     return apply
 

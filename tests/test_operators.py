@@ -31,6 +31,7 @@ from regmart.operators import (
     enrich,
     filter_key_tuples,
     filter_keys,
+    key_filter,
     key_profile,
     latest_version,
     optional_key_lookup,
@@ -42,6 +43,7 @@ from regmart.operators import (
     with_neighbours,
 )
 
+from regmart.operators.bitmaps import thinned
 from regmart.operators.ordering import sort_columns
 from regmart.operators.ranges import with_range
 
@@ -322,3 +324,26 @@ def test_days(spark):
 def test_outcomes(spark):
     got = values(spark, [("ok",), ("fine",), ("bad",), ("?",), (None,)], "r string", outcome_flag("r", ["ok", "fine"], ["bad"]))
     assert [r[0] for r in got] == [True, True, False, None, None]
+
+
+def test_thinned_keeps_all_matches_and_few_others(spark):
+    n = F.col("id")
+    df = spark.range(0, 400_000, 1, 8).select((n % 200_000).alias("a"), F.concat(F.lit("k"), n % 7).alias("b"), n)
+    df = df.withColumn("b", F.when(n % 11 > 0, F.col("b")))
+    keys = df.filter("a % 40 = 3 AND b IS NOT NULL").select("a", "b").distinct()
+    found = thinned(df, ["a", "b"], keys, rows=64)
+    matches = df.join(keys, ["a", "b"], "left_semi")
+    assert found.columns == df.columns and found.exceptAll(df).isEmpty() and matches.exceptAll(found.select(*matches.columns)).isEmpty()
+    assert found.count() <= 1.05 * matches.count()
+    assert thinned(df, ["a", "b"], keys.limit(0)).isEmpty()
+    assert thinned(df, ["a", "b"], keys, rows=1).count() >= matches.count()  # too small a bitmap lets more through, loses none
+
+
+def test_long_keys_are_shuffled_after_thinning(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    df = spark.range(0, 100_000, 1, 8).select("id", (F.col("id") * 2).alias("x"))
+    plan = key_filter(["id"], spark.range(0, 100_000, 20), broadcast_bytes=0)(df)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    big = plan[plan.rindex("BroadcastHashJoin") :]
+    assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+    assert "bitmap_construct_agg" in big and "getbit" in big and "hashpartitioning(id" in plan[: -len(big)]
