@@ -9,7 +9,7 @@ from .dedup import distinct_on, latest_version, newest_versions, top_rank
 from .joins import Dim, checked_broadcast, enrich, require_unique, role_pairs
 from .keys import active_only, filter_key_tuples, filter_keys, key_filter, key_frame, optional_key_lookup
 from .ordering import By, desc
-from .skew import KeyProfile, hot_join, hot_keys, key_profile
+from .skew import KeyProfile, hot_join, hot_keys, key_profile, repeated
 from .snapshots import Period, in_any_period, period_snapshots
 
 
@@ -42,6 +42,7 @@ __all__ = [
     "newest_versions",
     "optional_key_lookup",
     "period_snapshots",
+    "repeated",
     "require_unique",
     "role_pairs",
     "row_count",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bitmaps import thinned
-from .skew import ROWS_PER_TASK, hot_join
+from .skew import ROWS_PER_TASK, hot_join, repeated
 
 # Keys of up to so many bytes, measured beforehand, are broadcast; a value counts 16 bytes besides its text.
 BROADCAST_BYTES = 64 << 20
@@ -101,7 +101,8 @@ def optional_key_lookup(
 
     A request looks its rows up by the rarest of the values it gives, as counted in `rows`; its other values are tested on what is found.
     So a row is offered once per column that some request looks up by, and meets the requests for its value there. Values that
-    many rows have are spread over tasks. Requests that give no value are all alike: each row is repeated as often as there are such
+    many rows have are spread over tasks. Equal requests are looked up once and what they find is repeated last, dealt out to tasks by the
+    number of rows that come out. Requests that give no value are all alike: each row is repeated as often as there are such
     requests, without a join. One job counts the values that requests give and tells the frequent ones.
     """
     cols, names = list(cols), [f"request_{c}" for c in cols]
@@ -114,6 +115,7 @@ def optional_key_lookup(
         for r in chosen.groupBy("_by")
         .agg(
             F.max("_times").alias("times"),
+            F.sum(F.col("_n").cast("double") * F.col("_times")).alias("rows"),
             # one value per ROWS_PER_TASK rows at most
             F.collect_set(F.when(F.col("_n") >= ROWS_PER_TASK, F.struct(F.xxhash64("_value").alias("hash"), "_n"))).alias("hot"),
         )
@@ -126,15 +128,16 @@ def optional_key_lookup(
             hot = {h["hash"]: h["_n"] // ROWS_PER_TASK + 1 for h in profile[i]["hot"]}
             others = [F.col(n).isin("", F.col(k)) for n, k in zip(names, cols) if k != c]
             met = hot_join(rows, by_value, [c], "inner", hot=hot)
-            found.append((met.filter(reduce(lambda a, b: a & b, others)) if others else met, profile[i]["times"]))
+            found.append((met.filter(reduce(lambda a, b: a & b, others)) if others else met, profile[i]["times"], profile[i]["rows"]))
     if -1 in profile:
         blank = [F.lit("").alias(n) for n in names]
-        found.append((rows.select(*blank, *rows.columns, F.lit(profile[-1]["times"]).alias("_times")), profile[-1]["times"]))
+        times = profile[-1]["times"]
+        found.append((rows.select(*blank, *rows.columns, F.lit(times).alias("_times")), times, times * rows.count() if times > 1 else 0))
     if not found:
         return rows.limit(0).select(*[F.lit("").alias(n) for n in names], *rows.columns)
     parts = [
-        (df if times == 1 else df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))).select(*names, *rows.columns)
-        for df, times in found
+        (df if times == 1 else repeated(df, "_times", int(n), ROWS_PER_TASK)).select(*names, *rows.columns)
+        for df, times, n in found
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -14,6 +14,9 @@ ROWS_PER_TASK = 1_000_000
 _SKETCH_GROUPS = 256
 _SKETCH_KEYS = 10_000
 
+# Rows to be repeated are dealt out to so many tasks at most, each of which then makes more.
+_REPEAT_TASKS = 20_000
+
 _HOWS = {"inner": "inner", "many_outer": "left", "many_semi": "left_semi", "one_outer": "left"}
 
 
@@ -127,6 +130,20 @@ def hot_join(
     return spread.join(copies, keys, _HOWS[how]).drop("_salt")
 
 
+def repeated(df: DataFrame, times: str, rows: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Each row as often as its whole number `times`, which is dropped. About `rows` rows come out, `rows_per_task` of them in a task.
+
+    A row that is repeated often is dealt out in pieces first, so that few rows in one task do not make all of the output there.
+    """
+    tasks = min(rows // rows_per_task + 1, _REPEAT_TASKS)
+    if tasks > 1:
+        piece = max(1, rows_per_task // 100)
+        n = F.col(times)
+        df = df.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.ceil(n / piece).cast("int") - 1)))
+        df = df.withColumn(times, F.least(F.lit(piece).cast("bigint"), n - F.col("_piece").cast("bigint") * piece)).drop("_piece").repartition(tasks)
+    return df.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).drop(times)
+
+
 def flag_hot(df: DataFrame, on: Sequence[str], hot: Mapping[int, int]) -> DataFrame:
     """Add `_salts`: the number of tasks for a frequent key, NULL for an ordinary one."""
     listed = df.sparkSession.createDataFrame(list(hot.items()), "_hot bigint, _salts int")

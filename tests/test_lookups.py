@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import QUERIES
-from regmart.operators import keys, optional_key_lookup
+from regmart.operators import keys, optional_key_lookup, repeated
 from regmart.plans import merged_stats, request_sketches
 from regmart.plans.requests import SKETCH_ERROR
 
@@ -77,3 +77,30 @@ def test_merged_percentiles(spark, seed):
     assert not got
     untimed = log.filter("response_time_ms is null").limit(1)
     assert [(r.requests, r.p50_ms, r.mean_ms) for r in merged_stats(request_sketches(untimed), "1 hour").collect()] == [(1, None, None)]
+
+
+def most_rows_of_a_task(df):
+    """Rows that come out of the fullest task."""
+    return max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+
+def test_equal_requests_are_repeated_over_tasks(spark, monkeypatch):
+    """Few rows in few tasks, and many requests alike: what comes out is spread."""
+    monkeypatch.setattr(keys, "ROWS_PER_TASK", 1000)
+    table = spark.createDataFrame([("x", "y", str(i), i) for i in range(20)], "a string, b string, c string, n int").coalesce(1)
+    asked = spark.range(1500).select(F.lit("x").alias("a"), F.lit("").alias("b"), F.lit("").alias("c"))
+    for requests, n in ((asked, 30_000), (asked.withColumn("a", F.lit("")), 30_000)):
+        found = optional_key_lookup(table, requests, COLS)
+        assert {r["n"]: r["count"] for r in found.groupBy("n").count().collect()} == {i: n // 20 for i in range(20)}
+        assert most_rows_of_a_task(found) < n // 10
+
+
+def test_repeated_rows(spark):
+    """Whatever the counts and however many rows are told, each row comes as often as it should."""
+    rows = [("a", 1), ("a", 1), ("b", 9), ("b", 10), ("c", 11), (None, 2500)]
+    df = spark.createDataFrame(rows, "k string, t bigint").coalesce(1)
+    expected = {"a": 2, "b": 19, "c": 11, None: 2500}
+    for told in (1, 2532, 50_000):
+        found = repeated(df, "t", told, rows_per_task=1000)
+        assert found.columns == ["k"] and {r["k"]: r["count"] for r in found.groupBy("k").count().collect()} == expected
+    assert most_rows_of_a_task(repeated(df, "t", 2532, rows_per_task=1000)) < 1200
