@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from regmart.functions.table_functions import register_table_functions
+from regmart.operators import repeated
 from regmart.plans import counterparty_check, include_list
 from regmart.plans.flags import RISK_FLAGS
 
@@ -85,15 +86,16 @@ def _include_list_table(spark, sf_dir):
 
 
 def _include_list_lateral(spark, sf_dir):
-    """The same lookups through the SQL table function, called for each row of a table."""
+    """The same lookups through the SQL table function, called for each different row of a table; what equal rows find is repeated last."""
     names = [c.split()[0] for c in SCHEMAS["include_lists"].split(", ")]
     _lists(spark, sf_dir).select(*names).createOrReplaceTempView("include_lists")
     _requests_of(spark, sf_dir).createOrReplaceTempView("include_requests")
     register_table_functions(spark, ["include_list"])
-    return spark.sql(
-        "SELECT r.inn AS request_inn, r.ogrn AS request_ogrn, r.kpp AS request_kpp, l.* "
-        "FROM include_requests r, LATERAL include_list(r.inn, r.ogrn, r.kpp) l"
+    found = spark.sql(
+        "SELECT r.inn AS request_inn, r.ogrn AS request_ogrn, r.kpp AS request_kpp, l.*, r.times "
+        "FROM (SELECT inn, ogrn, kpp, count(*) AS times FROM include_requests GROUP BY ALL) r, LATERAL include_list(r.inn, r.ogrn, r.kpp) l"
     )
+    return repeated(found, "times", found.agg(F.sum("times")).first()[0] or 0)
 
 
 QUERIES = {

@@ -104,3 +104,9 @@ def test_repeated_rows(spark):
         found = repeated(df, "t", told, rows_per_task=1000)
         assert found.columns == ["k"] and {r["k"]: r["count"] for r in found.groupBy("k").count().collect()} == expected
     assert most_rows_of_a_task(repeated(df, "t", 2532, rows_per_task=1000)) < 1200
+
+
+def test_lateral_lookups_repeat_last(spark):
+    """Requests are folded before the joins, whose keys are few."""
+    text = QUERIES["include_list_lateral"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("explode(sequence(1") < text.index("Join") and "count(1)" in text
