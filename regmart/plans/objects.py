@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 
 from ..functions import join_sorted, sorted_set
 from ..operators import filter_keys, hot_join, key_filter
+from ..session import staged
 
 # Dictionary codes. The file type code has a trailing blank.
 DOCUMENT_TYPE_CODE = "4"
 FILE_TYPE_CODE = "10 "
 
 _PAIR = ["object_bkh", "project_declaration_bkh"]
+# Land numbers of one set of documents, repeated ones counted, that are put together in one row.
+SET_VALUES = 1_000_000
 
 
 def _declared(df: DataFrame, prepared: DataFrame) -> DataFrame:
@@ -115,31 +118,28 @@ def document_rollup(
     key_objects = filter_keys(objects.select("src_object_id"), "src_object_id", keys)
     about_keys = hot_join(doc_objects, key_objects, ["src_object_id"], "many_semi").select("document_bkh").distinct()
     wanted = typed.join(about_keys, "document_bkh", "left_semi")
-    chosen = hot_join(typed, wanted, ["document_id"], "many_semi")
+    chosen = staged(hot_join(typed, wanted, ["document_id"], "many_semi"))
 
     about = filter_keys(doc_objects, "document_bkh", chosen.select("document_bkh"))
-    about = about.select("document_bkh", "src_object_id").distinct()
-    # Only objects that the documents are about, and only the lands of these, are reduced.
+    about = staged(about.select("document_bkh", "src_object_id").distinct())
+    # Only objects that the documents are about, and only the lands of these, are reduced. An object's land numbers stand in one row,
+    # however many documents are about it.
     subject_objects = objects.select(F.col("bkh").alias("object_bkh"), "src_object_id").join(
         about.select("src_object_id"), "src_object_id", "left_semi"
     )
-    subject_lands = lands.join(subject_objects.select("object_bkh"), "object_bkh", "left_semi")
-    object_lands = subject_objects.join(_declared(subject_lands, prepared).select("object_bkh", "cadastral_num").distinct(), "object_bkh")
-    object_lands = object_lands.select("src_object_id", "cadastral_num").distinct()
-    subjects = about.join(object_lands, "src_object_id").select(
-        "document_bkh",
-        F.explode(
-            F.array(
-                F.struct(F.lit("num").alias("kind"), F.col("cadastral_num").alias("value")),
-                F.struct(F.lit("id").alias("kind"), F.col("src_object_id").cast("string").substr(1, 255).alias("value")),
-            )
-        ).alias("pair"),
-    ).select("document_bkh", "pair.*").distinct()
+    object_lands = staged(
+        _declared(lands, prepared)
+        .join(subject_objects.distinct(), "object_bkh")
+        .groupBy("src_object_id")
+        .agg(F.collect_set(F.col("cadastral_num").cast("string")).alias("lands"))
+        .withColumn("n", F.size("lands").cast("bigint"))
+    )
+    subjects = about.join(object_lands, "src_object_id")
     file_type_bkh = file_types.filter(F.col("file_type_code") == file_type).select(F.col("bkh").alias("file_type_bkh"))
     typed_files = files.join(file_type_bkh, "file_type_bkh", "left_semi").withColumnRenamed("bkh", "file_bkh")
-    described = chosen.join(subjects.select("document_bkh"), "document_bkh", "left_semi")
+    described = chosen.join(about.join(object_lands.select("src_object_id"), "src_object_id"), "document_bkh", "left_semi")
     # Files know which documents (versions) they are of; the values of such documents are collected once and attached to the files last.
-    listed = (
+    listed = staged(
         doc_files.select("document_bkh", "file_bkh")
         .join(typed_files, "file_bkh")
         .join(described, "document_bkh")
@@ -150,8 +150,30 @@ def document_rollup(
         .agg(sorted_set("document_bkh").alias("versions"))
     )
     versions = listed.select("versions").distinct().withColumn("document_bkh", F.explode("versions"))
-    values = values_by_kind(versions.join(subjects, "document_bkh"), ["versions"], ["num", "id"])
+    values = land_texts(versions.join(subjects, "document_bkh"))
     return hot_join(listed, values, ["versions"]).select(
         "document_id", F.col("num").alias("cadastral_num"), F.col("id").alias("oks_xml_id"), "document_num", "document_date", "file_id",
         "file_name", "file_link",
     )
+
+
+def land_texts(subjects: DataFrame, most: int | None = None) -> DataFrame:
+    """Per `versions` the land numbers, `num`, and object ids, `id`, of its rows (src_object_id, lands, n: how many) as sorted texts.
+
+    The lands of a set's objects are put together in one row, if there are at most `most` (SET_VALUES), repeated ones counted. Those of
+    larger sets are made distinct as pairs first, spread over all tasks. Runs a job that looks for such sets.
+    """
+    total = subjects.groupBy("versions").agg(F.sum("n").alias("total"))
+    large = staged(total.filter(F.col("total") > (SET_VALUES if most is None else most)).select("versions"))
+    object_id = F.col("src_object_id").cast("string").substr(1, 255)
+    small = subjects if large.isEmpty() else subjects.join(large, "versions", "left_anti")
+    texts = small.groupBy("versions").agg(
+        join_sorted(F.array_distinct(F.flatten(F.collect_list("lands")))).alias("num"), join_sorted(F.collect_set(object_id)).alias("id")
+    )
+    if large.isEmpty():
+        return texts
+    rest = subjects.join(large, "versions", "left_semi")
+    pairs = rest.select("versions", F.lit("num").alias("kind"), F.explode("lands").alias("value")).unionByName(
+        rest.select("versions", F.lit("id").alias("kind"), object_id.alias("value"))
+    )
+    return texts.unionByName(values_by_kind(pairs, ["versions"], ["num", "id"]))
