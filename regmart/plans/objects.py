@@ -42,10 +42,10 @@ def object_rollup(
     """Per construction object with a land number in `keys`: all its land numbers, titles, addresses and house
     numbers as sorted texts, largest areas, highest and lowest floors. Key texts compare exactly."""
     hits = _declared(filter_keys(lands, "cadastral_num", keys).select(*_PAIR).distinct(), prepared)
-    hits = hot_join(decl_objects.select(*_PAIR), hits, _PAIR, "many_semi").select("object_bkh").distinct()
+    hits = decl_objects.select(*_PAIR).distinct().join(hits, _PAIR, "left_semi").select("object_bkh").distinct()
     cards = objects.withColumnRenamed("bkh", "object_bkh")
     wanted = cards.join(hits, "object_bkh", "left_semi")
-    chosen = hot_join(cards, wanted, ["src_object_id"], "many_semi")
+    chosen = staged(hot_join(cards, wanted, ["src_object_id"], "many_semi"))
     of_chosen = key_filter(["object_bkh"], chosen.select("object_bkh"))
 
     extents = (
@@ -61,7 +61,7 @@ def object_rollup(
     landed = _declared(hot_join(of_chosen(lands.select(*_PAIR, "cadastral_num")), extents, _PAIR), prepared)
     # A row for each value of an object, once, with the largest of what stands beside it.
     measures = [*[F.max(c).alias(c) for c in ("summary_area", "living_area", "floor_max")], F.min("floor_min").alias("floor_min")]
-    numbers = landed.groupBy("object_bkh", F.lit("num").alias("kind"), F.col("cadastral_num").alias("value")).agg(*measures)
+    numbers = staged(landed.groupBy("object_bkh", F.lit("num").alias("kind"), F.col("cadastral_num").alias("value")).agg(*measures))
     with_lands = numbers.select("object_bkh").distinct()
     houses = of_chosen(addresses).select("object_bkh", F.lit("house").alias("kind"), F.col("house_num").alias("value")).distinct()
     group = [F.col("src_object_id").alias("oks_xml_id"), F.col("object_id").alias("oks_id")]

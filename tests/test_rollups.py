@@ -20,6 +20,11 @@ def test_document_rollup_makes_its_branches_once(spark):
     assert "l_orderkey" not in text and "l_partkey" not in text and "flatten(" in text
 
 
+def test_object_rollup_reads_lands_once(spark):
+    """Only the house numbers are read again."""
+    assert plan(QUERIES["object_rollup"](spark, SF_DIR)).count("l_suppkey") == 1
+
+
 @pytest.mark.parametrize("most", [0, 6, 1_000_000])
 def test_land_texts(spark, most):
     """Sets with more lands than `most` by pairs, the others in one row; objects without numbers, equal and repeated ones."""
