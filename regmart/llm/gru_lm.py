@@ -272,7 +272,8 @@ class Gru:
             back["classes"], back["class_bias"] = logits @ hidden.T, logits.sum(axis=1, keepdims=True)
             back["words"], back["word_bias"] = np.zeros_like(p["words"]), np.zeros_like(p["word_bias"])
             grad = p["classes"].T @ logits
-        order = np.argsort(cls, kind="stable")
+        # Numbers of 16 bits are sorted by their digits, in a fraction of the time.
+        order = np.argsort(cls.astype(np.int16), kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             at = order[bounds[c] : bounds[c + 1]]
@@ -324,8 +325,10 @@ class Gru:
         back["recur"] = flat @ before.reshape(h, -1).T
         back["recur_bias"] = flat[2 * h :].sum(axis=1, keepdims=True)
         ids = inputs.ravel()
-        order = np.argsort(ids, kind="stable")
-        rows, first = np.unique(ids[order], return_index=True)
+        order = np.argsort(ids.astype(np.int16), kind="stable")
+        ordered = ids[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        rows = ordered[first]
         back["inputs"] = np.zeros_like(p["inputs"])
         back["inputs"][:, rows] = np.add.reduceat(dx.reshape(3 * h, -1).take(order, axis=1), first, axis=1)
         for name in self.NAMES:
