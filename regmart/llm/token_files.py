@@ -14,6 +14,7 @@ The lengths lead to any token of a shard without expanding what is before it.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import os
 import struct
@@ -42,9 +43,9 @@ SHARD_CHARS = 8 << 20
 MIN_USES = 8
 # Pairs are counted in 2 ** _SLOT_BITS slots, those of up to _EXACT places one by one.
 _SLOT_BITS = 20
-_EXACT = 400_000
+_EXACT = 700_000
 # So many bytes of text are encoded at a time.
-_ENCODED = 4 << 20
+_ENCODED = 8 << 20
 # A worker forgets the parts of words it knows when it has more than so many, or so many letters and ids of them.
 _MAX_PIECES = 700_000
 _MAX_LETTERS = 16 << 20
@@ -60,7 +61,7 @@ _SHARD = "part int, shard int, start_in_part long, doc_ids array<bigint>, n_toke
 def _slots(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, int]:
     """A slot for each pair, and the number of slots: by hash, or one per distinct pair where there are few places."""
     if len(left) <= _EXACT:
-        pairs, slot = np.unique((left.astype(np.int64) << 32) | right, return_inverse=True)
+        slot, pairs = pd.factorize((left.astype(np.int64) << 32) | right)
         return slot, len(pairs)
     hashed = (left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))
     hashed ^= hashed >> np.uint32(15)
@@ -80,12 +81,12 @@ def pair_round(seq: np.ndarray, live: np.ndarray, first: int, min_uses: int) ->
     none = np.empty((0, 2), np.uint32)
     if len(seq) < 2:
         return seq, live, none
-    at = np.flatnonzero(live[:-1])
-    dense = 2 * len(at) > len(seq)  # then all places are looked at
+    dense = 2 * np.count_nonzero(live) > len(seq)  # then all places are looked at
+    at = None if dense else np.flatnonzero(live[:-1])
     left, right = (seq[:-1], seq[1:]) if dense else (seq[at], seq[at + 1])
     slot, n_slots = _slots(left, right)
     counts = np.bincount(slot, minlength=n_slots).astype(np.int32)
-    counts[counts < min_uses] = 0
+    counts *= counts >= min_uses
     # Neighbours never tie, so no two chosen places touch.
     if dense:
         rank = counts.take(slot)
@@ -99,8 +100,8 @@ def pair_round(seq: np.ndarray, live: np.ndarray, first: int, min_uses: int) ->
         slot = slot[chosen]
     else:
         own = counts.take(slot)
-        still = own > 0
-        at, slot, own = at[still], slot[still], own[still]
+        still = np.flatnonzero(own)
+        at, slot, own = at.take(still), slot.take(still), own.take(still)
         live = np.zeros(len(seq), bool)
         live[at] = True
         own = 2 * own + (at & 1)
@@ -108,12 +109,13 @@ def pair_round(seq: np.ndarray, live: np.ndarray, first: int, min_uses: int) ->
         better = np.ones(len(at), bool)
         better[1:] &= ~beside | (own[1:] > own[:-1])
         better[:-1] &= ~beside | (own[:-1] > own[1:])
-        chosen, slot = at[better], slot[better]
+        better = np.flatnonzero(better)
+        chosen, slot = at.take(better), slot.take(better)
     pair = (seq[chosen].astype(np.int64) << 32) | seq[chosen + 1]
     holder = np.zeros(n_slots, np.int64)
     holder[slot] = pair
     same = holder[slot] == pair
-    uses = np.bincount(slot[same], minlength=n_slots)
+    uses = np.bincount(slot.compress(same), minlength=n_slots)
     kept = np.flatnonzero(uses >= min_uses)
     if not len(kept):
         return seq, live, none
@@ -123,13 +125,24 @@ def pair_round(seq: np.ndarray, live: np.ndarray, first: int, min_uses: int) ->
     new = number[slot]
     taken = np.flatnonzero(same & (new > 0))
     chosen = chosen[taken]
-    out = seq.copy()
+    out, live = _without([seq, live], chosen + 1)
+    chosen -= np.arange(len(chosen))  # their places now
     out[chosen] = new[taken]
     live[chosen] = True
     live[chosen[chosen > 0] - 1] = True
-    stays = np.ones(len(seq), bool)
-    stays[chosen + 1] = False
-    return out[stays], live[stays], np.stack([holder[kept] >> 32, holder[kept] & 0xFFFFFFFF], 1).astype(np.uint32)
+    return out, live, np.stack([holder[kept] >> 32, holder[kept] & 0xFFFFFFFF], 1).astype(np.uint32)
+
+
+def _without(arrays: list[np.ndarray], places: np.ndarray) -> list[np.ndarray]:
+    """Copies of arrays of one length without some places, which ascend."""
+    n = len(arrays[0])
+    if len(places) * 1000 < n:  # a few long pieces
+        bounds = [*zip([0, *(places + 1).tolist()], [*places.tolist(), n])]
+        return [np.concatenate([x[a:b] for a, b in bounds]) for x in arrays]
+    stays = np.ones(n, bool)
+    stays[places] = False
+    kept = np.flatnonzero(stays)  # faster than by the mask
+    return [x.take(kept) for x in arrays]
 
 
 def re_pair(ids: np.ndarray, rounds: int | None = None, min_uses: int = MIN_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,7 +176,10 @@ class Shard:
         self.symbols = words[3 * n_rules : 3 * n_rules + n_symbols]
         self.doc_tokens = words[3 * n_rules + n_symbols :]
         self.doc_starts = np.concatenate([[0], np.cumsum(self.doc_tokens, dtype=np.int64)])
-        self._ends = np.cumsum(self._size(self.symbols), dtype=np.int64)
+
+    @functools.cached_property
+    def _ends(self) -> np.ndarray:
+        return np.cumsum(self._size(self.symbols), dtype=np.int64)
 
     def _size(self, symbols: np.ndarray) -> np.ndarray:
         size = np.ones(len(symbols), np.int64)
@@ -216,9 +232,11 @@ class Shard:
                 self._copy(buffer, at, symbol, length, starts, buffer)
                 at = at + length
             ready[now] = True
-        out = np.empty(self.n_tokens, np.uint32)
-        length = self._size(self.symbols)
-        self._copy(out, np.cumsum(length) - length, self.symbols, length, starts, buffer)
+        # Single ids and the rules' expansions, taken as strings of bytes.
+        single = self.symbols < BASE
+        m = int(np.where(single, self.symbols, 0).max(initial=0)) + 1
+        parts = _binary(np.concatenate([np.arange(m), m + starts]), np.concatenate([np.arange(m, dtype=np.uint32), buffer]))
+        out = _numbers(parts.take(pa.array(np.where(single, self.symbols, self.symbols - np.uint32(BASE - m)))))
         for a, b in zip(self.doc_starts[:-1], self.doc_starts[1:]):
             yield out[a:b]
 
@@ -253,7 +271,7 @@ class PieceEncoder:
     So the ids of a text are those of its pieces between white space, and those of a piece of letters followed by signs are
     the letters' ids and the signs' ids. Letters must be their own composed form (NFC) for that: others may become a letter and a
     mark, which the tokenizer joins with the signs. Each distinct piece of a batch is looked up once; parts that are not remembered go
-    through the tokenizer.
+    through the tokenizer, words of a to z straight to its model, as all steps before it leave them as they are.
     """
 
     # Not the apostrophe, which the tokenizer takes with some letters after it.
@@ -263,10 +281,12 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.model._resize_cache(0)  # words come once; they are remembered here
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         ids = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(ids.values()) + 1, bool)
         self.ends_word[[i for token, i in ids.items() if token.endswith("</w>")]] = True
@@ -275,36 +295,34 @@ class PieceEncoder:
     def _forget(self) -> None:
         self.places: dict[str, int] = {"": 0}
         self.letters = 0
-        self.flat, self.starts, self.sizes = array("I"), array("q", [0]), array("q", [0])
+        # ids of all parts, and where those of each part begin and end
+        self.flat, self.bounds = array("I"), array("q", [0, 0])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
         if len(self.places) > _MAX_PIECES or self.letters + len(self.flat) > _MAX_LETTERS:
             self._forget()
         pieces = pc.ascii_split_whitespace(texts)
+        offsets = pieces.offsets.to_numpy()
         coded = pieces.flatten().dictionary_encode()
+        del pieces
         first, second = self._parts_of(coded.dictionary)
-        flat, starts, sizes = (np.frombuffer(x, t) if len(x) else np.empty(0, t) for x, t in ((self.flat, "u4"), (self.starts, "i8"), (self.sizes, "i8")))
-        # ids of each distinct piece, side by side
-        n = np.stack([sizes[first], sizes[second]], 1).ravel()
-        own = flat[_runs(np.stack([starts[first], starts[second]], 1).ravel(), n)]
-        size = n.reshape(-1, 2).sum(axis=1)
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        out = own[_runs((np.cumsum(size) - size)[which], size[which])]
-        upto = np.concatenate([[0], np.cumsum(size[which])])
-        offsets = pieces.offsets.to_numpy().astype(np.int64)
-        return out, np.diff(upto[offsets - offsets[0]])
+        # Ids are taken as strings of bytes.
+        known = _binary(np.frombuffer(self.bounds, "i8"), self.flat)
+        own = pc.binary_join_element_wise(known.take(pa.array(first)), known.take(pa.array(second)), pa.scalar(b"", pa.large_binary()))
+        out = own.take(coded.indices)
+        upto = np.frombuffer(out.buffers()[1], "i8")[out.offset :][offsets - offsets[0]] // 4
+        return _numbers(out), np.diff(upto)
 
     def _parts_of(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Places of the two parts of each piece; a piece that is not made of these is its own first part."""
         letters = pc.utf8_rtrim(pieces, self._SIGNS)
         plain = pc.and_(pc.utf8_is_alpha(letters), pc.invert(pc.match_substring(letters, self._ODD)))
         beyond = pc.and_(plain, pc.invert(pc.string_is_ascii(letters)))
-        some = letters.filter(beyond)
-        if len(some):
+        some = letters.filter(beyond).to_numpy(zero_copy_only=False).tolist()
+        if not unicodedata.is_normalized("NFC", " ".join(some)):  # then some of them are not
             plain = plain.to_numpy(zero_copy_only=False).copy()
-            composed = [unicodedata.is_normalized("NFC", s) for s in some.to_pylist()]
-            plain[beyond.to_numpy(zero_copy_only=False)] = composed
+            plain[beyond.to_numpy(zero_copy_only=False)] = [unicodedata.is_normalized("NFC", s) for s in some]
             plain = pa.array(plain)
         signs = pc.if_else(plain, _ends_of(pieces, letters), "")
         return self._places(pc.if_else(plain, pc.ascii_lower(letters), pieces), plain), self._places(signs, plain)
@@ -324,28 +342,40 @@ class PieceEncoder:
 
     def _learn(self, plain: list[str], other: list[str]) -> None:
         """`plain` parts are words to the tokenizer, so many of them can go in one text, whose ids show where words end."""
-        texts = [plain[i : i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
-        for parts, x in zip(texts, self.tokenizer.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False)):
-            ids = x.ids
-            ends = np.flatnonzero(self.ends_word[np.array(ids, np.int64)])
-            if len(ends) == len(parts):
-                self._remember(parts, ids, np.diff(ends, prepend=-1).tolist())
-            else:
-                other = other + parts
+        for tokenizer, words in (self.model, [s for s in plain if s.isascii()]), (self.tokenizer, [s for s in plain if not s.isascii()]):
+            texts = [words[i : i + _TOGETHER] for i in range(0, len(words), _TOGETHER)]
+            found = tokenizer.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False) if texts else []
+            for parts, x in zip(texts, found):
+                ids = x.ids
+                ends = np.flatnonzero(self.ends_word[np.array(ids, np.int64)])
+                if len(ends) == len(parts):
+                    self._remember(parts, ids, ends + 1)
+                else:
+                    other = other + parts
         for i in range(0, len(other), 4096):
             parts = other[i : i + 4096]
             found = [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-            self._remember(parts, list(itertools.chain.from_iterable(found)), [len(ids) for ids in found])
+            self._remember(parts, list(itertools.chain.from_iterable(found)), np.cumsum([len(ids) for ids in found]))
 
-    def _remember(self, parts: list[str], ids: list[int], sizes: list[int]) -> None:
-        first = len(self.starts)
+    def _remember(self, parts: list[str], ids: list[int], ends: np.ndarray) -> None:
+        first = len(self.bounds) - 1
         self.letters += sum(map(len, parts))
         self.places.update(zip(parts, range(first, first + len(parts))))
-        self.starts.extend(itertools.accumulate(sizes[:-1], initial=len(self.flat)))
-        self.sizes.extend(sizes)
+        self.bounds.frombytes((ends + len(self.flat)).astype(np.int64).tobytes())
         self.flat.extend(ids)
 
 
+def _binary(bounds: np.ndarray, numbers: np.ndarray | array) -> pa.LargeBinaryArray:
+    """Runs of 32-bit numbers, each as a string of bytes."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds * 4), pa.py_buffer(numbers)])
+
+
+def _numbers(strings: pa.LargeBinaryArray) -> np.ndarray:
+    """The numbers of all runs."""
+    bounds = np.frombuffer(strings.buffers()[1], "i8")[strings.offset : strings.offset + len(strings) + 1]
+    return np.frombuffer(strings.buffers()[2] or b"", "u4")[int(bounds[0]) // 4 : int(bounds[-1]) // 4]
+
+
 def _ends_of(whole: pa.Array, beginnings: pa.Array) -> pa.Array:
     """What follows the beginning of each string."""
     data = np.frombuffer(whole.buffers()[2] or b"", np.uint8)
@@ -408,6 +438,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, shard_chars: int = SHARD_
             nonlocal number, start, ids, tokens, sizes, chars
             doc_ids, full, n = pa.concat_arrays(ids).to_pylist(), np.concatenate(tokens), np.concatenate(sizes)
             ids, tokens, sizes, chars = [], [], [], 0
+            pa.default_memory_pool().release_unused()  # what encoding took, which packing cannot use
             out = pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "shard": pa.array([number], pa.int32()),
                 "start_in_part": pa.array([start], pa.int64()), "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),

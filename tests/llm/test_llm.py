@@ -125,6 +125,46 @@ def test_pieces_are_forgotten(monkeypatch):
     assert [x.tolist() for x in encoder.encode(texts)] == [x.tolist() for x in first]
 
 
+def test_words_of_a_to_z_go_straight_to_the_model(monkeypatch):
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join("".join(rng.choice(list(string.ascii_lowercase), rng.integers(1, 20))) for _ in range(300)) for _ in range(20)]
+    encoder = token_files.PieceEncoder(token_files.tokenizer_path())
+    encoder.encode(pa.array([","], pa.large_string()))
+    monkeypatch.setattr(encoder, "tokenizer", None)  # not asked
+    ids, sizes = encoder.encode(pa.array([t.title() + "," if i % 2 else t for i, t in enumerate(texts)], pa.large_string()).slice(1))
+    assert len(ids) == sizes.sum()
+    encoder = token_files.PieceEncoder(token_files.tokenizer_path())
+    ids, sizes = encoder.encode(pa.array(["x y", *texts], pa.large_string()).slice(1))
+    whole = Tokenizer.from_file(token_files.tokenizer_path())
+    assert [p.tolist() for p in np.split(ids, np.cumsum(sizes)[:-1])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_ids_are_not_copied_by_place():
+    """Known pieces are put together, and shards opened, without a 64-bit place for each id."""
+    rng = np.random.default_rng(4)
+    texts = pa.array([words(rng, 5000) for _ in range(40)], pa.large_string())
+    encoder = token_files.PieceEncoder(token_files.tokenizer_path())
+    ids, sizes = encoder.encode(texts)
+    data = token_files.pack(ids, sizes.astype(np.uint32))
+    steps = (lambda: encoder.encode(texts), lambda: list(token_files.Shard(data).documents()))
+    for step in steps:
+        tracemalloc.start()
+        try:
+            step()
+            assert tracemalloc.get_traced_memory()[1] < 8 * len(ids)
+        finally:
+            tracemalloc.stop()
+
+
+@pytest.mark.parametrize("n,places", [(10, [0, 3, 9]), (10, []), (0, []), (5000, [0, 1, 4999]), (5000, [2500])])
+def test_without_some_places(n, places):
+    x = np.arange(n)
+    got = token_files._without([x, x % 2 == 0], np.array(places, np.int64))
+    assert got[0].tolist() == np.delete(x, places).tolist() and got[1].tolist() == np.delete(x % 2 == 0, places).tolist()
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_shards_open_anywhere(seed):
     rng = np.random.default_rng(seed)
